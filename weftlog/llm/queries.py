@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.llm import mixing, packing, quality, secrets, simhash, toxicity
+from weftlog.llm import embeddings, html, mixing, neighbours, packing, quality, secrets, simhash, tokens, toxicity
 from weftlog.llm.common import read
 
 
@@ -37,11 +37,38 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: at the start, in the middle, at the end."""
+    import public_tokenizers
+
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    edit = lambda a, b, new: F.struct(a.alias("start"), b.alias("end"), F.lit(new).alias("new"))
+    half = F.floor(size / 2)
+    edits = F.array(
+        edit(F.lit(0).cast("long"), F.lit(0).cast("long"), "Revised. "), edit(half, half + 12, "amended"),
+        edit(F.lit(2**40), F.lit(2**40), "\n\nEnd of document."),
+    )
+    out = tokens.recount(
+        read(spark, sf_dir, "documents"), edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return out.select(F.col("id").alias("doc_id"), F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_chars", "leaves", "encoded")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fp().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = _remainder(5) == 0
@@ -51,6 +78,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed, model = neighbours.index(read(spark, sf_dir, "embeddings"))
+    return neighbours.search(indexed, model, F.col("id") % 50 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(read(spark, sf_dir, "documents"), word_tokenizer())
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
