@@ -8,6 +8,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space of the contracts, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
@@ -82,3 +83,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
+    """A new schema: ``schema`` and the fields of ``ddl``."""
+    return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import written
+from weftlog.llm.common import with_fields, written
 
 #: A path wins on a host with this share of the votes of the host's first path, and is among so many.
 SHARE = 0.1
@@ -257,7 +257,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", name
     """
     rest = [c for c in pages.columns if c not in (name, html_col)]
     paths = written(winners(votes(pages, url_col, html_col)), "html-paths").withColumnRenamed("host", "_host")
-    schema = pages.select(*rest).schema.add(name, "string")
+    schema = with_fields(pages.select(*rest).schema, f"`{name}` string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

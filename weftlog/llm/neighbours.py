@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import written
+from weftlog.llm.common import with_fields, written
 from weftlog.llm.embeddings import _matrix, unit, valid
 
 #: Rows that the codebooks are fitted on, at most: the first in seeded order. Every row is encoded.
@@ -165,7 +165,7 @@ def index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                 code = model.packed(unit(_matrix(b.column(1))))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["id", "v", "code"])
 
-    return written(good.mapInArrow(run, good.select("*").schema.add("code", "binary")), "ann-index"), model
+    return written(good.mapInArrow(run, with_fields(good.schema, "code binary")), "ann-index"), model
 
 
 def search(indexed: DataFrame, model: Quantizer | None, queries: Column, k: int = 5, rerank: int = RERANK, chunk: int = CHUNK) -> DataFrame:

@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftlog.llm.common import written
+from weftlog.llm.common import with_fields, written
 
 LENGTH = 4096
 END = 1
@@ -109,9 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     Null and empty texts are the end token alone.
     """
-    schema = docs.select(F.col(id_col).alias("id")).schema
-    for name, kind in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())):
-        schema = schema.add(name, kind)
+    schema = with_fields(docs.select(F.col(id_col).alias("id")).schema, "piece int, start long, length long, ids_crc32 long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_ids(tokenizer)
@@ -240,7 +237,7 @@ def packed(pieces_df: DataFrame, length: int = LENGTH) -> DataFrame:
     ranked = numbered.join(before, ["length", "part"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("row") + F.col("before")).alias("rank")
     )
-    schema = pieces_df.select("id", "piece", "start", "length", "ids_crc32").schema.add("sequence_id", "long").add("offset", "long")
+    schema = with_fields(pieces_df.select("id", "piece", "start", "length", "ids_crc32").schema, "sequence_id long, offset long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.llm.common import with_fields
+
 #: Most labelled rows of either label that the fit sees: the first in seeded order.
 SAMPLE = 4000
 #: Preference pairs drawn from them.
@@ -144,7 +146,7 @@ def score(docs: DataFrame, model: Ranking, text_col: str = "text", name: str = "
     """``docs`` with a column ``name`` (0 to 1): every whole text scored, null like empty; a column of that name is replaced."""
     rest = [c for c in docs.columns if c != name]
     text = F.col(text_col).cast("binary").alias("_text")
-    schema = docs.select(*rest).schema.add(name, "double")
+    schema = with_fields(docs.select(*rest).schema, f"`{name}` double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

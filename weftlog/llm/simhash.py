@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import components, drop_written, written
+from weftlog.llm.common import components, drop_written, with_fields, written
 
 SEED = 42
 WORDS = 3
@@ -50,7 +50,7 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """(id, fp long) of each row; the id keeps its type and nulls."""
-    schema = docs.select(F.col(id_col).alias("id")).schema.add("fp", "long")
+    schema = with_fields(docs.select(F.col(id_col).alias("id")).schema, "fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.llm.common import with_fields
+
 #: Characters of a leaf, at least, where the text has a boundary; a leaf of four times as many is cut again.
 LEAF = 512
 
@@ -147,7 +149,7 @@ EDITS = "array<struct<start:bigint,end:bigint,new:string>>"
 def trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "tree") -> DataFrame:
     """``docs`` with a column ``name``: characters and tokens of each leaf of the text's tree (null texts: of '')."""
     rest = [c for c in docs.columns if c != name]
-    schema = docs.select(*rest).schema.add(name, _TREE)
+    schema = with_fields(docs.select(*rest).schema, f"`{name}` {_TREE}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, pattern)
@@ -170,9 +172,8 @@ def recount(docs: DataFrame, edits: Column, path: str, pattern: str, id_col: str
     columns are not read; an empty table gives no rows.
     """
     sent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), edits.cast(EDITS).alias("edits"), (F.col(tree_col) if tree_col else F.lit(None).cast(_TREE)).alias("tree"))
-    schema = sent.select("id", "text").schema
-    for column, kind in (("n_chars", "long"), ("n_tokens", "long"), ("leaves", "int"), ("before", "long"), ("encoded", "long"), ("tree", _TREE)):
-        schema = schema.add(column, kind)
+    added = f"n_chars long, n_tokens long, leaves int, before long, encoded long, tree {_TREE}"
+    schema = with_fields(sent.select("id", "text").schema, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, pattern)

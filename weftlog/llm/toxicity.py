@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.llm.common import with_fields
 from weftlog.llm.quality import sample
 
 BITS = 20
@@ -126,7 +127,7 @@ def score(docs: DataFrame, model: Weights, text_col: str = "text", name: str = "
     that name is replaced.
     """
     rest = [c for c in docs.columns if c not in (name, text_col)]
-    schema = docs.select(*rest).schema.add(name, "double")
+    schema = with_fields(docs.select(*rest).schema, f"`{name}` double")
     live = np.nonzero(model.table)[0]
     shared = docs.sparkSession.sparkContext.broadcast((live.astype(np.int32), model.table[live], model.intercept, model.bits))
 
