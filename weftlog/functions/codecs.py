@@ -81,12 +81,13 @@ def _imul(a: Column, b: int) -> Column:
     return (low * b + F.shiftleft((high * b).bitwiseAND(0xFFFF), 16)).bitwiseAND(0xFFFFFFFF)
 
 
-def mix32(value: Column, first: int, second: int) -> Column:
-    """A 32-bit integer hash by shifts and two multiplications, unsigned, as a long."""
+def mix32(value: Column, rounds: tuple[tuple[int, int], ...]) -> Column:
+    """A 32-bit integer hash, as a signed number in a long: each round multiplies and folds the high bits down."""
     x = value.cast("long").bitwiseAND(0xFFFFFFFF)
-    x = _imul(x.bitwiseXOR(F.shiftright(x, 16)), first)
-    x = _imul(x.bitwiseXOR(F.shiftright(x, 15)), second)
-    return x.bitwiseXOR(F.shiftright(x, 16))
+    for factor, shift in rounds:
+        x = _imul(x, factor)
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return F.when(x >= 2**31, x - 2**32).otherwise(x)
 
 
 def get_path(data: Any, path: str) -> tuple[bool, Any]:
