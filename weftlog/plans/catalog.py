@@ -281,7 +281,7 @@ def _with_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _STORED + f"""SELECT stream_id, max(stored_version + CAST(snapshot_after AS INT)) AS version, max(CASE WHEN snapshot_after THEN stored_version + 1 END) AS snapshot_version,
-    sum(hit) % {_EVERY} AS replayed_events, round(sum(CASE WHEN hit = 1 THEN value ELSE 0 END), 2) AS total, sum(hit) AS n FROM S GROUP BY stream_id"""
+    CAST(sum(hit) % {_EVERY} AS BIGINT) AS replayed_events, round(sum(CASE WHEN hit = 1 THEN value ELSE 0 END), 2) AS total, CAST(sum(hit) AS BIGINT) AS n FROM S GROUP BY stream_id"""
 )
 def snapshot_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _with_snapshots(spark, sf_dir)
@@ -297,8 +297,8 @@ def snapshot_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _STORED + f"""SELECT count(*) AS streams, sum(p) AS total_replayed, avg(p) AS average_replayed, max(p) AS most_replayed
-    FROM (SELECT stream_id, sum(hit) % {_EVERY} AS p FROM S GROUP BY stream_id)"""
+    _STORED + f"""SELECT count(*) AS streams, CAST(sum(p) AS BIGINT) AS total_replayed, avg(p) AS average_replayed, max(p) AS most_replayed
+    FROM (SELECT stream_id, CAST(sum(hit) % {_EVERY} AS BIGINT) AS p FROM S GROUP BY stream_id)"""
 )
 def snapshot_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_load(spark, sf_dir).agg(
@@ -558,7 +558,7 @@ _HTTP = """WITH P AS (SELECT i AS operation_index, abs(42 * 31 + i * 17) AS v, i
 K AS (SELECT *, CASE WHEN (turn + user_index) % 10 < 7 THEN 'read' ELSE 'deposit' END AS kind, 1 + v % 10 AS amount FROM P) """
 
 
-@query(_HTTP + "SELECT kind, count(*) AS operations, sum(amount) AS amount, count(DISTINCT user_index) AS users FROM K GROUP BY kind")
+@query(_HTTP + "SELECT kind, count(*) AS operations, CAST(sum(amount) AS BIGINT) AS amount, count(DISTINCT user_index) AS users FROM K GROUP BY kind")
 def http_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily plan's totals: 300 000 deposits of 1 650 000 in all."""
     plan = generators.http_plan(spark, 42, 1_000_000, 100_000, 10, 70)
@@ -566,7 +566,7 @@ def http_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    _HTTP + """SELECT count(*) AS accounts, sum(59 + coalesce(amount, 0)) AS final_balance, sum(60 // 50) AS snapshots, sum(60 + 60 // 50 + coalesce(n, 0)) AS stored_events
+    _HTTP + """SELECT count(*) AS accounts, CAST(sum(59 + coalesce(amount, 0)) AS BIGINT) AS final_balance, CAST(sum(60 // 50) AS BIGINT) AS snapshots, CAST(sum(60 + 60 // 50 + coalesce(n, 0)) AS BIGINT) AS stored_events
     FROM range(100000) a(u) LEFT JOIN (SELECT user_index, sum(amount) AS amount, count(*) AS n FROM K WHERE kind = 'deposit' GROUP BY user_index) d ON a.u = d.user_index"""
 )
 def seeded_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -582,12 +582,12 @@ def seeded_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES ('off-peak', 0, 100000, 720000, 100000 / 720.0), ('peak', 100000, 800000, 2160000, 800000 / 2160.0), ('cool-down', 900000, 100000, 720000, 100000 / 720.0)) t(name, request_offset, request_count, duration_ms, target)")
+@query("SELECT name, CAST(request_offset AS BIGINT) AS request_offset, CAST(request_count AS BIGINT) AS request_count, CAST(duration_ms AS BIGINT) AS duration_ms, target FROM (VALUES ('off-peak', 0, 100000, 720000, 100000 / 720.0), ('peak', 100000, 800000, 2160000, 800000 / 2160.0), ('cool-down', 900000, 100000, 720000, 100000 / 720.0)) t(name, request_offset, request_count, duration_ms, target)")
 def traffic_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.daily_phases(spark, 1_000_000, 3600)
 
 
-@query("SELECT 'capacity-' || t || '-rps' AS name, (t // 100 - 1) * (t // 100) // 2 * 100 * 30 AS request_offset, t * 30 AS request_count, 30000 AS duration_ms, CAST(t AS DOUBLE) AS target FROM range(100, 501, 100) r(t)")
+@query("SELECT 'capacity-' || t || '-rps' AS name, (t // 100 - 1) * (t // 100) // 2 * 100 * 30 AS request_offset, t * 30 AS request_count, CAST(30000 AS BIGINT) AS duration_ms, CAST(t AS DOUBLE) AS target FROM range(100, 501, 100) r(t)")
 def capacity_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.capacity_phases(spark, 100, 500, 100, 30)
 
