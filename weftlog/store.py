@@ -206,6 +206,7 @@ class Transaction:
             folders.setdefault("outbox", []).append(log.stage("outbox", spark.createDataFrame(rows, schema.OUTBOX).coalesce(1)))
         return {
             "folders": folders, "keys": self.keys, "checkpoints": self.checkpoints, "streams": sorted({r["stream_id"] for r in self.rows}),
+            "ranges": {f: [self.state.last_position + 1, self.state.last_position + len(self.rows)] for f in folders.get("events", ())},
             "last_position": self.state.last_position + len(self.rows), "last_outbox": first + len(self.entries),
         }
 
@@ -342,7 +343,8 @@ class EventStore:
             folder = log.stage("events", whole)
             n = draft.count()
             log.files.delete(path.removeprefix(f"{log.files.root}/"))
-            return {"folders": {"events": [folder]}, "streams": None, "last_position": state.last_position + n}, n
+            reach = {folder: [state.last_position + 1, state.last_position + n]}
+            return {"folders": {"events": [folder]}, "ranges": reach, "streams": None, "last_position": state.last_position + n}, n
 
         return log.commit(build)
 
