@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,13 @@ class CrossPolytope:
     rotations: int
     seed: int = SEED
 
+    @cached_property
     def signs(self) -> np.ndarray:
         return np.random.default_rng(self.seed).choice([-1.0, 1.0], (self.tables, self.rotations, 3, self.dim))
 
     def buckets(self, x: np.ndarray, probes: int) -> np.ndarray:
         """(rows, tables, probes) bucket numbers of unit vectors, the best first, all distinct within a table."""
-        n, signs = len(x), self.signs()
+        n, signs = len(x), self.signs
         wide = np.zeros((n, self.dim))
         wide[:, : x.shape[1]] = x
         out = np.empty((n, self.tables, probes), np.int64)
@@ -96,33 +98,36 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def tile_links(x: np.ndarray, y: np.ndarray | None, lsh: CrossPolytope, probes: int, here: tuple[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (i, j) between unit vectors x and y (or within x if y is None) whose first shared bucket is ``here``.
-
-    ``here``: (table, bucket). The first is that of the smallest table in which they share one, and there the smallest.
-    """
+def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (i, j) between unit vectors x and y, or within x if y is None."""
     i, j = np.nonzero((x @ (x if y is None else y).T) >= threshold - 1e-9)
     if y is None:
         i, j = i[i < j], j[i < j]
-    y = x if y is None else y
-    exact = (x[i] * y[j]).sum(1) >= threshold
-    i, j = i[exact], j[exact]
-    if not len(i):
-        return i, j
-    (xs, xi), (ys, yi) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
-    kx, ky = lsh.buckets(x[xs], probes), lsh.buckets(y[ys], probes)
-    table, bucket = here
-    for low in range(table + 1):
-        a, b = kx[xi, low], ky[yi, low]
+    exact = (x[i] * (x if y is None else y)[j]).sum(1) >= threshold
+    return i[exact], j[exact]
+
+
+def first_shared(x: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, bucket: np.ndarray, lsh: CrossPolytope, probes: int) -> np.ndarray:
+    """Which pairs (i, j) of rows of x were met in their first shared bucket, pair k in bucket[k] of table[k].
+
+    The first is in the smallest table in which they share one, and there the smallest. Buckets are found again for the rows
+    in pairs only, all at once.
+    """
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    keys = np.concatenate([lsh.buckets(x[rows[a : a + 4096]], probes) for a in range(0, len(rows), 4096)])
+    ours = np.ones(len(i), bool)
+    ki, kj = at[: len(i)], at[len(i) :]
+    for t in range(lsh.tables):
+        live = np.nonzero(ours & (t <= table))[0]
+        a, b = keys[ki[live], t], keys[kj[live], t]
         same = a[:, :, None] == b[:, None, :]
-        if low < table:
-            free = ~same.any((1, 2))
-        else:
-            free = np.where(same.any(2), a, np.iinfo(np.int64).max).min(1) == bucket
-        i, j, xi, yi = i[free], j[free], xi[free], yi[free]
-    return i, j
+        here = np.where(same.any(2), a, np.iinfo(np.int64).max).min(1) == bucket[live]
+        ours[live] = np.where(table[live] == t, here, ~same.any((1, 2)))
+    return ours
 
 
+#: Linked pairs that are held before their first buckets are looked up.
+_PAIRS = 1 << 20
 _GROUP = ("t", "b", "p", "q")
 
 
@@ -136,7 +141,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, bu
     first = vectors.select(F.size("v").alias("d")).first()
     if first is None:
         return spark.createDataFrame([], "id long, count long, edge long")
-    dim, n, rotations = 1 << max(1, (first.d - 1).bit_length()), vectors.count(), 1
+    dim, n, rotations = 1 << max(3, (first.d - 1).bit_length()), vectors.count(), 1
     while rotations < max(REACH) and (2 * dim) ** rotations * bucket < n * REACH[rotations][1]:
         rotations += 1
     tables, probes = REACH[rotations]
@@ -161,19 +166,21 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, bu
     met = cut.join(vectors.select("id", "v", "copies"), "id").select(*_GROUP, "s", "id", "copies", "v")
     grouped = met.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
-    def compare(g: pa.RecordBatch | pa.Table, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t, b, p, q, s, ids, copies = (g[k].to_numpy() for k in range(7))
-        a, c = np.nonzero(s == p)[0], np.nonzero(s == q)[0]
-        i, j = tile_links(x[a], None if p[0] == q[0] else x[c], lsh, probes, (int(t[0]), int(b[0])), threshold)
-        i, j = a[i], (a if p[0] == q[0] else c)[j]
+    def told(table: pa.Table, x: np.ndarray, met: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Counts and spanning edges from pairs of rows (i, j, table, bucket)."""
+        i, j, t, b = (np.concatenate(c) for c in zip(*met))
+        ours = first_shared(x, i, j, t, b, lsh, probes)
+        i, j = i[ours], j[ours]
+        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
         count = (np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))).astype(np.int64)
         root = local_roots(len(x), i, j)
         hit, moved = np.nonzero(count)[0], np.nonzero(root != np.arange(len(x)))[0]
-        return (
+        cols = (
             np.concatenate([ids[hit], ids[moved]]),
             np.concatenate([count[hit], np.zeros(len(moved), np.int64)]),
             np.concatenate([ids[hit], ids[root[moved]]]),
         )
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "count", "edge"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of the sorted rows, one after the other; at most one batch and one group are held."""
@@ -186,17 +193,28 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, bu
             key = np.stack([table[k].to_numpy() for k in range(4)], 1)
             bounds = np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1
             ends = [*bounds.tolist(), *([table.num_rows] if batch is None else [])]
-            x = unit(_matrix(table["v"].chunk(0)))
-            low, out = 0, []
+            x, s = unit(_matrix(table["v"].chunk(0))), table["s"].to_numpy()
+            low, met, held = 0, [], 0
             for high in ends:
                 if high - low > 1:
-                    found = compare(table.slice(low, high - low), x[low:high])
-                    if len(found[0]):
-                        out.append(found)
+                    t, b, p, q = key[low]
+                    if p == q:
+                        i, j = tile_links(x[low:high], None, threshold)
+                        i, j = i + low, j + low
+                    else:
+                        left, right = (low + np.nonzero(s[low:high] == k)[0] for k in (p, q))
+                        i, j = tile_links(x[left], x[right], threshold)
+                        i, j = left[i], right[j]
+                    if len(i):
+                        met.append((i, j, np.full(len(i), t), np.full(len(i), b)))
+                        held += len(i)
+                    if held > _PAIRS:
+                        yield told(table, x, met)
+                        met, held = [], 0
                 low = high
             rest = table.slice(low)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "count", "edge"])
+            if met:
+                yield told(table, x, met)
 
     return grouped.mapInArrow(run, "id long, count long, edge long")
 
