@@ -15,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import with_fields
+from weftlog.llm.common import boxed, unboxed, with_fields
 from weftlog.llm.quality import sample
 
 BITS = 20
 #: Most labelled rows of either label that the fit sees: the first in seeded order.
-SAMPLE = 4000
+SAMPLE = 3000
+#: Rows that a bucket must occur in to be learnt.
+INCLUDED = 3
 SEED = 11
 _CHUNK = 1 << 16
 _TRIM = b".,;:!?\"'()[]{}<>|%#$&*-_"
@@ -75,11 +77,10 @@ class Weights:
         return 1 / (1 + np.exp(-max(-40.0, min(40.0, z))))
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, bits: int = BITS, rounds: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.2, seed: int = SEED) -> Weights:
+def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, rounds: int = 8, alpha: float = 0.6, beta: float = 1.0, l1: float = 5.0, l2: float = 0.2, seed: int = SEED) -> Weights:
     """FTRL-proximal over rows of distinct buckets, in seeded order each round."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
     free = 1 << bits  # the intercept's place; L1 does not hold it back
-    weight = np.ones(len(rows)) if weight is None else weight
     rng = np.random.default_rng(seed)
 
     def weights(k: np.ndarray) -> np.ndarray:
@@ -91,7 +92,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None
             k = np.append(rows[i], free)
             w = weights(k)
             p = 1 / (1 + np.exp(-np.clip(w.sum(), -40, 40)))
-            g = (p - y[i]) * weight[i]
+            g = p - y[i]
             sigma = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha
             z[k] += g - sigma * w
             n[k] += g * g
@@ -99,6 +100,39 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None
     return Weights(w[:-1].astype(np.float32), float(w[-1]), bits)
 
 
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic fit of y to held-out scores z, label 1 weighed by the root of how rare it is.
+
+    Newton steps, shortened, on a loss that holds the slope near 1; a slope that is not positive gives (1, 0).
+    """
+    weight = np.where(y == 1, np.sqrt(max(1.0, (y == 0).sum() / max(1, (y == 1).sum()))), 1.0)
+    at, x = np.array([1.0, 0.0]), np.stack([z, np.ones(len(z))], 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        gradient = x.T @ ((p - y) * weight) + 0.1 * (at - [1.0, 0.0])
+        hessian = (x * (p * (1 - p) * weight)[:, None]).T @ x + 0.1 * np.eye(2)
+        step = np.linalg.solve(hessian, gradient)
+        at = at - step * min(1.0, 0.5 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, seed: int = SEED, included: int = INCLUDED, **how: float) -> Weights:
+    """FTRL over buckets that occur in ``included`` rows or more, its scores calibrated on halves it was not fitted on."""
+    seen = np.bincount(np.concatenate(rows), minlength=1 << bits)
+    rows = [r[seen[r] >= included] for r in rows]
+    half, z = np.random.default_rng(seed).permutation(len(rows)) % 2, np.zeros(len(rows))
+    for k in (0, 1):
+        own = np.nonzero(half == k)[0]
+        m = ftrl([rows[i] for i in own], y[own], bits, seed=seed, **how)
+        for i in np.nonzero(half != k)[0]:
+            z[i] = m.intercept + m.table[rows[i]].sum(dtype=np.float64)
+    slope, shift = calibrated(z, y)
+    m = ftrl(rows, y, bits, seed=seed, **how)
+    return Weights((m.table * slope).astype(np.float32), m.intercept * slope + shift, bits)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, seed: int = SEED, bits: int = BITS) -> Weights:
     """Fit on a bounded, seeded sample of the labelled rows (2 x ``most`` at most); buckets, not texts, reach the driver.
 
@@ -116,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     y = np.array([r.y for r in rows], np.float64)
     if len(set(y)) < 2:
         return Weights(np.zeros(1 << bits, np.float32), 0.0, bits)
-    weight = np.where(y == 1, max(1.0, (y == 0).sum() / (y == 1).sum()), 1.0)
-    return ftrl([np.frombuffer(r.x, "<u4").astype(np.int64) for r in rows], y, weight, bits=bits, seed=seed)
+    return fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in rows], y, bits, seed)
 
 
 def score(docs: DataFrame, model: Weights, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -126,8 +159,8 @@ def score(docs: DataFrame, model: Weights, text_col: str = "text", name: str = "
     Null and empty texts score by the intercept alone; repeated rows alike; an empty table gives no rows; a column of
     that name is replaced.
     """
-    rest = [c for c in docs.columns if c not in (name, text_col)]
-    schema = with_fields(docs.select(*rest).schema, f"`{name}` double")
+    sent = docs.select(boxed(docs, (name, text_col)), F.col(text_col).cast("binary").alias("_text"))
+    schema = with_fields(sent.select("_row").schema, "_score double")
     live = np.nonzero(model.table)[0]
     shared = docs.sparkSession.sparkContext.broadcast((live.astype(np.int32), model.table[live], model.intercept, model.bits))
 
@@ -137,7 +170,7 @@ def score(docs: DataFrame, model: Weights, text_col: str = "text", name: str = "
         table[at] = values
         model = Weights(table, intercept, bits)
         for b in batches:
-            s = [model.score(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], schema.names)
+            s = [model.score(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], schema.names)
 
-    return docs.select(*rest, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return unboxed(sent.mapInArrow(run, schema), F.col("_score").alias(name))
