@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,3 +88,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     """A new schema: ``schema`` and the fields of ``ddl``."""
     return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)
+
+
+def boxed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns but some as one struct, so that an operator's own columns beside it clash with no name: "_row"."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without)).alias("_row")
+
+
+def unboxed(df: DataFrame, *more: str | Column) -> DataFrame:
+    return df.select("_row.*", *more)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import with_fields, written
+from weftlog.llm.common import boxed, unboxed, with_fields, written
 
 #: A path wins on a host with this share of the votes of the host's first path, and is among so many.
 SHARE = 0.1
@@ -255,15 +255,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", name
     and repeated rows stay; a column called ``name`` is replaced; an empty table gives no rows. Hosts' paths are a written
     table: the planner broadcasts it only if its size is under the session's limit, and joins by host otherwise.
     """
-    rest = [c for c in pages.columns if c not in (name, html_col)]
     paths = written(winners(votes(pages, url_col, html_col)), "html-paths").withColumnRenamed("host", "_host")
-    schema = with_fields(pages.select(*rest).schema, f"`{name}` string")
+    sent = pages.select(boxed(pages, (name, html_col)), F.col(html_col).alias("_html"), host(F.col(url_col)).alias("_host"))
+    schema = with_fields(sent.select("_row").schema, "_text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            html, way = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-            text = [Page(h.as_py() or "").text(w.as_py() or []) for h, w in zip(html, way)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(text, pa.string())], schema.names)
+            text = [Page(h.as_py() or "").text(w.as_py() or []) for h, w in zip(b.column(1), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], schema.names)
 
-    sent = pages.select(*rest, F.col(html_col).alias("_html"), host(F.col(url_col)).alias("_host"))
-    return sent.join(paths, "_host", "left").select(*rest, "_html", "paths").mapInArrow(run, schema)
+    found = sent.join(paths, "_host", "left").select("_row", "_html", "paths").mapInArrow(run, schema)
+    return unboxed(found, F.col("_text").alias(name))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import SPACE, written
+from weftlog.llm.common import SPACE, boxed, unboxed, written
 
 EPOCHS = 3.0
 SEED = 20
@@ -126,15 +126,13 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "d
     }
     plan = drawn(sizes(docs, id_col, text_col, source_col, seed), weights, epochs).where("times > 0")
     plan = plan.select(*(c.alias(k) for k, c in key.items()), F.col("h").alias("_h"), F.col("times").alias("_times")).distinct()
-    h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    keyed = docs.withColumns(
-        {
-            "_i": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-            "_in": F.col(id_col).isNull(),
-            "_s": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
-            "_sn": F.col(source_col).isNull(),
-            "_h": h,
-        }
+    keyed = docs.select(
+        boxed(docs),
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"),
+        F.col(id_col).isNull().alias("_in"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_s"),
+        F.col(source_col).isNull().alias("_sn"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"),
     )
     out = keyed.join(plan, ["_i", "_in", "_s", "_sn", "_h"])
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(docs.columns)
+    return unboxed(out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))))

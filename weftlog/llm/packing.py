@@ -40,7 +40,7 @@ _RANKED = 4096
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 # Letters and marks for which that pattern, NFC and lower case need no Unicode tables (no dotted capital I).
-_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _MARKS = r"!-/:-@\[-`{-~¡¿«»§©®°·£\u2010-\u2027€"
 
 

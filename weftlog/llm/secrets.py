@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import written
+from weftlog.llm.common import boxed, unboxed, written
 
 #: Two parts are in one scope if at most so many code points lie between them.
 SCOPE = 200
@@ -151,9 +151,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
     isles = far.selectExpr("key", "start", "`end`", "sum(IF(before >= start, 0, 1)) OVER (PARTITION BY key ORDER BY start, `end` ROWS UNBOUNDED PRECEDING) AS isle")
     merged = isles.groupBy("key", "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    keyed = docs.withColumn("key", _key(id_col, text_col)).join(cuts, "key", "left")
-    blocks = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{_BLOCK}}}"), 0)
-    size = F.length(F.col(text_col)).cast("long")
+    keyed = docs.select(boxed(docs), F.col(text_col).alias("_text"), _key(id_col, text_col).alias("key")).join(cuts, "key", "left")
+    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{_BLOCK}}}"), 0)
+    size = F.length("_text").cast("long")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["end"]))
     ends = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(size))
 
@@ -167,8 +167,8 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sc
 
     clean = F.array_join(F.zip_with(starts, ends, kept), mask)
     blocked = keyed.withColumn("_blocks", F.when(F.col("_cuts").isNotNull(), blocks))
-    new = blocked.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(clean))
-    return new.select(docs.columns)
+    new = F.when(F.col("_cuts").isNull(), F.col("_text")).otherwise(clean)
+    return unboxed(blocked.withColumn("_row", F.col("_row").withField(f"`{text_col}`", new)))
 
 
 def recounted(text_col: str, count_col: str, mask: str = MASK) -> Column:

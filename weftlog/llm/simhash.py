@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import components, drop_written, with_fields, written
+from weftlog.llm.common import boxed, components, drop_written, unboxed, with_fields, written
 
 SEED = 42
 WORDS = 3
@@ -207,4 +207,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_written(edges)
     best = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("k"))
     keep = best.select(*(F.col(f"k.{n}").alias(n) for n in names))
-    return docs.select("*", *key).join(keep, names, "left_semi").dropDuplicates(names).select(docs.columns)
+    return unboxed(docs.select(boxed(docs), *key).join(keep, names, "left_semi").dropDuplicates(names))

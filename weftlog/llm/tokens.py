@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import with_fields
+from weftlog.llm.common import boxed, unboxed, with_fields
 
 #: Characters of a leaf, at least, where the text has a boundary; a leaf of four times as many is cut again.
 LEAF = 512
@@ -148,18 +148,18 @@ EDITS = "array<struct<start:bigint,end:bigint,new:string>>"
 
 def trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "tree") -> DataFrame:
     """``docs`` with a column ``name``: characters and tokens of each leaf of the text's tree (null texts: of '')."""
-    rest = [c for c in docs.columns if c != name]
-    schema = with_fields(docs.select(*rest).schema, f"`{name}` {_TREE}")
+    sent = docs.select(boxed(docs, (name,)), F.col(text_col).alias("_text"))
+    schema = with_fields(sent.select("_row").schema, f"_tree {_TREE}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path, pattern)
         for b in batches:
-            found = [SegmentTree.of(t.as_py() or "", count) for t in b.column(b.num_columns - 1)]
+            found = [SegmentTree.of(t.as_py() or "", count) for t in b.column(1)]
             rows = [{"chars": [len(x) for x in t.leaves], "tokens": t.sums[1, t.width : t.width + len(t.leaves)].tolist()} for t in found]
             kind = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kind)], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], schema.names)
 
-    return docs.select(*rest, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return unboxed(sent.mapInArrow(run, schema), F.col("_tree").alias(name))
 
 
 def recount(docs: DataFrame, edits: Column, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tree_col: str | None = None) -> DataFrame:
