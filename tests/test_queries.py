@@ -9,7 +9,7 @@ import pytest
 
 from weftlog.plans import catalog
 
-SF = os.environ.get("WEFTLOG_SF", "/root/testdata/sf0.001")
+SF = os.environ.get("WEFTLOG_SF", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 KINDS = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
