@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: shingles of five words, 3 of 64 bits."""
-    return simhash.deduplicated(docs, words=5)
+    """Keep one document of each group of near-duplicates: shingles of five words, a similarity of 0.8 or more."""
+    return simhash.deduplicated(docs, words=5, similarity=0.8)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

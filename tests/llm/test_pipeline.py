@@ -6,8 +6,8 @@ import ast
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_texts import grouped, slow_fingerprint, slow_links
-from weftlog.llm import common, queries
+from tests.llm.test_texts import grouped, slow_links
+from weftlog.llm import common, queries, simhash
 from weftlog.llm.common import written
 
 SF = "/root/testdata/sf0.001"
@@ -24,9 +24,13 @@ def test_stages_take_effect(spark):
     good = {r.doc_id for r in rows[1]}
     judged = [(labels[r.doc_id] == 1) == (r.doc_id in good) for r in rows[0] if r.doc_id in labels]
     assert sum(judged) / len(judged) > 0.95
-    fp = {r.doc_id: slow_fingerprint(r.text or "", 5) for r in rows[1]}
-    want = grouped(fp, lambda a, b: (a ^ b).bit_count() <= 3)
-    assert sorted(r.doc_id for r in rows[2]) == sorted(set(want.values()))
+    sets = {r.doc_id: set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in rows[1]}
+    alike = lambda least: lambda a, b: bool(a or b) and len(a & b) >= least * len(a | b) or a == b
+    similar, loose = grouped(sets, alike(0.8)), grouped(sets, alike(0.6))
+    left = {r.doc_id for r in rows[2]}
+    assert set(loose.values()) <= {loose[k] for k in left} and len(left) == len(rows[2])
+    assert len({similar[k] for k in left}) >= len(left) - max(1, len(left) // 100)
+    assert len(left) < len(rows[1])
     before = {r.doc_id: r for r in rows[2]}
     assert {r.doc_id for r in rows[3]} == set(before)
     for r in rows[3]:

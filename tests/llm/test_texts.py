@@ -321,6 +321,38 @@ def test_simhash_edges(spark, edge):
     assert simhash.near_duplicates(empty(spark)).collect() == [] == simhash.deduplicated(empty(spark)).collect()
 
 
+def test_wide_fingerprints_tell_similarity(spark):
+    """Pairs of a stated similarity: copies with some words replaced, in texts of several sizes."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, sure, never = [], [], []
+    for n in (60, 300, 2000):
+        for share in (0.0, 0.005, 0.01, 0.2):
+            for _ in range(6):
+                a = [word() for _ in range(n)]
+                b = [word() if rng.random() < share else w for w in a]
+                x, y = (simhash.shingle_hashes(" ".join(t).encode(), 5) for t in (a, b))
+                j = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
+                k = len(rows)
+                rows += [(k, " ".join(a)), (k + 1, " ".join(b))]
+                (sure if j >= 0.87 else never if j < 0.6 else []).append(k + 1)
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not kept & set(sure) and set(never) <= kept and {k for k, _ in rows[::2]} <= kept
+    assert len(sure) > 30 and len(never) > 10
+
+
+def test_wide_links_lose_none():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (200, simhash.WIDE), dtype=np.uint64)
+    flips = rng.random((400, simhash.WIDE, 64)) < rng.uniform(0, 0.2, (400, 1, 1))
+    near = base[rng.integers(0, 200, 400)] ^ np.packbits(flips, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    x, n = np.concatenate([base, near]), rng.integers(90, 110, 600)
+    i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None]).sum(2, dtype=int) <= 80, 1) & (np.minimum(n[:, None], n) >= 0.9 * np.maximum(n[:, None], n)))
+    assert (simhash.wide_links(x, n, None, None, 80, 0.9) == simhash.local_roots(600, i, j)).all()
+    a, b = simhash.wide_links(x[:250], n[:250], x[250:], n[250:], 80, 0.9), (i < 250) & (j >= 250)
+    assert (a == simhash.local_roots(600, i[b], j[b])).all()
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(1000, 1001 + k) for k in range(50)] + [(rng.randrange(2000, 2040), rng.randrange(2000, 2040)) for _ in range(30)]

@@ -8,6 +8,7 @@ edges of a spanning forest, never all its pairs, and components are found by joi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,23 +189,162 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(lookup, "fp").select("id", "fp", "component")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` to keep: of each component the one of smallest id (a null id last; of rows with that id the
-    one of smallest text hash, of wholly equal rows one). All columns stay; only ids and hashes are shuffled besides
-    the one join that filters the texts.
+# Near-duplicates by shingle similarity: wide fingerprints of the set of shingles.
+
+#: 64-bit words of a wide fingerprint.
+WIDE = 8
+SIMILARITY = 0.8
+#: Differing bits of 512 that link: two sets of equal size and Jaccard similarity 0.8 differ in 77 of 512 on average, with a
+#: standard deviation of 8 (fewer bits if sizes differ), so that nearly all pairs of 0.8 and more are linked, few under 0.7.
+WIDE_RADIUS = 80
+_GROWTH = 1.0625
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th 64-bit hash of each 64-bit hash (SplitMix64's finish)."""
+    z = h + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, sorted; the whole sequence if it is shorter than one."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    if len(parts) < words:
+        parts, words = [b" ".join(parts)], 1
+    digest, out, n = xxhash.xxh64_intdigest, [], len(parts) - words + 1
+    for low in range(0, n, _CHUNK):
+        k = min(_CHUNK, n - low)
+        part = parts[low : low + k + words - 1]
+        joined, size = b" ".join(part), np.fromiter(map(len, part), np.int64, len(part))
+        end = np.cumsum(size + 1) - 1
+        first, last = (end - size)[:k].tolist(), end[words - 1 :].tolist()
+        out.append(np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], np.uint64)))
+    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
+
+
+def sketch(text: bytes | None, words: int) -> tuple[int, bytes]:
+    """(number of distinct shingles, wide SimHash of their set)."""
+    h = shingle_hashes(text, words)
+    total = np.zeros(64 * WIDE, np.int64)
+    for low in range(0, len(h), 4080):
+        x = h[low : low + 4080]
+        bits = np.unpackbits(np.stack([_mixed(x, k) for k in range(1, WIDE + 1)], 1).view(np.uint8), axis=1, bitorder="little")
+        for a in range(0, len(bits), 255):
+            total += np.add.reduce(bits[a : a + 255], axis=0, dtype=np.uint8)
+    return len(h), np.packbits(total * 2 > len(h), bitorder="little").tobytes()
+
+
+def wide_links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, radius: int, similarity: float) -> np.ndarray:
+    """Root (a row number) of each row of x and then y, by links within x and y or, if y is None, within x.
+
+    Rows are wide fingerprints; a link differs in ``radius`` bits at most and its sizes are not too far apart for the
+    similarity. Runs whose population counts differ beyond the radius are skipped; half the words decide for most pairs.
     """
+    own = y is None
+    order = np.argsort(np.bitwise_count(x).sum(1), kind="stable")
+    other = order if own else np.argsort(np.bitwise_count(y).sum(1), kind="stable")
+    a_all, b_all = x[order], (x if own else y)[other]
+    na, nb = nx[order], (nx if own else ny)[other]
+    pa_, pb = np.bitwise_count(a_all).sum(1), np.bitwise_count(b_all).sum(1)
+    left, right = [], []
+    for low in range(0, len(a_all), _SUB):
+        high = min(low + _SUB, len(a_all))
+        c, d = np.searchsorted(pb, [pa_[low] - radius if pa_[low] > radius else 0, pa_[high - 1] + radius + 1])
+        if own:
+            c = max(c, low)
+        if c >= d:
+            continue
+        part, rest = a_all[low:high], b_all[c:d]
+        diff = np.zeros((high - low, d - c), np.uint16)
+        for k in range(WIDE // 2):
+            diff += np.bitwise_count(part[:, k, None] ^ rest[None, :, k])
+        i, j = np.nonzero(diff <= radius)
+        more = diff[i, j] + np.bitwise_count(part[i, WIDE // 2 :] ^ rest[j, WIDE // 2 :]).sum(1)
+        i, j = i[more <= radius] + low, j[more <= radius] + c
+        near = np.minimum(na[i], nb[j]) >= similarity * np.maximum(na[i], nb[j])
+        if own:
+            near &= i < j
+        left.append(order[i[near]])
+        right.append(other[j[near]] + (0 if own else len(x)))
+    n = len(x) + (0 if own else len(y))
+    if not left:
+        return np.arange(n)
+    return local_roots(n, np.concatenate(left), np.concatenate(right))
+
+
+def similar(classes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Edges (u, v) that connect similar classes: (c long, n long, fp binary), a written table of distinct fingerprints.
+
+    Classes are put into bands of size (about one for each 6 %, so that the driver sees some hundreds of them at most); a band
+    meets the few in which a similar set can be. Large bands are cut into tiles by hash.
+    """
+    spark = classes.sparkSession
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(_GROWTH) + 1e-9).cast("int")
+    banded = classes.select("c", "n", "fp", band.alias("a"))
+    parts = {r.a: -(-r.n // tile) for r in banded.groupBy("a").agg(F.count("*").alias("n")).collect()}
+    reach = math.ceil(math.log(1 / similarity) / math.log(_GROWTH))
+    near = [(a, k, b, parts[b]) for a, k in parts.items() for b in range(a, a + reach + 1) if b in parts]
+    near_df = spark.createDataFrame(near, "a int, k int, b int, k2 int")
+    cut = banded.join(F.broadcast(near_df.select("a", "k").distinct()), "a").withColumn("s", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
+    tiles = written(cut.groupBy("a", "s").agg(F.collect_list(F.struct("c", "n", "fp")).alias("x")), "simhash-tiles")
+    left = tiles.join(F.broadcast(near_df), "a").withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("k2") - 1))).where("a < b OR s <= s2")
+    right = tiles.select(F.col("a").alias("b"), F.col("s").alias("s2"), F.col("x").alias("y"))
+    same = (F.col("a") == F.col("b")) & (F.col("s") == F.col("s2"))
+    pairs = left.join(right, ["b", "s2"]).select("x", F.when(~same, F.col("y")).alias("y"))
+
+    def unpacked(v: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = v.values
+        fp = np.frombuffer(b"".join(rows.field("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        return rows.field("c").to_numpy(), rows.field("n").to_numpy(), fp
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                c, n, fp = unpacked(x)
+                if y.values is None:
+                    root = wide_links(fp, n, None, None, radius, similarity)
+                else:
+                    c2, n2, fp2 = unpacked(y)
+                    root = wide_links(fp, n, fp2, n2, radius, similarity)
+                    c = np.concatenate([c, c2])
+                hit = np.nonzero(root != np.arange(len(root)))[0]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(c[root[hit]])], ["u", "v"])
+
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
+    """The rows of ``docs`` to keep: of each component of similar texts the one of smallest id (a null id last; of rows with
+    that id the one of smallest text hash, of wholly equal rows one). All columns stay.
+
+    Texts are similar if their sets of shingles are, as told by 512-bit SimHashes of the sets; wordless texts are alike.
+    An empty table gives no rows. Only ids, sizes and fingerprints are shuffled besides the one join that filters the texts.
+    """
+    names = ["_no", "_id", "_h"]
     key = [
         F.col(id_col).isNull().alias("_no"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"),
         F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_h"),
     ]
-    names = ["_no", "_id", "_h"]
-    marked = docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("raw"), *key).alias("_key"), F.col(text_col).alias("_text"))
-    rows = written(fingerprints(marked, "_key", "_text", words), "simhash-rows")
-    each = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = written(links(each.select("fp"), radius), "simhash-links")
-    roots = components(edges, "simhash-components").select(F.col("node").alias("fp"), "root")
+    marked = docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("raw"), *key).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    schema = with_fields(marked.select("id").schema, "n long, fp binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(x.as_py(), words) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([f for _, f in found], pa.binary())], schema.names)
+
+    rows = written(marked.mapInArrow(run, schema), "simhash-rows")
+    each = rows.groupBy("n", "fp").agg(F.min("id").alias("least")).withColumn("c", F.xxhash64("n", "fp"))
+    classes = written(each, "simhash-classes")
+    edges = written(similar(classes, radius, similarity), "simhash-links")
+    roots = components(edges, "simhash-components").select(F.col("node").alias("c"), "root")
     drop_written(edges)
-    best = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("k"))
+    best = classes.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("least").alias("k"))
     keep = best.select(*(F.col(f"k.{n}").alias(n) for n in names))
     return unboxed(docs.select(boxed(docs), *key).join(keep, names, "left_semi").dropDuplicates(names))
