@@ -46,11 +46,18 @@ class Upcasters:
                 data, version = u.upcast(data), u.to_version
         return data
 
-    def column(self, data: Column, event_type: Column | None = None, version: Column | None = None) -> Column:
+    def column(self, data: Column, event_type: Column | None = None, version: Column | None = None, only: tuple[str, int] | None = None) -> Column:
         """The same as one expression over columns event_type and schema_version; null data (tombstones) stays null.
 
-        For each stored version of a type the chain is known before the plan runs: one CASE, no join.
+        For each stored version of a type the chain is known before the plan runs: one CASE, no join. Its branches must be
+        of one type; where rows are all of one type and version, ``only`` names them, and the result may have another type.
         """
+        if only is not None:
+            kind, at = only
+            for u in self._chains.get(kind, ()):
+                if u.from_version == at:
+                    data, at = u.upcast(data), u.to_version
+            return data
         event_type = F.col("event_type") if event_type is None else event_type
         version = F.col("schema_version") if version is None else version
         out = None

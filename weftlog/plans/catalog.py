@@ -7,6 +7,7 @@ are derived from the plain tables as in :mod:`weftlog.sources.fixtures`; the SQL
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from weftlog.functions import codecs, filters
 from weftlog.operators import appends, folds, metrics, outbox, paging, reads, snapshots, upcasts, verify, watermarks
 from weftlog.sources import fixtures, generators
+from weftlog.sources.commitlog import scratch_folder
+from weftlog.store import EventStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -346,6 +349,26 @@ def upcast_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("global_position", F.col("d.v").alias("schema_version"), F.col("d.k").alias("k"))
 
 
+@query(
+    LOG + """SELECT global_position, 'EUR' AS currency, value AS amount, CAST(user_id AS VARCHAR) AS customer_id, round(value * 100) / 100 AS total FROM L WHERE event_type = 'purchase'"""
+)
+def upcast_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field added, one renamed, one moved into an object, one cast and one dropped, from version 1 to 5 in four steps."""
+    chain = upcasts.Upcasters()
+    chain.register(
+        upcasts.Upcaster("purchase", 1, 2, lambda d: d.withField("currency", F.lit("EUR"))),
+        upcasts.Upcaster("purchase", 2, 3, lambda d: d.withField("amount", d["value"]).dropFields("value")),
+        upcasts.Upcaster("purchase", 3, 4, lambda d: d.withField("customer", F.struct(d["user"].cast("string").alias("id"))).dropFields("user")),
+        upcasts.Upcaster("purchase", 4, 5, lambda d: d.withField("total", F.round(d["cents"].cast("double")) / 100).dropFields("cents", "junk")),
+    )
+    log = fixtures.user_log(spark, sf_dir, versions=False).where("event_type = 'purchase'")
+    cents = (F.col("value") * 100).cast("string")
+    data = F.struct("value", F.col("user_id").alias("user"), cents.alias("cents"), F.lit("x").alias("junk"))
+    # Every row is of version 1, so that the chain's last shape is the column's only one.
+    out = log.select("global_position", chain.column(data, version=F.lit(1), only=("purchase", 1)).alias("d"))
+    return out.select("global_position", "d.currency", "d.amount", F.col("d.customer.id").alias("customer_id"), "d.total")
+
+
 # Projections and the outbox.
 
 
@@ -443,6 +466,55 @@ def append_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", "input_order", "from_version", "stream_version")
 
 
+@query(
+    LOG + f"""SELECT stream_id, stream_version, round(before, 2) AS balance_before, round(before, 2) < value AS refused FROM (SELECT *, coalesce(sum({_CHANGE}) OVER
+    (PARTITION BY stream_id ORDER BY stream_version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM L) WHERE event_type = 'error'"""
+)
+def insufficient_funds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The business rule of a withdrawal: what the balance was before it, and whether it would have been refused."""
+    log = folds.running(fixtures.user_log(spark, sf_dir), _change())
+    before = _money(F.col("balance") - _change())
+    out = log.where("event_type = 'error'").withColumn("balance_before", before)
+    return out.select("stream_id", "stream_version", "balance_before", (F.col("balance_before") < F.col("value")).alias("refused"))
+
+
+# Through the commit log: events appended in one commit, replayed, and streamed into a read model.
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> EventStore:
+    root = f"{scratch_folder(spark)}/store-{uuid.uuid4().hex}"
+    store = EventStore(spark, root)
+    store.setup()
+    rows = fixtures.user_log(spark, sf_dir, versions=False)
+    batch = rows.select("stream_id", "event_type", F.to_json(F.struct("value")).alias("data"), F.col("global_position").alias("input_order"))
+    store.append_frame(batch)
+    return store
+
+
+@query(LOG + f"SELECT stream_id, max(stream_version) AS version, {_BALANCE} FROM L GROUP BY stream_id")
+def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _stored(spark, sf_dir).events()
+    return folds.algebraic(log.withColumn("value", F.get_json_object("data", "$.value").cast("double")), _balance())
+
+
+@query(LOG + "SELECT substr(stream_id, 6) AS entity_id, round(sum(value), 2) AS spent, count(*) AS purchases, max(global_position) AS last_position FROM L WHERE event_type = 'purchase' GROUP BY 1")
+def streamed_read_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftlog.sources import positions
+    from weftlog.streaming import projections
+
+    files = _stored(spark, sf_dir).log.files
+    amount = F.get_json_object("data", "$.value").cast("double")
+    handler = lambda d: d.select("entity_id", "global_position", amount.alias("amount"))
+
+    def part(batch: DataFrame) -> DataFrame:
+        rows = projections.dispatched(batch, "User", {"purchase": handler})
+        return rows.groupBy("entity_id").agg(F.sum("amount").alias("spent"), F.count("*").alias("purchases"), F.max("global_position").alias("last_position"))
+
+    projections.materialise(positions.stream(spark, files.root), part, files.at("model"), files.at("model-checkpoint")).awaitTermination()
+    merge = [_money(F.sum("spent")).alias("spent"), F.sum("purchases").alias("purchases"), F.max("last_position").alias("last_position")]
+    return projections.read_model(spark, files.at("model"), ["entity_id"], merge)
+
+
 # Verification.
 
 
