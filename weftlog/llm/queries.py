@@ -103,5 +103,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found | {"pipeline": pipeline}
 
 
-#: SQL twins: of the operators whose result SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding, lambda c: CASE WHEN c IS NULL OR NOT isfinite(c) THEN 1 ELSE 0 END)) = 0 AND list_sum(list_transform(embedding, lambda c: abs(c))) > 0"
+
+#: SQL twins of the operators whose whole result SQL can express: all others rest on hashes, fits, tokenizers or text
+#: positions that it has no functions for, and are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op6_embeddings": f"""WITH RECURSIVE V AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_USABLE}),
+    E AS (SELECT a.vec_id AS a, b.vec_id AS b FROM V a JOIN V b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+    R(id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT R.id, E.b FROM R JOIN E ON E.a = R.reached),
+    C AS (SELECT id, min(reached) AS component_id FROM R GROUP BY id), N AS (SELECT a, count(*) AS n FROM E GROUP BY a)
+    SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, id = component_id AS kept FROM C LEFT JOIN N ON N.a = C.id"""
+}
