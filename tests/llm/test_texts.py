@@ -225,6 +225,7 @@ def test_page_text():
     assert html.Page("").text([]) == "" and html.Page("just text").text([]) == "just text"
     assert html.Page("a < b <i>c</i> <!-- x").text([]) == "a < b c"
     assert html.Page("<article><p>a<script>x").text([]) == "a"
+    assert html.Page("<article><p>İİİİ<SCRIPT>x</scriptx></Script>b").text([]) == "İİİİb"
     assert html.Page("<div>" * 20_000 + "deep").text([]) == "deep"
 
 

@@ -53,6 +53,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_END = {tag: re.compile(rf"</{tag}(?![a-z0-9-])", re.I) for tag in RAW}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -96,7 +97,6 @@ class Page:
         stack: list[tuple[str, int, int]] = []  # tag, container and depth of dropped elements outside it
         opened: Counter[str] = Counter()
         box = drop = at = 0
-        low = html.lower() if "<" in html else ""
 
         def pop_to(depth: int) -> None:
             nonlocal box, drop
@@ -127,8 +127,8 @@ class Page:
                     pop_to(depth)
                 continue
             if tag in RAW:
-                end = low.find(f"</{tag}", at)
-                close = html.find(">", end) if end >= 0 else -1
+                end = _END[tag].search(html, at)
+                close = html.find(">", end.end()) if end else -1
                 at = close + 1 if close >= 0 else len(html)
                 continue
             if tag in BLOCKS:
