@@ -241,7 +241,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # The number of a class need only be its own; 64 bits of hash and the width tell classes apart.
     classes = written(same.withColumn("id", F.xxhash64("h1", "h2", "d")), "embedding-classes")
     parts = []
-    for d in sorted(r.d for r in classes.select("d").distinct().limit(64).collect()):
+    for d in sorted(r.d for r in classes.select("d").distinct().collect()):
         parts.append(written(links(written(classes.where(F.col("d") == d), "embedding-width"), threshold, **how), "embedding-links"))
     none = rows.sparkSession.createDataFrame([], "id long, count long, edge long")
     found = none
