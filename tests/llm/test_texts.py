@@ -354,6 +354,15 @@ def test_wide_links_lose_none():
     assert (a == simhash.local_roots(600, i[b], j[b])).all()
 
 
+def test_written_tables_can_be_forgotten(spark):
+    a, b = (common.written(spark.range(3).toDF("n"), "test") for _ in range(2))
+    assert a.count() == 3
+    common.drop_written(a)
+    assert b.count() == 3 and not any("test-" in p and p == a._weftlog_path for p in common._WRITTEN)
+    common.forget(spark)
+    assert not common._WRITTEN
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(2)
     links = [(k, k + 1) for k in range(60)] + [(1000, 1001 + k) for k in range(50)] + [(rng.randrange(2000, 2040), rng.randrange(2000, 2040)) for _ in range(30)]

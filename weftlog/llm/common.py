@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Paths of the tables that this process wrote and has not deleted.
+_WRITTEN: set[str] = set()
+
+
 @cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="weftlog-")
@@ -33,6 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftlog/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftlog_path = path
     return out
@@ -40,11 +45,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Delete the table behind a frame that :func:`written` returned; no later action may read it."""
-    path = getattr(df, "_weftlog_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if path := getattr(df, "_weftlog_path", None):
+        _delete(df.sparkSession, path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that operators have written in this process: once no frame that they returned is read any more."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
