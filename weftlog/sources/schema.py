@@ -38,6 +38,7 @@ EVENT_COLUMNS = [
 REPLAY_COLUMNS = [*EVENT_COLUMNS[:-1], "encrypted_data", "crypto_key_id", "schema_version", "created_at"]
 
 OUTBOX = _struct("id long, event_global_pos long, topic string, payload string, created_at timestamp")
+HEADS = _struct("stream_id string, version int")
 ACKS = _struct("id long, processed_at timestamp")
 CRYPTO_KEYS = _struct("key_id string, encrypted_key binary, algorithm string, revoked_at timestamp, created_at timestamp")
 

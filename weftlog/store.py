@@ -206,6 +206,7 @@ class Transaction:
             folders.setdefault("outbox", []).append(log.stage("outbox", spark.createDataFrame(rows, schema.OUTBOX).coalesce(1)))
         return {
             "folders": folders, "keys": self.keys, "checkpoints": self.checkpoints, "streams": sorted({r["stream_id"] for r in self.rows}),
+            "heads": {s: self._heads[s] for s in {r["stream_id"] for r in self.rows}},
             "ranges": {f: [self.state.last_position + 1, self.state.last_position + len(self.rows)] for f in folders.get("events", ())},
             "last_position": self.state.last_position + len(self.rows), "last_outbox": first + len(self.entries),
         }
@@ -258,17 +259,26 @@ class EventStore:
             touched = self.log.touched_since(at) if at <= state.commit_id else None
             if touched is not None and stream_id not in touched:
                 return version
-        version = reads.head(self._log(state), stream_id).first().version
+        version = state.heads.get(stream_id, 0)
+        if state.folders["heads"]:
+            stored = self.log.table("heads", state).where(F.col("stream_id") == stream_id).agg(F.max("version").alias("v")).first().v
+            version = max(version, stored or 0)
         self._known_heads[stream_id] = (state.commit_id, version)
         return version
 
+    def _heads_of(self, streams: DataFrame, state: Snapshot) -> DataFrame:
+        """(stream_id, version) of those of ``streams`` that exist: from the table of heads, not the log."""
+        small = self.spark.createDataFrame(list(state.heads.items()), schema.HEADS)
+        known = self.log.table("heads", state).unionByName(small).join(streams.distinct(), "stream_id", "left_semi")
+        return known.groupBy("stream_id").agg(F.max("version").alias("version"))
+
     def with_transaction(self, work: Callable[[Transaction], Any]) -> Any:
         """Run ``work`` on a transaction and publish it; nothing is published if it raises."""
 
         held: list[Any] = []
 
         def build(state: Snapshot) -> tuple[Mapping[str, Any], Any] | None:
-            tx = Transaction(self, copy.copy(state))
+            tx = Transaction(self, state.pinned())
             result = work(tx)
             held[:] = [result, tx]
             return (tx.body(), None) if tx.changed else None
@@ -319,9 +329,10 @@ class EventStore:
             raise errors.ReservedSnapshotEventTypeError(hit.event_type) if hit.event_type and validation.is_snapshot_type(hit.event_type) else errors.InvalidArgumentError("batch", "needs stream_id and event_type in each row")
 
         def build(state: Snapshot) -> tuple[Mapping[str, Any], int]:
-            heads = reads.heads(self._log(state))
+            heads = self._heads_of(rows.select("stream_id"), state)
             if expected is not None:
-                lost = appends.checked(expected, heads).where("conflict").orderBy("stream_id").first()
+                asked = self._heads_of(expected.select("stream_id"), state)
+                lost = appends.checked(expected, asked).where("conflict").orderBy("stream_id").first()
                 if lost:
                     raise errors.OptimisticConcurrencyError(lost.stream_id, lost.expected_version, lost.actual_version)
             numbered = appends.numbered(rows, heads).repartitionByRange("input_order").sortWithinPartitions("input_order", "stream_id", "stream_version")
@@ -340,11 +351,11 @@ class EventStore:
                 F.coalesce("data", F.lit("null")).alias("data"), F.to_json(merged).alias("extensions"), F.lit(None).cast(schema.ENCRYPTED).alias("encrypted_data"),
                 F.lit(None).cast("string").alias("crypto_key_id"), "schema_version", now.alias("created_at"), F.lit(state.commit_id + 1).alias("txid"),
             )
-            folder = log.stage("events", whole)
-            n = draft.count()
+            folder, n = log.stage("events", whole), draft.count()
+            ends = log.stage("heads", draft.groupBy("stream_id").agg(F.max("stream_version").alias("version")))
             log.files.delete(path.removeprefix(f"{log.files.root}/"))
             reach = {folder: [state.last_position + 1, state.last_position + n]}
-            return {"folders": {"events": [folder]}, "ranges": reach, "streams": None, "last_position": state.last_position + n}, n
+            return {"folders": {"events": [folder], "heads": [ends]}, "ranges": reach, "streams": None, "last_position": state.last_position + n}, n
 
         return log.commit(build)
 
@@ -405,10 +416,10 @@ class EventStore:
         validation.positive(from_version, "from_version")
         if max_events is not None:
             validation.positive(max_events, "max_events")
-        return (tx or Transaction(self, self.log.refresh())).load(stream_id, from_version, max_events)
+        return (tx or Transaction(self, self.log.refresh().pinned())).load(stream_id, from_version, max_events)
 
     def load_latest_event_by_type(self, stream_id: str, event_type: str, tx: Transaction | None = None) -> Event | None:
-        return (tx or Transaction(self, self.log.refresh())).latest(stream_id, event_type)
+        return (tx or Transaction(self, self.log.refresh().pinned())).latest(stream_id, event_type)
 
     def get_stream_version(self, stream_id: str) -> int:
         return self._head(stream_id, self.log.refresh())
@@ -644,7 +655,7 @@ class SnapshotHandle:
     def load(self, store: EventStore, entity_id: str, tx: Transaction | None = None) -> SnapshotLoad:
         """Only the newest snapshot is looked at: where its key is gone, all events are replayed."""
         stream = filters.stream_id(self.stream_prefix, entity_id)
-        tx = tx or Transaction(store, store.log.refresh())
+        tx = tx or Transaction(store, store.log.refresh().pinned())
         newest = tx.latest(stream, self.snapshot_event_type)
         based = newest is not None and not newest.tombstoned
         state, base = (newest.data, newest.stream_version) if based else (copy.deepcopy(self.initial_state), None)
