@@ -1,7 +1,7 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are 64-bit SimHashes over word shingles. Distinct fingerprints are cut into tiles by the population
-counts of their halves; only tile pairs whose counts can differ by the radius or less are compared, in numpy, with
+counts of their quarters; only tile pairs whose counts can differ by the radius or less are compared, in numpy, with
 exclusive-or and bit counts over all their members (exact: no banding, no missed link). A tile pair returns the
 edges of a spanning forest, never all its pairs, and components are found by joins.
 """
@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -121,52 +124,48 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.nda
 def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints of ``fps`` (fp long) linked within ``radius`` bits.
 
-    The classes are the 33 x 33 pairs of population counts of a fingerprint's halves, so that what the driver sees
-    of them is bounded; a large class is cut into tiles of about ``tile`` fingerprints by hash.
+    A class is the population counts of a fingerprint's four quarters: 17^4 of them at most, whatever the rows. Linked
+    fingerprints are in classes whose counts differ by the radius or less in all (129 for radius 3, a twenty-fifth of the
+    pairs). A large class is cut into tiles of about ``tile`` by hash; each tile meets one group of others at a time, one
+    for each class in reach, so that no task holds more than some 130 tiles.
     """
     spark = fps.sparkSession
-    low, high = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_count(F.shiftrightunsigned("fp", 32))
-    classed = fps.select("fp", low.cast("int").alias("a"), high.cast("int").alias("b"))
-    sizes = {(r.a, r.b): r.n for r in classed.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
-    parts = {c: -(-n // tile) for c, n in sizes.items()}
-    near = [
-        (a, b, parts[a, b], c, d, parts[c, d])
-        for a, b in parts
-        for c in range(a - radius, a + radius + 1)
-        for d in range(b - radius, b + radius + 1)
-        if abs(a - c) + abs(b - d) <= radius and (c, d) in parts and (a, b) <= (c, d)
-    ]
-    near_df = spark.createDataFrame(near, "a int, b int, k int, c int, d int, k2 int")
-    kinds = F.broadcast(near_df.select("a", "b", "k").distinct())
-    tiles = written(
-        classed.join(kinds, ["a", "b"])
-        .withColumn("s", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
-        .groupBy("a", "b", "s")
-        .agg(F.collect_list("fp").alias("x")),
-        "simhash-tiles",
-    )
-    left = (
-        tiles.join(F.broadcast(near_df), ["a", "b"])
-        .withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)))
-        .where("a < c or b < d or s <= s2")
-    )
-    right = tiles.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("s").alias("s2"), F.col("x").alias("y"))
-    same = (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")) & (F.col("s") == F.col("s2"))
-    pairs = left.join(right, ["c", "d", "s2"]).select("x", F.when(~same, F.col("y")).alias("y"))
+    quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
+    code = sum((quarter(k) * 32**k for k in range(1, 4)), quarter(0)).cast("int")
+    classed = fps.select("fp", code.alias("a"))
+    sizes = written(classed.groupBy("a").agg(F.ceil(F.count("*") / tile).cast("int").alias("k")), "simhash-classes")
+    cut = classed.join(F.broadcast(sizes), "a").withColumn("s", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    tiles = written(cut.groupBy("a", "s").agg(F.collect_list("fp").alias("x")), "simhash-tiles")
+    reach = [o for o in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, o)) <= radius]
+    steps = [(o, sum(d * 32**k for k, d in enumerate(o))) for o in reach]
+    counts = [F.shiftright("a", 5 * k).bitwiseAND(F.lit(31)) for k in range(4)]
+    ok = lambda o: reduce(and_, ((c + d >= 0) & (c + d <= 16) for c, d in zip(counts, o)))
+    # Only towards smaller classes, and within a class smaller tiles: each pair is met once.
+    targets = F.array(*(F.when(ok(o), F.col("a") + d) for o, d in steps if d <= 0))
+    sent = tiles.select("a", "s", "x", F.explode(targets).alias("b")).join(F.broadcast(sizes.withColumnRenamed("a", "b")), "b")
+    sent = sent.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("b < a OR t <= s")
+    met = sent.groupBy("b", "t", "s").agg(F.collect_list(F.struct((F.col("a") == F.col("b")).alias("own"), F.col("x").alias("y"))).alias("ys"))
+    pairs = met.join(tiles.select(F.col("a").alias("b"), F.col("s").alias("t"), "x"), ["b", "t"]).select("x", "ys", (F.col("s") == F.col("t")).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fp(v: pa.ListScalar) -> np.ndarray | None:
-            return None if v.values is None else v.values.to_numpy(zero_copy_only=False).view(np.uint64)
-
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                u, v = tile_links(fp(x), fp(y), radius)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            for x, ys, same in zip(*batch.columns):
+                x, own, y = _fp(x.values), ys.values.field("own").to_numpy(zero_copy_only=False), ys.values.field("y")
+                found = [tile_links(x, None, radius)] if same.as_py() and own.any() else []
+                others = [_fp(v.values) for v, mine in zip(y, own) if not (mine and same.as_py())]
+                if others:
+                    found.append(tile_links(x, np.concatenate(others), radius))
+                for u, v in found:
+                    if len(u):
+                        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long")
 
 
+def _fp(v: pa.Array) -> np.ndarray:
+    return v.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def hex_fp(col: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
