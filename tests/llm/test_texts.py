@@ -136,6 +136,9 @@ def test_scores_on_edges(spark, edge):
     out = quality.score(edge, model).collect()
     assert len(out) == len(EDGE) and all(0 <= r.score <= 1 for r in out)
     assert quality.kept(edge, labels).columns == edge.columns
+    kept = quality.kept(edge, labels.limit(0))
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, edge.collect()))
+    assert quality.score(edge.select("text"), model).columns == ["text", "score"]
     assert quality.kept(edge, labels.limit(0)).count() == len(EDGE)
     assert quality.kept(empty(spark), labels).count() == 0
     tox = toxicity.score(edge, toxicity.train(edge, labels)).collect()

@@ -105,8 +105,12 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
 
 
 def boxed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
-    """All columns but some as one struct, so that an operator's own columns beside it clash with no name: "_row"."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without)).alias("_row")
+    """All columns but some as one struct, so that an operator's own columns beside it clash with no name: "_row".
+
+    With no column left it holds a null called ``_none``.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.struct(*cols or [F.lit(None).cast("int").alias("_none")]).alias("_row")
 
 
 def unboxed(df: DataFrame, *more: str | Column) -> DataFrame:

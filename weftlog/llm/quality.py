@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import boxed, unboxed, with_fields
+from weftlog.llm.common import boxed, with_fields
 
 #: Most labelled rows of either label that the fit sees: the first in seeded order.
 SAMPLE = 4000
@@ -144,17 +144,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
 def score(docs: DataFrame, model: Ranking, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name`` (0 to 1): every whole text scored, null like empty; a column of that name is replaced."""
-    sent = docs.select(boxed(docs, (name,)), F.col(text_col).cast("binary").alias("_text"))
-    schema = with_fields(sent.select("_row").schema, "_score double")
+    sent = docs.select(boxed(docs, (name, text_col)), F.col(text_col).cast("string").alias("_text"))
+    schema = with_fields(sent.schema, "_score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column(1)]).reshape(b.num_rows, -1)
+            x = np.array([features(t.as_py()) for t in b.column(1).cast(pa.binary())]).reshape(b.num_rows, -1)
             s = shared.value.score(x) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], schema.names)
 
-    return unboxed(sent.mapInArrow(run, schema), F.col("_score").alias(name))
+    kept_names = [c for c in docs.columns if c != name]
+    texts = {text_col: F.col("_text").alias(text_col)}
+    return sent.mapInArrow(run, schema).select(*(texts.get(c, F.col(f"_row.`{c}`")) for c in kept_names), F.col("_score").alias(name))
 
 
 def kept(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -164,5 +166,7 @@ def kept(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, lab
     without labels of both kinds every row stays; an empty table gives no rows.
     """
     model = train(docs, labels if train_on is None else labels.where(train_on), label, id_col, text_col)
-    boxes = docs.select(boxed(docs), F.col(text_col).alias("_text"))
-    return unboxed(score(boxes, model, "_text").where(F.col("score") >= cut))
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, text_col, name).where(F.col(name) >= cut).drop(name)
