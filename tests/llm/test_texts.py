@@ -345,6 +345,39 @@ def test_wide_fingerprints_tell_similarity(spark):
     assert len(sure) > 30 and len(never) > 10
 
 
+def test_similarity_is_decided_by_the_sets(spark):
+    """Windows of distinct words that share just enough shingles for 0.8, or one shingle too few."""
+    rng = random.Random(9)
+    rows, gone = [], set()
+    for n, shared in ((5, 5), (9, 8), (8, 7), (45, 40), (45, 39), (63, 56), (90, 80), (90, 79), (200, 178), (200, 177), (450, 400), (450, 399)):
+        for _ in range(12):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(2 * n - shared + 4)]
+            k = len(rows)
+            rows += [(k, " ".join(words[: n + 4])), (k + 1, " ".join(words[n - shared :]))]
+            if shared >= 0.8 * (2 * n - shared):
+                gone.add(k + 1)
+    for k in range(12):  # five shingles against four of them
+        words = [f"w{k}x{m}" for m in range(9)]
+        gone.add(len(rows) + 1)
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:8]))]
+    kept = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k for k, _ in rows} - gone
+
+
+@pytest.mark.parametrize("columns", [3, 4096])
+def test_set_links_equal_brute_force(monkeypatch, columns):
+    monkeypatch.setattr(simhash, "_COLUMNS", columns)
+    rng = np.random.default_rng(6)
+    base = [rng.permutation(40)[:20] for _ in range(6)]
+    sets = [np.unique(np.append(rng.permutation(base[k % 6])[: rng.integers(15, 21)], rng.integers(0, 40, 2))).astype(np.uint64) for k in range(60)]
+    j = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+    i, k = np.nonzero(j >= 0.8)
+    assert (simhash.set_links(sets, None, 0.8) == simhash.local_roots(60, i, k)).all()
+    first = rng.random(60) < 0.4
+    across = first[i] & ~first[k]
+    assert (simhash.set_links(sets, first, 0.8) == simhash.local_roots(60, i[across], k[across])).all()
+
+
 def test_wide_links_lose_none():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (200, simhash.WIDE), dtype=np.uint64)

@@ -188,15 +188,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(lookup, "fp").select("id", "fp", "component")
 
 
-# Near-duplicates by shingle similarity: wide fingerprints of the set of shingles.
+# Near-duplicates by shingle similarity: wide fingerprints and shared shingles find candidates, the sets themselves decide.
 
 #: 64-bit words of a wide fingerprint.
 WIDE = 8
 SIMILARITY = 0.8
-#: Differing bits of 512 that link: two sets of equal size and Jaccard similarity 0.8 differ in 77 of 512 on average, with a
-#: standard deviation of 8 (fewer bits if sizes differ), so that nearly all pairs of 0.8 and more are linked, few under 0.7.
-WIDE_RADIUS = 80
+#: Differing bits of 512 that make a candidate, no more: two sets of equal size and Jaccard similarity 0.8 differ in 77 of 512
+#: on average, with a standard deviation of 8 (fewer bits if sizes differ), so that this is four deviations further out.
+WIDE_RADIUS = 110
+#: Sets of so many shingles or fewer also become candidates by the shingles they share, which misses none.
+SMALL = 64
 _GROWTH = 1.0625
+#: Words of a wide fingerprint that decide for most pairs: unrelated ones differ in 160 of 320 bits, with a deviation of 9.
+_FIRST = 5
+#: Sets, and shingles, of a slice of candidates whose sets are compared together.
+_SETS, _SHINGLES = 512, 1 << 18
+_COLUMNS = 4096
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -225,23 +232,53 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
 
 
-def sketch(text: bytes | None, words: int) -> tuple[int, bytes]:
-    """(number of distinct shingles, wide SimHash of their set)."""
-    h = shingle_hashes(text, words)
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """Wide SimHash of a set of shingle hashes."""
     total = np.zeros(64 * WIDE, np.int64)
     for low in range(0, len(h), 4080):
         x = h[low : low + 4080]
         bits = np.unpackbits(np.stack([_mixed(x, k) for k in range(1, WIDE + 1)], 1).view(np.uint8), axis=1, bitorder="little")
         for a in range(0, len(bits), 255):
             total += np.add.reduce(bits[a : a + 255], axis=0, dtype=np.uint8)
-    return len(h), np.packbits(total * 2 > len(h), bitorder="little").tobytes()
+    return np.packbits(total * 2 > len(h), bitorder="little").tobytes()
+
+
+def _class(h: np.ndarray) -> int:
+    """A hash of a set of hashes, signed."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+
+
+def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The smallest hashes of a sorted set, as many as any set of that similarity must share one of with it."""
+    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else h
+
+
+def set_links(sets: list[np.ndarray], first: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Root of each of ``sets`` (of distinct hashes), by links of that Jaccard similarity or more: between the sets marked
+    ``first`` and the others, or among all if it is None. Exact."""
+    size = np.array([len(h) for h in sets], np.int64)
+    rows, cols = (np.arange(len(sets)),) * 2 if first is None else (np.nonzero(first)[0], np.nonzero(~first)[0])
+    shared = np.zeros((len(rows), len(cols)))
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    at = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[token]
+    doc = np.repeat(np.arange(len(sets)), size)[at >= 0]
+    at = at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
+        a, b = np.searchsorted(at, [low, low + _COLUMNS])
+        has = np.zeros((len(sets), min(_COLUMNS, int(at[-1]) + 1 - low)), np.float32)
+        has[doc[a:b], at[a:b] - low] = 1
+        shared += has[rows] @ has[cols].T
+    i, j = np.nonzero(shared >= similarity * (size[rows][:, None] + size[cols] - shared) - 1e-9)
+    return local_roots(len(sets), rows[i], cols[j])
 
 
 def wide_links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, radius: int, similarity: float) -> np.ndarray:
     """Root (a row number) of each row of x and then y, by links within x and y or, if y is None, within x.
 
     Rows are wide fingerprints; a link differs in ``radius`` bits at most and its sizes are not too far apart for the
-    similarity. Runs whose population counts differ beyond the radius are skipped; half the words decide for most pairs.
+    similarity. Runs whose population counts differ beyond the radius are skipped; the first words decide for most pairs.
     """
     own = y is None
     order = np.argsort(np.bitwise_count(x).sum(1), kind="stable")
@@ -259,10 +296,10 @@ def wide_links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarr
             continue
         part, rest = a_all[low:high], b_all[c:d]
         diff = np.zeros((high - low, d - c), np.uint16)
-        for k in range(WIDE // 2):
+        for k in range(_FIRST):
             diff += np.bitwise_count(part[:, k, None] ^ rest[None, :, k])
         i, j = np.nonzero(diff <= radius)
-        more = diff[i, j] + np.bitwise_count(part[i, WIDE // 2 :] ^ rest[j, WIDE // 2 :]).sum(1)
+        more = diff[i, j] + np.bitwise_count(part[i, _FIRST:] ^ rest[j, _FIRST:]).sum(1)
         i, j = i[more <= radius] + low, j[more <= radius] + c
         near = np.minimum(na[i], nb[j]) >= similarity * np.maximum(na[i], nb[j])
         if own:
@@ -276,7 +313,7 @@ def wide_links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarr
 
 
 def similar(classes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """Edges (u, v) that connect similar classes: (c long, n long, fp binary), a written table of distinct fingerprints.
+    """Edges (u, v) that connect candidates: classes (c long, n long, fp binary), a written table of distinct sets.
 
     Classes are put into bands of size (about one for each 6 %, so that the driver sees some hundreds of them at most); a band
     meets the few in which a similar set can be. Large bands are cut into tiles by hash.
@@ -317,12 +354,48 @@ def similar(classes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = S
     return pairs.mapInArrow(run, "u long, v long")
 
 
+def sharing(classes: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all classes (c long, few array of shingle hashes) that share one of ``few``."""
+    entries = classes.select("c", F.explode("few").alias("h"))
+    hubs = entries.groupBy("h").agg(F.min("c").alias("v"), F.count("*").alias("m")).where("m > 1")
+    return entries.join(hubs, "h").where("c != v").select(F.col("c").alias("u"), "v")
+
+
+def verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect the similar sets of each group of candidates: (c, g long, parts int, s binary).
+
+    Every pair of a group is compared by its sets. A large group is cut into ``parts`` slices by hash, each pair of which is a
+    task's work; spanning edges come back, never all pairs.
+    """
+    cut = sets.withColumn("k", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("k", x).alias("p"), F.greatest("k", x).alias("q")))
+    cut = cut.withColumn("pq", F.explode(pairs)).select("g", "pq.p", "pq.q", F.struct("c", (F.col("k") == F.col("pq.p")).alias("first"), "s").alias("x"))
+    met = cut.groupBy("g", "p", "q").agg(F.collect_list("x").alias("x")).select((F.col("p") == F.col("q")).alias("same"), "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, x in zip(*batch.columns):
+                rows = x.values
+                c, first = rows.field("c").to_numpy(), rows.field("first").to_numpy(zero_copy_only=False)
+                if len(c) < 2 or not same.as_py() and first.all():
+                    continue
+                held = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.field("s")]
+                root = set_links(held, None if same.as_py() else first, similarity)
+                hit = np.nonzero(root != np.arange(len(root)))[0]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(c[root[hit]])], ["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
     """The rows of ``docs`` to keep: of each component of similar texts the one of smallest id (a null id last; of rows with
     that id the one of smallest text hash, of wholly equal rows one). All columns stay.
 
-    Texts are similar if their sets of shingles are, as told by 512-bit SimHashes of the sets; wordless texts are alike.
-    An empty table gives no rows. Only ids, sizes and fingerprints are shuffled besides the one join that filters the texts.
+    Texts are similar if the Jaccard similarity of their sets of shingles is ``similarity`` or more, told by the sets; wordless
+    texts are alike. Candidates are the components of sets whose 512-bit SimHashes are within ``radius`` and, of sets of
+    :data:`SMALL` shingles or fewer, of those that share a shingle by which all similar ones are met. An empty table gives no
+    rows. Texts are shuffled twice: to make the candidates' sets anew, and to keep the chosen rows.
     """
     names = ["_no", "_id", "_h"]
     key = [
@@ -331,19 +404,37 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_h"),
     ]
     marked = docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("raw"), *key).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    schema = with_fields(marked.select("id").schema, "n long, fp binary")
+    schema = with_fields(marked.select("id").schema, "n long, fp binary, c long, few array<long>")
+    most = math.floor(SMALL / similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(x.as_py(), words) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([f for _, f in found], pa.binary())], schema.names)
+            found = [(len(h), wide_fingerprint(h), _class(h), prefix(h, similarity).view(np.int64) if len(h) <= most else None) for h in (shingle_hashes(x.as_py(), words) for x in b.column(1))]
+            cols = [pa.array(list(v), t) for v, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())))] if found else []
+            if found:
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema.names)
 
     rows = written(marked.mapInArrow(run, schema), "simhash-rows")
-    each = rows.groupBy("n", "fp").agg(F.min("id").alias("least")).withColumn("c", F.xxhash64("n", "fp"))
+    each = rows.groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("few").alias("few"))
     classes = written(each, "simhash-classes")
-    edges = written(similar(classes, radius, similarity), "simhash-links")
+    likely = written(similar(classes, radius, similarity).unionByName(sharing(classes)), "simhash-candidates")
+    groups = components(likely, "simhash-groups").select(F.col("node").alias("c"), F.col("root").alias("g"))
+    drop_written(likely)
+    chosen = written(classes.join(groups, "c").select("c", "g", "n", *(F.col(f"least.{k}").alias(k) for k in names)), "simhash-chosen")
+    parts = F.ceil(F.greatest(F.count("*") / _SETS, F.sum("n") / _SHINGLES)).cast("int").alias("parts")
+    cut = chosen.join(chosen.groupBy("g").agg(parts), "g").select("c", "g", "parts", *names)
+    texts = docs.select(*key, F.col(text_col).cast("binary").alias("t")).join(cut, names).select("c", "g", "parts", "t")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = pa.array([shingle_hashes(x.as_py(), words).tobytes() for x in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], s], ["c", "g", "parts", "s"])
+
+    sets = texts.mapInArrow(again, "c long, g long, parts int, s binary").dropDuplicates(["c"])
+    edges = written(verified(sets, similarity), "simhash-links")
     roots = components(edges, "simhash-components").select(F.col("node").alias("c"), "root")
     drop_written(edges)
+    drop_written(chosen)
     best = classes.join(roots, "c", "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("least").alias("k"))
     keep = best.select(*(F.col(f"k.{n}").alias(n) for n in names))
     return unboxed(docs.select(boxed(docs), *key).join(keep, names, "left_semi").dropDuplicates(names))
