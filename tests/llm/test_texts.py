@@ -535,6 +535,20 @@ def test_secrets_equal_brute_force(spark, docs, texts):
         assert r.text == out + t[at:]
 
 
+def scanned_and_redacted(spark, texts: list[str]) -> None:
+    """Spans and masked texts against brute force; every text has all its parts reported."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.digest(secrets.scan(df)).collect():
+        assert r.spans == listed(slow_links(texts[r.id])) and {"identifier", "opaque", "endpoint"} <= set(re.findall("[a-z]+", r.spans))
+    out = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert all(out[k].count(secrets.MASK) == 3 for k in range(len(texts)))
+
+
+@pytest.mark.parametrize("endpoint", ["s3://bucket/x", "h2://db.example/x", "oauth2://login.example", "git+3://a.example", "C3://bucket/x"])
+def test_secrets_of_endpoints_without_strong_words(spark, endpoint):
+    scanned_and_redacted(spark, [f"user=bob key AbCdEfGh1234567890XyZw at {endpoint} now"])
+
+
 def test_secret_edges(spark, edge):
     rows = secrets.scan(edge).collect()
     assert len(rows) == len(EDGE) and sum(bool(r.spans) for r in rows) == 1

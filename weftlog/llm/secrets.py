@@ -72,8 +72,8 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     strong = F.lit(False)
     for pattern in _ANY.values():
         strong = strong | F.rlike(text, F.lit(pattern))
-    secret, name, place = F.rlike(text, F.lit(OPAQUE)), F.rlike(text, F.lit(IDENTIFIER)), F.rlike(text, F.lit(r"(?i)[a-z]://"))
-    likely = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(strong | (secret & name & place))
+    secret, name, place = F.rlike(text, F.lit(OPAQUE)), F.rlike(text, F.lit(IDENTIFIER)), F.contains(text, F.lit("://"))
+    likely = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(strong | (place & name & secret))
     keyed = likely.select(_key("_id", "_t").alias("key"), "_t")
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), _found(text, name).alias("found")) for k, name in enumerate(KINDS)))
     rows = keyed.select("key", F.explode(kinds).alias("x")).where(F.size("x.found") > 0)
