@@ -549,6 +549,15 @@ def test_secrets_of_endpoints_without_strong_words(spark, endpoint):
     scanned_and_redacted(spark, [f"user=bob key AbCdEfGh1234567890XyZw at {endpoint} now"])
 
 
+def test_long_opaque_secrets(spark):
+    long = ["Ab3" * 67, "Ab3/" * 60 + "==", "x" * 300 + "A1", "aB-_" * 5000 + "7"]
+    scanned_and_redacted(spark, [f"user=bob at https://api.example.com/v1 key {s} now" for s in long])
+    for s in (*long, "Ab3" * 66, "AbCdEfGh1234567890Xy"):
+        assert [m[0] for m in re.finditer(secrets.OPAQUE, f"a {s} b", re.A)] == [s]
+    for s in ("a" * 300 + "1", "A1" * 150, "aB" * 150, "Ab3" * 6, "Ab3" * 80 + "==="):
+        assert not re.search(secrets.OPAQUE, f"a {s} b", re.A)
+
+
 def test_secret_edges(spark, edge):
     rows = secrets.scan(edge).collect()
     assert len(rows) == len(EDGE) and sum(bool(r.spans) for r in rows) == 1
