@@ -558,6 +558,12 @@ def test_long_opaque_secrets(spark):
         assert not re.search(secrets.OPAQUE, f"a {s} b", re.A)
 
 
+def test_prefixed_identifiers(spark):
+    names = ["aws_access_key_id=", "AZURE_CLIENT_ID=", "DB_USER=", "db_username: ", "x__account_name = ", "user="]
+    scanned_and_redacted(spark, [f"{n}bob7 key AbCdEfGh1234567890XyZw at https://api.example.com/v1 now" for n in names])
+    assert not re.search(secrets.IDENTIFIER, "superuser=bob7 2login=bob7", re.A)
+
+
 def test_secret_edges(spark, edge):
     rows = secrets.scan(edge).collect()
     assert len(rows) == len(EDGE) and sum(bool(r.spans) for r in rows) == 1

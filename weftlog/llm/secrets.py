@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
 
 #: Weak candidates: a login or key identifier, an unnamed random string, an address of a service.
-IDENTIFIER = r"""(?i)\b(?:access_?key(?:_?id)?|client_?id|account(?:_?(?:id|name))?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
+IDENTIFIER = r"""(?i)(?<![A-Za-z0-9])(?:access_?key(?:_?id)?|client_?id|account(?:_?(?:id|name))?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"""(?i)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}"""
 
