@@ -232,6 +232,16 @@ def test_page_text():
     assert html.Page("<div>" * 20_000 + "deep").text([]) == "deep"
 
 
+@pytest.mark.parametrize("attribute", ['class="post" data-title="The hidden life of trees"', 'data-id="comments-12"', "data-role=navigation", "title='id=ads role=menu'", "data-hidden", "x-class=ad hidden-by=no"])
+def test_other_attributes_drop_nothing(attribute):
+    for tag in ("article", "div"):
+        assert html.Page(f"<body><{tag} {attribute}><p>All of it</p></{tag}>").text([]) == "All of it"
+
+
+def test_attributes_are_whole_names():
+    assert html._attributes(""" ID = a1 data-id="x" Class='b "c" &amp;' hidden/ aria-hidden=true""") == {"id": "a1", "class": 'b "c" &', "hidden": "", "aria-hidden": "true"}
+
+
 def test_winning_paths_decide(spark):
     usual = [(k, f"http://h.example/{k}", f'<body><div class="c1"><p>{"word " * 40}{k}</p></div><div class="related"><p>extra</p></div>') for k in range(6)]
     odd = (9, "http://H.example/9", f'<body><div class="c1"><p>short</p></div><div class="x"><p>{"noise " * 60}</p></div>')

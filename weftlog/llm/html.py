@@ -51,13 +51,15 @@ CLOSES = {
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+# Matched one after the other, so that what stands in a value or is a part of a longer name is no attribute.
+_ATTRIBUTE = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_KNOWN = frozenset("class id role itemprop hidden style aria-hidden".split())
 _WORD = re.compile(r"[a-z]+")
 _END = {tag: re.compile(rf"</{tag}(?![a-z0-9-])", re.I) for tag in RAW}
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text else {}
+    return {k: unescape(v.strip("\"'")) for name, v in _ATTRIBUTE.findall(text) if (k := name.lower()) in _KNOWN} if text else {}
 
 
 def _dropped(tag: str, at: dict[str, str], in_article: bool) -> bool:
