@@ -242,6 +242,13 @@ def test_attributes_are_whole_names():
     assert html._attributes(""" ID = a1 data-id="x" Class='b "c" &amp;' hidden/ aria-hidden=true""") == {"id": "a1", "class": 'b "c" &', "hidden": "", "aria-hidden": "true"}
 
 
+def test_self_closed_svg_is_empty():
+    for svg in ("<svg/>", '<svg class="icon"/>', '<SVG class="a=b" />'):
+        assert html.Page(f"<article><p>One {svg}two</p><p>Three").text([]) == "One two\n\nThree"
+        assert html.Page(f"<article><p>One {svg}two <svg><text>x</text></svg>three").text([]) == "One two three"
+    assert html.Page("<article><p>One <svg class=icon/><path d=z></svg>two").text([]) == "One two"
+
+
 def test_winning_paths_decide(spark):
     usual = [(k, f"http://h.example/{k}", f'<body><div class="c1"><p>{"word " * 40}{k}</p></div><div class="related"><p>extra</p></div>') for k in range(6)]
     odd = (9, "http://H.example/9", f'<body><div class="c1"><p>short</p></div><div class="x"><p>{"noise " * 60}</p></div>')

@@ -62,6 +62,14 @@ def _attributes(text: str) -> dict[str, str]:
     return {k: unescape(v.strip("\"'")) for name, v in _ATTRIBUTE.findall(text) if (k := name.lower()) in _KNOWN} if text else {}
 
 
+def _self_closed(attributes: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    last = 0
+    for match in _ATTRIBUTE.finditer(attributes):
+        last = match.end()
+    return attributes.endswith("/") and last < len(attributes)
+
+
 def _dropped(tag: str, at: dict[str, str], in_article: bool) -> bool:
     """Whether an element is no part of any article."""
     if tag in DROP_TAGS or tag == "header" and not in_article:
@@ -128,6 +136,9 @@ class Page:
                 if (depth := topmost({tag}, set())) >= 0:
                     pop_to(depth)
                 continue
+            attributes = token[3] if token[2] else token[6]
+            if tag == "svg" and _self_closed(attributes):
+                continue
             if tag in RAW:
                 end = _END[tag].search(html, at)
                 close = html.find(">", end.end()) if end else -1
@@ -141,7 +152,6 @@ class Page:
                 pop_to(depth)
             if tag == "br":
                 self._add(" ", drop, opened["a"], box)
-            attributes = token[3] if token[2] else token[6]
             if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag != "a":
                 continue
             in_article = opened["article"] + opened["main"] > 0
