@@ -249,6 +249,68 @@ def test_self_closed_svg_is_empty():
     assert html.Page("<article><p>One <svg class=icon/><path d=z></svg>two").text([]) == "One two"
 
 
+def test_text_of_values_is_no_attribute():
+    body = '<article><p title="the hidden gem">One <a href="/q?id=ads">this link</a></p><div data-id="related">Two</div><p data-hidden="false">Three</p>'
+    assert html.Page(body).text([]) == "One this link\n\nTwo\n\nThree"
+    assert html.Page('<article><p title="a > b">One</p><p class=x class=ad>Two').text([]) == "One\n\nTwo"
+
+
+PROSE = "A sentence of the article that is long enough to be told from the lines of a form, since it goes on and on, as prose does, for a while. "
+
+
+def test_wrapping_forms_and_open_heads():
+    asked = '<form><p>Sign up now</p><label>Mail</label><input><button>Go</button></form>'
+    assert html.Page(f"<body><form id=aspnet><div><p>{PROSE}<p>More</div><select><option>a</select></form>").text([]) == f"{PROSE.strip()}\n\nMore"
+    assert html.Page(f"<body><form><main><p>Short</main></form>").text([]) == "Short"
+    assert html.Page(f"<body><div><p>{PROSE}</div>{asked}").text([]) == PROSE.strip()
+    assert html.Page(f"<body><form>{asked}<p>{PROSE}</form>").text([]).endswith(PROSE.strip())
+    assert html.Page(f"<body><div>Few words</div>{asked}").text([]) == "Few words"
+    assert html.Page("<html><head><title>T</title><meta charset=x><body><p>One<p>Two").text([]) == "One\n\nTwo"
+    assert html.Page("<head><style>p{}</style>Text<p>One").text([]) == "Text\n\nOne"
+
+
+def test_unended_tags_and_raw_elements():
+    assert html.Page("<p>One</p><noscript>a<p>Two <template>b <svg>c").text([]) == "One\n\na\n\nTwo b c"
+    assert html.Page("<p>One <a href='x>y</a> two <b>three").text([]) == "One y two three"
+    assert html.Page("<p>a <!--> b <!---> c <!-- d --> e <!x> f").text([]) == "a b c e f"
+    assert html.Page("<p>One <a ").text([]) == "One <a"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a x='>' ", '<a href="', "<!", "<!--", "</a ", "<svg>", "<noscript>", "<p><button><div>", "<li><div>", "<a =", "<b>x</i>", "a=' ", "<form><p>x"])
+def test_time_grows_with_the_page_only(piece):
+    import time
+
+    started = time.perf_counter()
+    html.Page(f"<p>One</p>{piece * (2_000_000 // len(piece) // (1 if len(piece) < 5 and '>' not in piece else 10))}").text([])
+    assert time.perf_counter() - started < 6
+
+
+def test_all_winning_paths_are_read():
+    page = html.Page("<body><div class=intro><p>Intro</div><div class=x><p>Not this</div><div class=body><p>Body</div>")
+    intro, body = ">body>div.intro", ">body>div.body"
+    assert page.text([body, intro]) == page.text([intro, body]) == "Intro\n\nBody"
+    assert page.text([body, ">body"]) == "Body" and page.text([">body", body]) == "Intro\n\nNot this\n\nBody"
+
+
+def test_page_without_an_article_by_plain_scores(spark):
+    """Votes and winners against a plain count over pages whose containers only names and sizes tell apart."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(120):
+        words = [" ".join(rng.choice(["tree", "river", "stone", "cloud"], rng.integers(5, 60))) for _ in range(3)]
+        junk = " ".join(f'<a href="/{i}">link {i}</a>' for i in range(rng.integers(1, 30)))
+        body = f"<div class=links>{junk}</div><div class='c-{k} text'>{''.join(f'<p>{w}</p>' for w in words)}</div><div class=more>{junk}</div>"
+        rows.append((k, f"http://h{k % 3}.org/{k}", f"<body>{body}"))
+        want[k] = "\n\n".join(words)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain: dict[tuple[str, str], int] = {}
+    for k, _, h in rows:
+        key = (f"h{k % 3}.org", html.Page(h).best()[0])
+        plain[key] = plain.get(key, 0) + 1
+    assert {(r.host, r.path): r.n for r in html.votes(pages).collect()} == plain
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == want
+
+
 def test_winning_paths_decide(spark):
     usual = [(k, f"http://h.example/{k}", f'<body><div class="c1"><p>{"word " * 40}{k}</p></div><div class="related"><p>extra</p></div>') for k in range(6)]
     odd = (9, "http://H.example/9", f'<body><div class="c1"><p>short</p></div><div class="x"><p>{"noise " * 60}</p></div>')
