@@ -385,6 +385,49 @@ def test_tiles_lose_no_link():
     assert (root == simhash.local_roots(len(x), i, j)).all()
 
 
+@pytest.mark.parametrize(("tile", "block"), [(4, 2), (16, 1), (2048, 8)])
+def test_blocks_of_tiles_lose_no_link(spark, tile, block):
+    """Fingerprints of one crowded class and of classes beside it."""
+    rng = np.random.default_rng(11)
+    x = np.full(260, 0x00FF00FF00FF00FF, np.uint64)
+    for _ in range(6):  # a set bit of a quarter goes and another comes, in most rows
+        shift = np.uint64(16) * rng.integers(0, 4, len(x)).astype(np.uint64)
+        swap = (np.uint64(1) << (shift + rng.integers(0, 8, len(x)).astype(np.uint64))) | (np.uint64(256) << (shift + rng.integers(0, 8, len(x)).astype(np.uint64)))
+        x ^= swap * rng.integers(0, 2, len(x)).astype(np.uint64)
+    x = np.unique(np.concatenate([x, x[:60] ^ np.uint64(1), np.zeros(1, np.uint64), np.full(1, 2**64 - 1, np.uint64)]))
+    edges = simhash.links(spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long"), 3, tile, block).collect()
+    at = {int(f): k for k, f in enumerate(x.view(np.int64))}
+    root = simhash.local_roots(len(x), np.array([at[r.u] for r in edges], int), np.array([at[r.v] for r in edges], int))
+    i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= 3, 1))
+    assert len(i) > 40 and (root == simhash.local_roots(len(x), i, j)).all()
+
+
+@pytest.mark.parametrize(("tile", "block"), [(8, 2), (2048, 8)])
+def test_blocks_of_wide_tiles_lose_no_link(spark, tile, block):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, (30, simhash.WIDE), dtype=np.uint64)
+    flips = rng.random((150, simhash.WIDE, 64)) < rng.uniform(0, 0.2, (150, 1, 1))
+    x = base[rng.integers(0, 30, 150)] ^ np.packbits(flips, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+    n = rng.integers(80, 140, 150)
+    rows = [(k, int(n[k]), bytearray(x[k].tobytes())) for k in range(150)]
+    classes = common.written(spark.createDataFrame(rows, "c long, n long, fp binary"), "test-classes")
+    edges = simhash.similar(classes, 110, 0.8, tile, block).collect()
+    root = simhash.local_roots(150, np.array([r.u for r in edges], int), np.array([r.v for r in edges], int))
+    near = np.bitwise_count(x[:, None] ^ x[None]).sum(2, dtype=int) <= 110
+    i, j = np.nonzero(np.triu(near & (np.minimum(n[:, None], n) >= 0.8 * np.maximum(n[:, None], n)), 1))
+    assert len(i) > 100 and (root == simhash.local_roots(150, i, j)).all()
+
+
+def test_forests_of_many_links(monkeypatch):
+    monkeypatch.setattr(simhash, "_HELD", 5)
+    rng = np.random.default_rng(13)
+    i, j = rng.integers(0, 300, (2, 260))
+    forest = simhash._Forest(300)
+    for k in range(0, 260, 7):
+        forest.add(i[k : k + 7], j[k : k + 7])
+    assert (forest.roots() == simhash.local_roots(300, i, j)).all() and forest.held <= 305
+
+
 def test_fingerprint_does_not_depend_on_chunks(monkeypatch):
     text = " ".join(str(k * k % 97) for k in range(700)).encode()
     whole = simhash.fingerprint(text, 5)

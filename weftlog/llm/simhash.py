@@ -10,9 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import product
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +23,12 @@ from weftlog.llm.common import boxed, components, drop_written, unboxed, with_fi
 SEED = 42
 WORDS = 3
 RADIUS = 3
-#: Distinct fingerprints in a tile, about: two tiles are 32 KB, a task's table of their distances 4 MB.
+#: Distinct fingerprints in a tile, about.
 TILE = 2048
+#: Tiles of a block: others are sent to it once, not once for each of its tiles.
+BLOCK = 8
+#: Links that are held before they are cut down to a spanning forest.
+_HELD = 1 << 20
 _SUB = 256
 _CHUNK = 1 << 16
 
@@ -92,15 +94,37 @@ def _ordered(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarr
     return x, runs, np.array([q[a:b].min(0) for a, b in runs]), np.array([q[a:b].max(0) for a, b in runs])
 
 
+class _Forest:
+    """Links among n nodes, held as the edges of a spanning forest and a bounded number of new ones."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.left, self.right, self.held = n, [], [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.left.append(i)
+        self.right.append(j)
+        self.held += len(i)
+        if self.held > _HELD + self.n:
+            root = self.roots()
+            hit = np.nonzero(root != np.arange(self.n))[0]
+            self.left, self.right, self.held = [hit], [root[hit]], len(hit)
+
+    def roots(self) -> np.ndarray:
+        if not self.left:
+            return np.arange(self.n)
+        return local_roots(self.n, np.concatenate(self.left), np.concatenate(self.right))
+
+
 def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fp, root fp) of a spanning forest of the links within ``radius`` between x and y, or within x if y is None.
 
-    Runs of a tile whose quarter counts differ by more than the radius in all are skipped.
+    Runs whose quarter counts differ by more than the radius in all are skipped.
     """
     x, xr, xlow, xhigh = _ordered(x)
     y2, yr, ylow, yhigh = (x, xr, xlow, xhigh) if y is None else _ordered(y)
     shift = 0 if y is None else len(x)
-    left, right = [], []
+    nodes = x if y is None else np.concatenate([x, y2])
+    forest = _Forest(len(nodes))
     for k, (a, b) in enumerate(xr):
         gap = np.maximum(0, np.maximum(xlow[k] - yhigh, ylow - xhigh[k])).sum(1)
         for m in np.nonzero(gap <= radius)[0]:
@@ -111,50 +135,53 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.nda
             i, j = i + a, j + c + shift
             if y is None:
                 i, j = i[i < j], j[i < j]
-            left.append(i)
-            right.append(j)
-    nodes = x if y is None else np.concatenate([x, y2])
-    if not left:
-        return nodes[:0], nodes[:0]
-    root = local_roots(len(nodes), np.concatenate(left), np.concatenate(right))
+            if len(i):
+                forest.add(i, j)
+    root = forest.roots()
     hit = np.nonzero(root != np.arange(len(nodes)))[0]
     return nodes[hit], nodes[root[hit]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints of ``fps`` (fp long) linked within ``radius`` bits.
 
     A class is the population counts of a fingerprint's four quarters: 17^4 of them at most, whatever the rows. Linked
     fingerprints are in classes whose counts differ by the radius or less in all (129 for radius 3, a twenty-fifth of the
-    pairs). A large class is cut into tiles of about ``tile`` by hash; each tile meets one group of others at a time, one
-    for each class in reach, so that no task holds more than some 130 tiles.
+    pairs). A large class is cut into tiles of about ``tile`` by hash and those into blocks; each block meets one group of
+    tiles at a time, one for each class in reach, so that no task holds more than some 140 tiles.
     """
-    spark = fps.sparkSession
     quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)))
     code = sum((quarter(k) * 32**k for k in range(1, 4)), quarter(0)).cast("int")
     classed = fps.select("fp", code.alias("a"))
     sizes = written(classed.groupBy("a").agg(F.ceil(F.count("*") / tile).cast("int").alias("k")), "simhash-classes")
     cut = classed.join(F.broadcast(sizes), "a").withColumn("s", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     tiles = written(cut.groupBy("a", "s").agg(F.collect_list("fp").alias("x")), "simhash-tiles")
-    reach = [o for o in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, o)) <= radius]
-    steps = [(o, sum(d * 32**k for k, d in enumerate(o))) for o in reach]
-    counts = [F.shiftright("a", 5 * k).bitwiseAND(F.lit(31)) for k in range(4)]
-    ok = lambda o: reduce(and_, ((c + d >= 0) & (c + d <= 16) for c, d in zip(counts, o)))
     # Only towards smaller classes, and within a class smaller tiles: each pair is met once.
-    targets = F.array(*(F.when(ok(o), F.col("a") + d) for o, d in steps if d <= 0))
+    steps = [sum(d * 32**k for k, d in enumerate(o)) for o in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, o)) <= radius]
+    count = lambda c, k: F.shiftright(c, 5 * k).bitwiseAND(F.lit(31))
+    reached = lambda b: (b >= 0) & (sum(F.abs(count(b, k) - count(F.col("a"), k)) for k in range(4)) <= radius)
+    targets = F.filter(F.transform(F.array(*(F.lit(d) for d in steps if d <= 0)), lambda d: F.col("a") + d), reached)
     sent = tiles.select("a", "s", "x", F.explode(targets).alias("b")).join(F.broadcast(sizes.withColumnRenamed("a", "b")), "b")
-    sent = sent.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("b < a OR t <= s")
+    blocks = F.sequence(F.lit(0), F.floor((F.col("k") - 1) / block).cast("int"))
+    sent = sent.withColumn("t", F.explode(blocks)).where(f"b < a OR t * {block} <= s")
     met = sent.groupBy("b", "t", "s").agg(F.collect_list(F.struct((F.col("a") == F.col("b")).alias("own"), F.col("x").alias("y"))).alias("ys"))
-    pairs = met.join(tiles.select(F.col("a").alias("b"), F.col("s").alias("t"), "x"), ["b", "t"]).select("x", "ys", (F.col("s") == F.col("t")).alias("same"))
+    held = tiles.groupBy(F.col("a").alias("b"), F.floor(F.col("s") / block).cast("int").alias("t")).agg(F.collect_list(F.struct("s", "x")).alias("xs"))
+    pairs = met.join(held, ["b", "t"]).select("s", "xs", "ys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, ys, same in zip(*batch.columns):
-                x, own, y = _fp(x.values), ys.values.field("own").to_numpy(zero_copy_only=False), ys.values.field("y")
-                found = [tile_links(x, None, radius)] if same.as_py() and own.any() else []
-                others = [_fp(v.values) for v, mine in zip(y, own) if not (mine and same.as_py())]
+            for s, xs, ys in zip(*batch.columns):
+                s, no, x = s.as_py(), xs.values.field("s").to_numpy(), [_fp(v.values) for v in xs.values.field("x")]
+                others, found = [], []
+                for own, y in zip(ys.values.field("own"), ys.values.field("y")):
+                    if not own.as_py():
+                        others.append(_fp(y.values))
+                        continue
+                    found += [tile_links(x[k], None, radius) for k in np.nonzero(no == s)[0]]
+                    if len(lower := np.nonzero(no < s)[0]):
+                        found.append(tile_links(_fp(y.values), np.concatenate([x[k] for k in lower]), radius))
                 if others:
-                    found.append(tile_links(x, np.concatenate(others), radius))
+                    found.append(tile_links(np.concatenate(x), np.concatenate(others), radius))
                 for u, v in found:
                     if len(u):
                         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
@@ -243,9 +270,9 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
     return np.packbits(total * 2 > len(h), bitorder="little").tobytes()
 
 
-def _class(h: np.ndarray) -> int:
-    """A hash of a set of hashes, signed."""
-    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+def _class(h: np.ndarray) -> bytes:
+    """A 128-bit hash of a set of hashes: sets that share it are taken as one."""
+    return xxhash.xxh3_128_digest(h.tobytes(), SEED)
 
 
 def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
@@ -286,7 +313,7 @@ def wide_links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarr
     a_all, b_all = x[order], (x if own else y)[other]
     na, nb = nx[order], (nx if own else ny)[other]
     pa_, pb = np.bitwise_count(a_all).sum(1), np.bitwise_count(b_all).sum(1)
-    left, right = [], []
+    forest = _Forest(len(x) + (0 if own else len(y)))
     for low in range(0, len(a_all), _SUB):
         high = min(low + _SUB, len(a_all))
         c, d = np.searchsorted(pb, [pa_[low] - radius if pa_[low] > radius else 0, pa_[high - 1] + radius + 1])
@@ -304,33 +331,29 @@ def wide_links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarr
         near = np.minimum(na[i], nb[j]) >= similarity * np.maximum(na[i], nb[j])
         if own:
             near &= i < j
-        left.append(order[i[near]])
-        right.append(other[j[near]] + (0 if own else len(x)))
-    n = len(x) + (0 if own else len(y))
-    if not left:
-        return np.arange(n)
-    return local_roots(n, np.concatenate(left), np.concatenate(right))
+        forest.add(order[i[near]], other[j[near]] + (0 if own else len(x)))
+    return forest.roots()
 
 
-def similar(classes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+def similar(classes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect candidates: classes (c long, n long, fp binary), a written table of distinct sets.
 
     Classes are put into bands of size (about one for each 6 %, so that the driver sees some hundreds of them at most); a band
-    meets the few in which a similar set can be. Large bands are cut into tiles by hash.
+    meets the few in which a similar set can be. Large bands are cut into tiles by hash and those into blocks, which tiles
+    are sent to once.
     """
     spark = classes.sparkSession
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(_GROWTH) + 1e-9).cast("int")
     banded = classes.select("c", "n", "fp", band.alias("a"))
     parts = {r.a: -(-r.n // tile) for r in banded.groupBy("a").agg(F.count("*").alias("n")).collect()}
     reach = math.ceil(math.log(1 / similarity) / math.log(_GROWTH))
-    near = [(a, k, b, parts[b]) for a, k in parts.items() for b in range(a, a + reach + 1) if b in parts]
-    near_df = spark.createDataFrame(near, "a int, k int, b int, k2 int")
+    near = [(a, k, b, (parts[b] - 1) // block) for a, k in parts.items() for b in range(a, a + reach + 1) if b in parts]
+    near_df = spark.createDataFrame(near, "a int, k int, b int, last int")
     cut = banded.join(F.broadcast(near_df.select("a", "k").distinct()), "a").withColumn("s", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
     tiles = written(cut.groupBy("a", "s").agg(F.collect_list(F.struct("c", "n", "fp")).alias("x")), "simhash-tiles")
-    left = tiles.join(F.broadcast(near_df), "a").withColumn("s2", F.explode(F.sequence(F.lit(0), F.col("k2") - 1))).where("a < b OR s <= s2")
-    right = tiles.select(F.col("a").alias("b"), F.col("s").alias("s2"), F.col("x").alias("y"))
-    same = (F.col("a") == F.col("b")) & (F.col("s") == F.col("s2"))
-    pairs = left.join(right, ["b", "s2"]).select("x", F.when(~same, F.col("y")).alias("y"))
+    left = tiles.join(F.broadcast(near_df), "a").withColumn("t", F.explode(F.sequence(F.lit(0), "last"))).where(f"a < b OR s < (t + 1) * {block}")
+    right = tiles.groupBy(F.col("a").alias("b"), F.floor(F.col("s") / block).cast("int").alias("t")).agg(F.collect_list(F.struct("s", "x")).alias("ys"))
+    pairs = left.join(right, ["b", "t"]).select(F.when(F.col("a") == F.col("b"), F.col("s")).alias("own"), "x", "ys")
 
     def unpacked(v: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = v.values
@@ -339,17 +362,20 @@ def similar(classes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
+            for own, x, ys in zip(*batch.columns):
                 c, n, fp = unpacked(x)
-                if y.values is None:
-                    root = wide_links(fp, n, None, None, radius, similarity)
-                else:
-                    c2, n2, fp2 = unpacked(y)
-                    root = wide_links(fp, n, fp2, n2, radius, similarity)
-                    c = np.concatenate([c, c2])
-                hit = np.nonzero(root != np.arange(len(root)))[0]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(c[root[hit]])], ["u", "v"])
+                own = own.as_py()
+                for s, y in zip(ys.values.field("s").to_pylist(), ys.values.field("x")):
+                    if own is not None and s < own:
+                        continue
+                    if s == own:
+                        every, root = c, wide_links(fp, n, None, None, radius, similarity)
+                    else:
+                        c2, n2, fp2 = unpacked(y)
+                        every, root = np.concatenate([c, c2]), wide_links(fp, n, fp2, n2, radius, similarity)
+                    hit = np.nonzero(root != np.arange(len(root)))[0]
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(every[hit]), pa.array(every[root[hit]])], ["u", "v"])
 
     return pairs.mapInArrow(run, "u long, v long")
 
@@ -404,19 +430,20 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_h"),
     ]
     marked = docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("raw"), *key).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    schema = with_fields(marked.select("id").schema, "n long, fp binary, c long, few array<long>")
+    schema = with_fields(marked.select("id").schema, "n long, fp binary, h binary, few array<long>")
     most = math.floor(SMALL / similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(len(h), wide_fingerprint(h), _class(h), prefix(h, similarity).view(np.int64) if len(h) <= most else None) for h in (shingle_hashes(x.as_py(), words) for x in b.column(1))]
-            cols = [pa.array(list(v), t) for v, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())))] if found else []
+            cols = [pa.array(list(v), t) for v, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))] if found else []
             if found:
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema.names)
 
     rows = written(marked.mapInArrow(run, schema), "simhash-rows")
-    each = rows.groupBy("c").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("few").alias("few"))
-    classes = written(each, "simhash-classes")
+    each = rows.groupBy("h").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("few").alias("few"))
+    # Numbers of classes are their own once the table is written, however its tasks were run.
+    classes = written(each.drop("h").withColumn("c", F.monotonically_increasing_id()), "simhash-classes")
     likely = written(similar(classes, radius, similarity).unionByName(sharing(classes)), "simhash-candidates")
     groups = components(likely, "simhash-groups").select(F.col("node").alias("c"), F.col("root").alias("g"))
     drop_written(likely)
