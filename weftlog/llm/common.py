@@ -24,8 +24,10 @@ def _own_folder() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or f"file://{_own_folder()}").rstrip("/")
 
 
@@ -81,9 +83,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = (mark.n, mark.h)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        joined = _with_least(large, large.groupBy("u").agg(F.min("v").alias("m")))
         small = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
@@ -95,6 +96,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     )
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with m of ``least`` (u, m).
+
+    The key of ``least`` is an expression, so that it is shuffled after its aggregation: both sides then come straight from
+    a shuffle, and the planner splits the edges of a hub over tasks (adaptive skew join).
+    """
+    return edges.join(least.select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("w"), "m"), F.col("u") == F.col("w")).drop("w")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
