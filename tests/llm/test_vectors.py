@@ -104,11 +104,79 @@ def test_neighbours_recall_and_order(spark, rows, frame):
 
 def test_neighbours_of_few_rows(spark, frame):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (3, [0.0, 2.0]), (2, [0.0, 1.0]), (4, None)], "vec_id long, embedding array<float>")
-    indexed, model = neighbours.index(few)
-    out = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(indexed, model, F.col("id") % 50 == 0).collect())
+    indexed, models = neighbours.index(few)
+    out = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(indexed, models, F.col("id") % 50 == 0).collect())
     assert out == [(0, 1, 2, 0.0), (0, 2, 3, 0.0)]
-    none, model = neighbours.index(frame.limit(0))
-    assert model is None and neighbours.search(none, model, F.lit(True)).collect() == []
+    none, models = neighbours.index(frame.limit(0))
+    assert models == {} and neighbours.search(none, models, F.lit(True)).collect() == []
+
+
+def exact(rows: dict[int, np.ndarray], queries: list[int], k: int = 5) -> dict[int, list[tuple[int, float]]]:
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids])
+    u = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cos = u[np.searchsorted(ids, queries)] @ u.T
+    return {q: [(int(ids[j]), c[j]) for j in np.lexsort((ids, -c)) if ids[j] != q][:k] for q, c in zip(queries, cos)}
+
+
+def found_by(out) -> dict[int, list[tuple[int, float]]]:
+    got: dict[int, list[tuple[int, float]]] = {}
+    for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(got[r.query_id])
+    return got
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e60, 1e-200])
+def test_neighbours_keep_doubles(spark, scale):
+    """Small enough that each is compared with all: scores are those of the given doubles, of any magnitude."""
+    rng = np.random.default_rng(21)
+    x = {k: rng.normal(size=9) * scale for k in range(70)}
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "vec_id long, embedding array<double>")
+    got = found_by(neighbours.search(*neighbours.index(frame), F.col("id") % 10 == 0).collect())
+    for q, want in exact(x, list(range(0, 70, 10))).items():
+        assert [v for v, _ in got[q]] == [v for v, _ in want]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=1e-12, rel=0)
+
+
+def test_neighbours_of_every_width(spark):
+    rng = np.random.default_rng(22)
+    x = {k: rng.normal(size=4 if k % 3 else 6) for k in range(60)}
+    frame = spark.createDataFrame([(k, v.tolist(), "o") for k, v in x.items()], "vec_id long, embedding array<float>, v string")
+    indexed, models = neighbours.index(frame)
+    assert sorted(models) == [4, 6] and indexed.count() == 60
+    got = found_by(neighbours.search(indexed, models, F.col("id") % 5 == 0, chunk=2).collect())
+    for width in (4, 6):
+        same = {k: v.astype(np.float32).astype(float) for k, v in x.items() if len(v) == width}
+        for q, want in exact(same, [k for k in same if k % 5 == 0]).items():
+            assert [v for v, _ in got[q]] == [v for v, _ in want]
+    assert set(got) == {k for k in x if k % 5 == 0}
+
+
+def test_repeated_rows_leave_room_for_others(spark):
+    """More repeats of one row than the exact ranking of a block sees."""
+    rng = np.random.default_rng(23)
+    x = {k: rng.normal(size=8) for k in range(40)}
+    x[1] = x[0] * 2
+    rows = [(k, v.tolist()) for k, v in x.items()] + [(1, x[1].tolist())] * 300
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = found_by(neighbours.search(*neighbours.index(frame), F.col("id") == 0).collect())
+    assert [v for v, _ in got[0]] == [v for v, _ in exact(x, [0])[0]]
+
+
+@pytest.mark.parametrize("width", [64, 384])
+def test_neighbours_recall_in_whole_blocks(spark, width):
+    """Blocks of 4096 rows, of which 80 are ranked exactly; clusters of several sizes and lone vectors."""
+    rng = np.random.default_rng(width)
+    centre = rng.normal(size=(600, width))
+    x = np.concatenate([centre[rng.integers(0, 600, 6000)] + rng.normal(size=(6000, width)) * rng.uniform(0.2, 1.5, (6000, 1)), rng.normal(size=(6288, width))]).astype(np.float32)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = found_by(neighbours.search(*neighbours.index(frame), F.col("id") % 50 == 0, chunk=100).collect())
+    want = exact(dict(enumerate(x.astype(float))), list(range(0, len(x), 50)))
+    recall = np.mean([len({v for v, _ in got[q]} & {v for v, _ in best}) / 5 for q, best in want.items()])
+    print("recall", width, recall)
+    assert recall >= 0.97
 
 
 def test_anisotropic_codes_favour_inner_products():

@@ -31,15 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"file://{_own_folder()}").rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for :func:`forget` to delete."""
+    path = f"{shared_dir(spark)}/weftlog/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: computed once, and free of lineage.
 
     A lost executor costs only the tasks it was running, since the table is outside every executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftlog/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _WRITTEN.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftlog_path = path
     return out

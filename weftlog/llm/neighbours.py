@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import with_fields, written
+from weftlog.llm.common import folder, with_fields, written
 from weftlog.llm.embeddings import _matrix, unit, valid
 
 #: Rows that the codebooks are fitted on, at most: the first in seeded order. Every row is encoded.
@@ -31,6 +31,8 @@ RERANK = 80
 CHUNK = 16_384
 _BLOCK = 4096
 _QUERIES = 512
+#: Numbers that tables of a run of queries, and gathered components, hold at once.
+_HELD = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -112,104 +114,127 @@ def fit(x: np.ndarray, eta: float = ETA, rounds: int = 8, seed: int = SEED) -> Q
     return Quantizer(books, eta)
 
 
-def _best(q_id: np.ndarray, q: np.ndarray, luts: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, ...]]:
-    """(query row, id, score) of the k best of a block for each query: table scan, then exact cosine."""
-    norm_x = np.sqrt((x * x).sum(1))
-    out = []
-    for low in range(0, len(q), _QUERIES):
-        lut, part = luts[low : low + _QUERIES], q[low : low + _QUERIES]
-        sums = np.zeros((len(part), len(x)), np.float32)
-        for s in range(codes.shape[1]):
-            sums += lut[:, s].take(codes[:, s], axis=1)
-        if len(x) > rerank:
-            least = np.partition(sums, len(x) - rerank, axis=1)[:, len(x) - rerank]
-            i, j = np.nonzero(sums >= least[:, None])
-        else:
-            i, j = (a.ravel() for a in np.indices(sums.shape))
-        keep = ids[j] != q_id[low : low + _QUERIES][i]
-        i, j = i[keep], j[keep]
-        score = (x[j] * part[i]).sum(1) / (norm_x[j] * np.sqrt((part * part).sum(1))[i])
-        order = np.lexsort((ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        begin = np.searchsorted(i, np.arange(len(part)))
-        first = np.arange(len(i)) - begin[i] < k
-        out.append((i[first] + low, ids[j][first], score[first]))
-    return out
-
-
-def _merged(runs: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
-    row, ids, score = (np.concatenate(c) for c in zip(*runs))
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that their largest component is 1/2 to 1 and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _ranked(i: np.ndarray, j: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query row, id, score) of the k best pairs (i, j) of each query row by exact cosine; equal ids and scores count once."""
+    norm_q, norm_x = (np.sqrt((m * m).sum(1)) for m in (q, x))
+    step = max(1, _HELD // x.shape[1])
+    score = np.concatenate([np.zeros(0), *((x[j[a : a + step]] * q[i[a : a + step]]).sum(1) for a in range(0, len(i), step))])
+    return _first(i, ids[j], score / (norm_x[j] * norm_q[i]), k)
+
+
+def _first(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     order = np.lexsort((ids, -score, row))
     row, ids, score = row[order], ids[order], score[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
+    row, ids, score = row[new], ids[new], score[new]
     keep = np.arange(len(row)) - np.searchsorted(row, row) < k
     return row[keep], ids[keep], score[keep]
 
 
-def index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, Quantizer | None]:
-    """A written table (id, v, code binary) of every usable row of the commonest width, and its quantizer.
+def _best(q_id: np.ndarray, q: np.ndarray, lut: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, ...]:
+    """(query row, id, score) of the k best of a block for each query: table scan, then exact cosine.
 
-    Vectors that are null, zero or hold null or non-finite components, and null ids, are left out.
+    A query that finds fewer than k, since rows repeat, is compared with the whole block.
     """
-    good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.expr(f"id IS NOT NULL AND {valid('v')}"))
-    width = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if width is None:
-        return good.withColumn("code", F.lit(b"")), None
-    good = good.where(F.size("v") == width.d)
-    few = good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("v").toArrow().column(0).combine_chunks()
-    model = fit(unit(_matrix(few)), seed=seed)
+    sums = np.zeros((len(q), len(x)), np.float32)
+    for s in range(codes.shape[1]):
+        sums += lut[:, s].take(codes[:, s], axis=1)
+    least = np.partition(sums, len(x) - rerank, axis=1)[:, len(x) - rerank] if len(x) > rerank else np.full(len(q), -np.inf)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                b = whole.slice(low, 1024)
-                code = model.packed(unit(_matrix(b.column(1))))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["id", "v", "code"])
+    def of(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        other = ids[j] != q_id[i]
+        return _ranked(i[other], j[other], q, x, ids, k)
 
-    return written(good.mapInArrow(run, with_fields(good.schema, "code binary")), "ann-index"), model
+    found = of(*np.nonzero(sums >= least[:, None]))
+    few = np.nonzero(np.bincount(found[0], minlength=len(q)) < k)[0]
+    if len(few) and len(x) > rerank:
+        more = of(np.repeat(few, len(x)), np.tile(np.arange(len(x)), len(few)))
+        found = _first(*(np.concatenate(c) for c in zip(found, more)), k)
+    return found
 
 
-def search(indexed: DataFrame, model: Quantizer | None, queries: Column, k: int = 5, rerank: int = RERANK, chunk: int = CHUNK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each indexed row for which ``queries`` holds.
+def index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, seed: int = SEED) -> tuple[DataFrame, dict[int, Quantizer]]:
+    """A written table (id, d int, v array<double>, code binary) of every usable row, and a quantizer for each width d.
 
-    Queries are met in rounds of about ``chunk``, whatever their number: a round is broadcast (its size is set, not the
-    data's), each task scans its rows once and keeps k for each query, and a window ranks what the tasks kept. Rows of the
-    query's id are its own and no candidates; rows equal in id and vector count once; ties go to the smaller id.
+    A quantizer is fitted on ``sample`` rows of its width at most; every row is encoded. Vectors that are null, zero or
+    hold null or non-finite components, and null ids, are left out; repeated rows stay; other columns are not read; an
+    empty table gives no rows and no quantizer. Floats are widened, doubles kept as they are, of any magnitude.
     """
-    spark = indexed.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if model is None:
-        return out
-    asked = indexed.where(queries).select("id", "v").distinct()
-    rounds = -(-asked.count() // chunk)
-    found = None
-    for r in range(rounds):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).orderBy("id").toArrow().combine_chunks()
-        if not part.num_rows:
-            continue
-        held = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1).combine_chunks()).astype(np.float32), model))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            q_id, q32, quantizer = held.value
-            q = q32.astype(np.float64)
-            luts = quantizer.tables(unit(q)) if len(q) <= _QUERIES else None
-            runs: list[tuple[np.ndarray, ...]] = []
+    good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.expr(f"id IS NOT NULL AND {valid('v')}"))
+    good = good.select("id", F.size("v").alias("d"), F.col("v").cast("array<double>").alias("v"))
+    models: dict[int, Quantizer] = {}
+    coded = None
+    for width in sorted(r.d for r in good.select("d").distinct().collect()):
+        own = good.where(F.col("d") == width)
+        few = own.orderBy(F.xxhash64(F.lit(seed), "id"), "id", "v").limit(sample).select("v").toArrow().column(0).combine_chunks()
+        models[width] = fit(unit(_matrix(few)), seed=seed)
+
+        def run(batches: Iterator[pa.RecordBatch], model: Quantizer = models[width]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for low in range(0, whole.num_rows, _BLOCK):
-                    b = whole.slice(low, _BLOCK)
-                    ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
-                    codes = np.array([np.frombuffer(c.as_py(), np.uint8) for c in b.column(2)])
-                    for a in range(0, len(q), _QUERIES):
-                        lut = luts if luts is not None else quantizer.tables(unit(q[a : a + _QUERIES]))
-                        runs += [(i + a, j, s) for i, j, s in _best(q_id[a : a + _QUERIES], q[a : a + _QUERIES], lut, ids, x, codes, k, rerank)]
-                    runs = [_merged(runs, k)]
-            if runs and len(runs[0][0]):
-                row, ids, score = runs[0]
-                yield pa.RecordBatch.from_arrays([pa.array(q_id[row]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
-
-        one = indexed.mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return out
-    best = found.distinct().selectExpr("query_id", "vec_id", "score", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank")
-    return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                for low in range(0, whole.num_rows, 1024):
+                    b = whole.slice(low, 1024)
+                    code = model.packed(unit(_matrix(b.column(2))))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in code], pa.binary())], ["id", "d", "v", "code"])
+
+        part = own.mapInArrow(run, with_fields(good.schema, "code binary"))
+        coded = part if coded is None else coded.unionByName(part)
+    return written(good.withColumn("code", F.lit(b"")) if coded is None else coded, "ann-index"), models
+
+
+def search(indexed: DataFrame, models: dict[int, Quantizer], queries: Column, k: int = 5, rerank: int = RERANK, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of each indexed row for which ``queries`` (of id and v) holds,
+    among the rows of its width.
+
+    Queries are written to the shared folder and met in rounds of about ``chunk``: a round is broadcast, each task scans its rows
+    once and keeps k for each query, a window ranks what the tasks kept, the result is written and the broadcast destroyed
+    before the next, so that neither driver nor executors hold more than one. Rows of the query's id are its own and no
+    candidates; rows equal in id and vector count once; ties go to the smaller id; fewer candidates than k all come.
+    """
+    spark = indexed.sparkSession
+    out = f"{folder(spark, 'ann-found')}/part="
+    asked = written(indexed.where(queries).select("id", "d", "v").distinct(), "ann-queries")
+    rounds = {r.d: -(-r.n // chunk) for r in asked.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    rank = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)"
+    ranked = lambda df: df.distinct().selectExpr("query_id", "vec_id", "score", f"{rank} AS rank").where(F.col("rank") <= k)
+    for width, number in rounds.items():
+        own, rows = asked.where(F.col("d") == width), indexed.where(F.col("d") == width)
+        block = max(8, min(_QUERIES, _HELD // (-(-width // 4) * CODES * CODES)))
+        for r in range(number):
+            part = own.where(F.pmod(F.xxhash64("id", "v"), F.lit(number)) == r).orderBy("id", "v").select("id", "v").toArrow().combine_chunks()
+            if not part.num_rows:
+                continue
+            held = spark.sparkContext.broadcast((part.column(0).to_numpy(), _matrix(part.column(1).combine_chunks()), models[width]))
+
+            def run(batches: Iterator[pa.RecordBatch], held=held, block: int = block) -> Iterator[pa.RecordBatch]:
+                q_id, q, quantizer = held.value
+                q_unit, q = unit(q), _scaled(q)
+                # Tables of few queries are made once, those of many for each block of rows.
+                luts = quantizer.tables(q_unit) if len(q) <= block else None
+                best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                for whole in batches:
+                    for low in range(0, whole.num_rows, _BLOCK):
+                        b = whole.slice(low, _BLOCK)
+                        ids, x = b.column(0).to_numpy(), _scaled(_matrix(b.column(1)))
+                        codes = np.array([np.frombuffer(c.as_py(), np.uint8) for c in b.column(2)])
+                        runs = [best]
+                        for a in range(0, len(q), block):
+                            lut = luts if luts is not None else quantizer.tables(q_unit[a : a + block])
+                            i, j, s = _best(q_id[a : a + block], q[a : a + block], lut, ids, x, codes, k, rerank)
+                            runs.append((i + a, j, s))
+                        best = _first(*(np.concatenate(c) for c in zip(*runs)), k)
+                if len(best[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(q_id[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
+
+            found = rows.select("id", "v", "code").mapInArrow(run, "query_id long, vec_id long, score double")
+            ranked(found).select("query_id", "vec_id", "score").write.parquet(f"{out}{width}-{r}")
+            held.destroy()
+    if not rounds:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    whole = spark.read.schema("query_id long, vec_id long, score double").parquet(*(f"{out}{d}-*" for d in rounds))
+    return ranked(whole).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
