@@ -41,14 +41,14 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows + odd], "vec_id long, embedding array<float>, v string")
 
 
-@pytest.mark.parametrize("bucket", [8, 1024])
-def test_near_duplicates_equal_brute_force(spark, rows, frame, bucket):
+@pytest.mark.parametrize(("bucket", "tile", "held"), [(8, 1024, 8192), (1024, 32, 8192), (1024, 8, 16)])
+def test_near_duplicates_equal_brute_force(spark, rows, frame, bucket, tile, held):
     x = np.array([r[1] for r in rows])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     cos = u @ u.T
     at = {i: k for k, (i, _) in enumerate(rows)}
     want = grouped({i: i for i in at}, lambda a, b: cos[at[a], at[b]] >= 0.9)
-    got = {r.id: r for r in embeddings.near_duplicates(frame, bucket=bucket, tile=32).collect()}
+    got = {r.id: r for r in embeddings.near_duplicates(frame, bucket=bucket, tile=tile, held=held).collect()}
     links = {i: int((cos[k] >= 0.9).sum()) - 1 for i, k in at.items()}
     total = sum(links.values())
     found = sum(got[i].n_links for i in at)
@@ -75,14 +75,22 @@ def test_hadamard_keeps_lengths():
     assert np.allclose((y * y).sum(1), (x * x).sum(1)) and np.allclose(embeddings.hadamard(y), x)
 
 
-@pytest.mark.parametrize("rotations", [1, 2, 3])
-def test_reach_of_tables_and_probes(rotations):
-    tables, probes = embeddings.REACH[rotations]
-    lsh = embeddings.CrossPolytope(64, tables, rotations)
-    x = embeddings.unit(RNG.normal(size=(600, 64)))
-    y = np.array([near(v, 0.9) for v in x])
+@pytest.mark.parametrize("rotations", [1, 2, 3, 4])
+@pytest.mark.parametrize(("width", "threshold"), [(24, 0.9), (64, 0.9), (64, 0.8), (384, 0.9), (1024, 0.9), (1024, 0.8)])
+def test_reach_of_tables_and_probes(width, threshold, rotations):
+    """Pairs at just the threshold, other ones than those that tables and probes are chosen by."""
+    tables, probes = embeddings.reach(width, rotations, threshold)
+    lsh = embeddings.CrossPolytope(embeddings.padded(width), tables, rotations)
+    pairs = 600 if width < 500 else 200
+    x = embeddings.unit(RNG.normal(size=(pairs, width)))
+    y = np.array([near(v, threshold) for v in x])
     same = (lsh.buckets(x, probes)[:, :, :, None] == lsh.buckets(y, probes)[:, :, None, :]).any((1, 2, 3))
-    assert same.mean() >= 0.95
+    print("reach", width, threshold, rotations, tables, probes, same.mean())
+    assert same.mean() >= 0.98
+
+
+def test_reach_of_one_dimension():
+    assert embeddings.reach(1, 1, 0.9)[0] == 1
 
 
 def test_neighbours_recall_and_order(spark, rows, frame):

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,17 @@ from weftlog.llm.simhash import local_roots
 
 THRESHOLD = 0.9
 SEED = 6
-#: Tables and probes by the number of rotations in a bucket: each finds 0.99 of pairs at cosine 0.9 in 64 dimensions.
-REACH = {1: (3, 3), 2: (6, 3), 3: (8, 4), 4: (12, 6)}
-#: Vectors of a bucket that are compared together.
+#: Chance, at least, that a pair just at the threshold shares a bucket: see :func:`reach`.
+TARGET = 0.998
+#: Most rotations of a bucket.
+ROTATIONS = 4
+#: Vectors that are compared together, and those of a crowded bucket that a task holds while others stream past them.
 TILE = 1024
+HELD = 8192
 #: Vectors that a bucket may hold, about, before another rotation is added.
 BUCKET = 1024
+_PROBES = (1, 2, 3, 4, 6, 8)
+_TRIALS = (512, 16)
 
 
 @dataclass(frozen=True)
@@ -107,19 +112,66 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[n
     return i[exact], j[exact]
 
 
-def first_shared(x: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray, bucket: np.ndarray, lsh: CrossPolytope, probes: int) -> np.ndarray:
-    """Which pairs (i, j) of rows of x were met in their first shared bucket, pair k in bucket[k] of table[k].
+@cache
+def reach(width: int, rotations: int, threshold: float, target: float = TARGET) -> tuple[int, int]:
+    """Tables and probes of the fewest entries for which a pair at the threshold shares a bucket with chance ``target``.
 
-    The first is in the smallest table in which they share one, and there the smallest. Buckets are found again for the rows
-    in pairs only, all at once.
+    Chances of one table are measured on random pairs at just that cosine in ``width`` dimensions, less two standard errors;
+    nearer pairs meet more surely, so that the same holds at every width, threshold and number of rotations.
     """
-    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    keys = np.concatenate([lsh.buckets(x[rows[a : a + 4096]], probes) for a in range(0, len(rows), 4096)])
+    pairs, tables = _TRIALS
+    rng = np.random.default_rng(SEED)
+    x = unit(rng.normal(size=(pairs, width)))
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    size = np.sqrt((off * off).sum(1, keepdims=True))
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold * threshold)) * off / np.where(size > 1e-9, size, 1)
+    trial = CrossPolytope(padded(width), tables, rotations, SEED + 1)
+    a, b = (trial.buckets(unit(v), max(_PROBES)) for v in (x, y))
+    best = None
+    for probes in _PROBES:
+        met = (a[:, :, :probes, None] == b[:, :, None, :probes]).any((2, 3)).mean()
+        sure = min(1 - 1e-9, max(1e-4, met - 2 * np.sqrt(met * (1 - met) / (pairs * tables))))
+        needed = int(np.ceil(np.log(1 - target) / np.log1p(-sure)))
+        if best is None or needed * probes < best[0] * best[1]:
+            best = needed, probes
+    return best
+
+
+def padded(width: int) -> int:
+    """The dimensions that vectors of a width are rotated in."""
+    return 1 << max(3, (width - 1).bit_length())
+
+
+class Buckets:
+    """Buckets of the rows of x, found when they are first asked for, and only for those."""
+
+    def __init__(self, lsh: CrossPolytope, x: np.ndarray, probes: int) -> None:
+        self.lsh, self.x, self.probes = lsh, x, probes
+        self.at = np.full(len(x), -1)
+        self.keys = np.zeros((0, lsh.tables, probes), np.int64)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """Places in ``keys`` of the rows."""
+        wanted = np.zeros(len(self.at), bool)
+        wanted[rows] = True
+        new = np.nonzero(wanted & (self.at < 0))[0]
+        if len(new):
+            self.at[new] = len(self.keys) + np.arange(len(new))
+            self.keys = np.concatenate([self.keys, *(self.lsh.buckets(self.x[new[a : a + 4096]], self.probes) for a in range(0, len(new), 4096))])
+        return self.at[rows]
+
+
+def first_shared(left: Buckets, i: np.ndarray, right: Buckets, j: np.ndarray, table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Which pairs of row i of left and j of right were met in their first shared bucket, pair k in bucket[k] of table[k].
+
+    The first is in the smallest table in which they share one, and there the smallest.
+    """
+    i, j = left.of(i), right.of(j)
     ours = np.ones(len(i), bool)
-    ki, kj = at[: len(i)], at[len(i) :]
-    for t in range(lsh.tables):
+    for t in range(left.lsh.tables):
         live = np.nonzero(ours & (t <= table))[0]
-        a, b = keys[ki[live], t], keys[kj[live], t]
+        a, b = left.keys[i[live], t], right.keys[j[live], t]
         same = a[:, :, None] == b[:, None, :]
         here = np.where(same.any(2), a, np.iinfo(np.int64).max).min(1) == bucket[live]
         ours[live] = np.where(table[live] == t, here, ~same.any((1, 2)))
@@ -128,24 +180,31 @@ def first_shared(x: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray,
 
 #: Linked pairs that are held before their first buckets are looked up.
 _PAIRS = 1 << 20
-_GROUP = ("t", "b", "p", "q")
+_OUT = "id long, count long, edge long"
 
 
-def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, bucket: int = BUCKET, seed: int = SEED) -> DataFrame:
+def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, bucket: int = BUCKET, seed: int = SEED, held: int = HELD) -> DataFrame:
     """(id, count, edge): of distinct vectors (id long, v array of finite components, copies long), a written table.
 
     Rows with a count say how many copies other vectors linked to id have (by part); rows with an edge join id to a vector
-    of its component. All vectors are of one width.
+    of its component. All vectors are of one width. More vectors need buckets of more rotations; :func:`reach` sees to it that
+    they find as much.
+
+    Buckets of up to ``tile`` vectors are compared whole. A crowded one is cut into blocks of about ``held`` by hash: a task
+    holds one block and the vectors of the later ones stream past it, so that a vector is sent once a block, not once a tile,
+    and no task holds more than a block.
     """
     spark = vectors.sparkSession
     first = vectors.select(F.size("v").alias("d")).first()
     if first is None:
-        return spark.createDataFrame([], "id long, count long, edge long")
-    dim, n, rotations = 1 << max(3, (first.d - 1).bit_length()), vectors.count(), 1
-    while rotations < max(REACH) and (2 * dim) ** rotations * bucket < n * REACH[rotations][1]:
+        return spark.createDataFrame([], _OUT)
+    n, rotations = vectors.count(), 1
+    tables, probes = reach(first.d, 1, threshold)
+    while rotations < ROTATIONS and (2 * padded(first.d)) ** rotations * bucket < n * probes:
         rotations += 1
-    tables, probes = REACH[rotations]
-    lsh = CrossPolytope(dim, tables, rotations, seed)
+        tables, probes = reach(first.d, rotations, threshold)
+    lsh = CrossPolytope(padded(first.d), tables, rotations, seed)
+    block = max(tile, min(held, (1 << 22) // first.d))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,65 +217,139 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, bu
 
     entries = written(vectors.select("id", "v").mapInArrow(enter, "id long, t int, b long"), "embedding-buckets")
     sizes = entries.groupBy("t", "b").agg(F.count("*").alias("m")).where("m > 1")
-    # A bucket of m vectors is m / tile slices by hash; each pair of slices is one group.
-    cut = entries.join(sizes, ["t", "b"]).withColumn("parts", F.ceil(F.col("m") / tile).cast("int"))
-    cut = cut.withColumn("s", F.pmod(F.xxhash64("id", "t"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("s", k).alias("p"), F.greatest("s", k).alias("q")))
-    cut = cut.withColumn("pq", F.explode(pairs)).select("id", "t", "b", "s", F.col("pq.p").alias("p"), F.col("pq.q").alias("q"))
-    met = cut.join(vectors.select("id", "v", "copies"), "id").select(*_GROUP, "s", "id", "copies", "v")
-    grouped = met.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    sized = written(entries.join(sizes, ["t", "b"]), "embedding-entries")
+    drop_written(entries)
+    few = sized.where(F.col("m") <= tile).select("t", "b", F.lit(0).alias("p"), F.lit(False).alias("later"), "id")
+    many = sized.where(F.col("m") > tile).withColumn("s", F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("m") / block)).cast("int"))
+    many = many.withColumn("p", F.explode(F.sequence(F.lit(0), "s"))).select("t", "b", "p", (F.col("p") < F.col("s")).alias("later"), "id")
+    group = ["t", "b", "p"]
+
+    def grouped(keys: DataFrame) -> DataFrame:
+        met = keys.join(vectors.select("id", "v", "copies"), "id").select(*group, "later", "id", "copies", "v")
+        return met.repartition(*group).sortWithinPartitions(*group, "later")
 
     def told(table: pa.Table, x: np.ndarray, met: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """Counts and spanning edges from pairs of rows (i, j, table, bucket)."""
         i, j, t, b = (np.concatenate(c) for c in zip(*met))
-        ours = first_shared(x, i, j, t, b, lsh, probes)
-        i, j = i[ours], j[ours]
+        keys = Buckets(lsh, x, probes)
+        ours = first_shared(keys, i, keys, j, t, b)
         ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
-        count = (np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))).astype(np.int64)
-        root = local_roots(len(x), i, j)
-        hit, moved = np.nonzero(count)[0], np.nonzero(root != np.arange(len(x)))[0]
-        cols = (
-            np.concatenate([ids[hit], ids[moved]]),
-            np.concatenate([count[hit], np.zeros(len(moved), np.int64)]),
-            np.concatenate([ids[hit], ids[root[moved]]]),
-        )
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "count", "edge"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups of the sorted rows, one after the other; at most one batch and one group are held."""
+        i, j = i[ours], j[ours]
+        count = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
+        return _rows([_counts(ids, count), _edges(ids, local_roots(len(x), i, j))])
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets of the sorted rows, one after the other; at most one batch and one bucket are held."""
         rest = None
         for batch in _and_end(batches):
             table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if table is None or not table.num_rows:
                 continue
             table = table.combine_chunks()
-            key = np.stack([table[k].to_numpy() for k in range(4)], 1)
+            key = np.stack([table[k].to_numpy() for k in range(2)], 1)
             bounds = np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1
             ends = [*bounds.tolist(), *([table.num_rows] if batch is None else [])]
-            x, s = unit(_matrix(table["v"].chunk(0))), table["s"].to_numpy()
-            low, met, held = 0, [], 0
+            x = unit(_matrix(table["v"].chunk(0)))
+            low, met, pairs = 0, [], 0
             for high in ends:
                 if high - low > 1:
-                    t, b, p, q = key[low]
-                    if p == q:
-                        i, j = tile_links(x[low:high], None, threshold)
-                        i, j = i + low, j + low
-                    else:
-                        left, right = (low + np.nonzero(s[low:high] == k)[0] for k in (p, q))
-                        i, j = tile_links(x[left], x[right], threshold)
-                        i, j = left[i], right[j]
+                    t, b = key[low]
+                    i, j = tile_links(x[low:high], None, threshold)
                     if len(i):
-                        met.append((i, j, np.full(len(i), t), np.full(len(i), b)))
-                        held += len(i)
-                    if held > _PAIRS:
+                        met.append((i + low, j + low, np.full(len(i), t), np.full(len(i), b)))
+                        pairs += len(i)
+                    if pairs > _PAIRS:
                         yield told(table, x, met)
-                        met, held = [], 0
+                        met, pairs = [], 0
                 low = high
             rest = table.slice(low)
             if met:
                 yield told(table, x, met)
 
-    return grouped.mapInArrow(run, "id long, count long, edge long")
+    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of the sorted rows, each before the vectors that stream past it; a block and a batch are held."""
+        now, own = None, None
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], 1)
+            bounds = [0, *(np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1).tolist(), batch.num_rows]
+            for low, high in zip(bounds, bounds[1:]):
+                if low == high:
+                    continue
+                part = batch.slice(low, high - low)
+                rows = part.column(4).to_numpy(), part.column(5).to_numpy(), unit(_matrix(part.column(6)))
+                if own is None or tuple(key[low, :3]) != now:
+                    if own is not None:
+                        yield from own.closed()
+                    now = tuple(key[low, :3])
+                    own = _Block(lsh, probes, threshold, tile, now[0], now[1])
+                if key[low, 3]:
+                    yield from own.past(*rows)
+                else:
+                    own.hold(*rows)
+        if own is not None:
+            yield from own.closed()
+
+    return grouped(few).mapInArrow(small, _OUT).unionByName(grouped(many).mapInArrow(crowded, _OUT))
+
+
+def _counts(ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    hit = np.nonzero(count)[0]
+    return ids[hit], count[hit].astype(np.int64), ids[hit]
+
+
+def _edges(ids: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
+    moved = np.nonzero(root != np.arange(len(root)))[0]
+    return ids[moved], np.zeros(len(moved), np.int64), ids[root[moved]]
+
+
+def _rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["id", "count", "edge"])
+
+
+class _Block:
+    """Some vectors of a crowded bucket, compared among themselves and with those that stream past, a tile at a time."""
+
+    def __init__(self, lsh: CrossPolytope, probes: int, threshold: float, tile: int, table: int, bucket: int) -> None:
+        self.lsh, self.probes, self.threshold, self.tile = lsh, probes, threshold, tile
+        self.table, self.bucket = table, bucket
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.keys: Buckets | None = None
+
+    def hold(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> None:
+        self.parts.append((ids, copies, x))
+
+    def _sealed(self) -> Iterator[pa.RecordBatch]:
+        if self.keys is not None:
+            return
+        self.ids, self.copies, x = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts, self.keys, self.count = [], Buckets(self.lsh, x, self.probes), np.zeros(len(x))
+        for a in range(0, len(x), self.tile):
+            for b in range(a, len(x), self.tile):
+                yield from self._met(a, self.keys, self.ids, self.copies, self.count, b, a == b)
+
+    def _met(self, a: int, keys: Buckets, ids: np.ndarray, copies: np.ndarray, count: np.ndarray, b: int, same: bool) -> Iterator[pa.RecordBatch]:
+        i, j = tile_links(self.keys.x[a : a + self.tile], None if same else keys.x[b : b + self.tile], self.threshold)
+        i, j = i + a, j + b
+        ours = first_shared(self.keys, i, keys, j, np.full(len(i), self.table), np.full(len(i), self.bucket))
+        i, j = i[ours], j[ours]
+        if len(i):
+            self.count += np.bincount(i, copies[j], len(self.count))
+            count += np.bincount(j, self.copies[i], len(count))
+            own = slice(a, a + self.tile)
+            both = np.concatenate([self.ids[own], ids[b : b + self.tile]])
+            yield _rows([_edges(both, local_roots(len(both), i - a, j - b + len(self.ids[own])))])
+
+    def past(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from self._sealed()
+        keys, count = Buckets(self.lsh, x, self.probes), np.zeros(len(x))
+        for a in range(0, len(self.ids), self.tile):
+            for b in range(0, len(x), self.tile):
+                yield from self._met(a, keys, ids, copies, count, b, False)
+        yield _rows([_counts(ids, count)])
+
+    def closed(self) -> Iterator[pa.RecordBatch]:
+        yield from self._sealed()
+        yield _rows([_counts(self.ids, self.count)])
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -230,16 +363,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors that are null, zero or hold null or non-finite components link with nothing and are their own component.
     Equal vectors are compared once and link with one another. A null id is never the smallest (a component of null ids
     only has a null component and is not kept); repeated rows are vectors each; vectors of another width than most
-    link only within their width; other columns are not read; an empty table gives no rows.
+    link only within their width; other columns are not read; an empty table gives no rows. Pairs at just the threshold are
+    found with a chance of :data:`TARGET` or more, nearer ones more surely, whatever the width, threshold and number of rows.
     """
     base = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     ok = F.expr(valid("v"))
     zero = F.expr("transform(v, c -> c + cast(0 as float))")  # -0.0 becomes 0.0
     good = base.where(ok).select("id", zero.alias("v"))
-    keyed = written(good.select("id", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"), F.size("v").alias("d")), "embedding-rows")
+    keyed = written(good.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(SEED), "v").alias("h2"), F.size("v").alias("d")), "embedding-rows")
     same = keyed.groupBy("h1", "h2", "d").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.min("v").alias("v"))
-    # The number of a class need only be its own; 64 bits of hash and the width tell classes apart.
-    classes = written(same.withColumn("id", F.xxhash64("h1", "h2", "d")), "embedding-classes")
+    # 128 bits of hash and the width tell classes apart; numbers are their own once the table is written.
+    classes = written(same.withColumn("id", F.monotonically_increasing_id()), "embedding-classes")
     parts = []
     for d in sorted(r.d for r in classes.select("d").distinct().collect()):
         parts.append(written(links(written(classes.where(F.col("d") == d), "embedding-width"), threshold, **how), "embedding-links"))
