@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -157,6 +158,67 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(p for p, y in rows if not y) <= 0.01 * len(rows)
 
 
+def test_rare_buckets_stay_in_the_tasks_and_bytes_are_bounded(spark, docs):
+    labels = common.read(spark, SF2, "labels")
+    met = toxicity.sample(docs, labels, "toxic", "doc_id", "text", 200, toxicity.SEED).orderBy("o", "_i", "t").collect()
+    rows = [np.unique(np.concatenate([np.zeros(0, np.uint64), *toxicity.buckets(r.t)])).astype(np.int64) for r in met]
+    plain = toxicity.fit(rows, np.array([r.y for r in met], float))
+    ours = toxicity.train(docs, labels, most=200)
+    assert np.array_equal(plain.table, ours.table) and plain.intercept == ours.intercept
+    few = toxicity.train(docs, labels, most=200, most_bytes=4 * 3000)
+    assert not np.array_equal(few.table, ours.table)
+    assert toxicity.train(docs, labels, most=200, most_bytes=0).score(b"x") == 0.5
+
+
+def slow_ftrl(rows, y, dims, rounds, alpha, beta, l1, l2, order):
+    """Per-coordinate FTRL-proximal as published, one coordinate after the other."""
+    z, n = [0.0] * (dims + 1), [0.0] * (dims + 1)
+
+    def weight(k):
+        short = 0.0 if k == dims else l1
+        return 0.0 if abs(z[k]) <= short else -(z[k] - math.copysign(short, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for perm in order:
+        for i in perm:
+            at = [*rows[i], dims]
+            w = {k: weight(k) for k in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y[i]
+            for k in at:
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    return [weight(k) for k in range(dims + 1)]
+
+
+def test_ftrl_equals_the_plain_algorithm():
+    rng = np.random.default_rng(15)
+    rows = [np.unique(rng.integers(0, 32, 6)) for _ in range(80)]
+    y = np.array([float(3 in r or rng.random() < 0.1) for r in rows])
+    order = np.random.default_rng(2)
+    want = slow_ftrl([r.tolist() for r in rows], y, 32, 4, 0.6, 1.0, 0.5, 0.2, [order.permutation(80) for _ in range(4)])
+    got = toxicity.ftrl(rows, y, 5, 4, 0.6, 1.0, 0.5, 0.2, seed=2)
+    assert np.allclose([*got.table, got.intercept], want, atol=1e-5) and 0 in got.table
+
+
+def test_ranking_equals_plain_gradient_descent():
+    """Bradley-Terry weights against many small steps on the same loss over the same pairs."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(120, 4))
+    y = (x @ [1.0, -0.7, 0.2, 0.0] + rng.normal(size=120) > 0).astype(int)
+    model = quality.fit(x, y, pairs=2000, seed=3, ridge=0.01)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-3), -8, 8)
+    pick = np.random.default_rng(3)
+    d = z[pick.choice(np.nonzero(y == 1)[0], 2000)] - z[pick.choice(np.nonzero(y == 0)[0], 2000)]
+    w = np.zeros(4)
+    for _ in range(20_000):
+        w -= 0.2 * (-(d / (1 + np.exp(d @ w))[:, None]).mean(0) + 0.01 * w)
+    assert np.allclose(model.weights, w, atol=1e-4)
+    # The threshold is the cut of fewest errors, each label given half the weight.
+    s = z @ w
+    errors = lambda t: ((s < t) & (y == 1)).sum() / (y == 1).sum() + ((s >= t) & (y == 0)).sum() / (y == 0).sum()
+    assert errors(model.threshold) <= min(errors(t) for t in np.sort(s)) + 1e-9
+
+
 def test_ftrl_is_sparse_and_finds_the_word():
     rng = random.Random(1)
     rows = [" ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(20)) for _ in range(300)]

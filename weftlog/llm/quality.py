@@ -30,10 +30,10 @@ _SPACES = b" \t\n\r\x0b\x0c"
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Features of a text (UTF-8) in which neither its length alone nor any single word counts.
+    """Features of a text (UTF-8) in which no single word counts.
 
-    Shares of byte classes and of single ASCII marks, shapes and lengths of words, repetition of words and lines. Memory
-    is bounded by the text and one chunk.
+    Shares of byte classes and of single ASCII marks, shapes and lengths of words, repetition of words and lines, and (as the
+    inverse root of the number of words) how short the text is. Memory is bounded by the text and one chunk.
     """
     text = text or b""
     hist = np.zeros(256, np.int64)
@@ -127,7 +127,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, seed: int = SEED) -> Ranking:
-    """Fit on a bounded, seeded sample of the labelled rows; only features reach the driver, at most 2 x ``most`` rows."""
+    """Fit on a bounded, seeded sample of the labelled rows; only features reach the driver, at most 2 x ``most`` rows.
+
+    Null and empty texts have features like any other; null ids and labels other than 0 and 1 are passed over; an id given
+    twice counts twice, up to the bound; ties go by id, then by features. Without both labels every score is the cut.
+    """
     width = len(features(b""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
 
 def score(docs: DataFrame, model: Ranking, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name`` (0 to 1): every whole text scored, null like empty; a column of that name is replaced."""
+    """``docs`` with a column ``name`` (0 to 1): every whole text scored, null like empty.
+
+    Very long texts are read in chunks; repeated rows score alike; an empty table gives no rows; a column of that name is
+    replaced, others of any name stay.
+    """
     sent = docs.select(boxed(docs, (name, text_col)), F.col(text_col).cast("string").alias("_text"))
     schema = with_fields(sent.schema, "_score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)

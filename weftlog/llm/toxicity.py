@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import boxed, unboxed, with_fields
+from weftlog.llm.common import boxed, drop_written, unboxed, with_fields, written
 from weftlog.llm.quality import sample
 
 BITS = 20
@@ -23,6 +23,8 @@ BITS = 20
 SAMPLE = 3000
 #: Rows that a bucket must occur in to be learnt.
 INCLUDED = 3
+#: Bytes, at most, of the sample's buckets that reach the driver, four each: rows in seeded order up to there.
+BYTES = 1 << 26
 SEED = 11
 _CHUNK = 1 << 16
 _TRIM = b".,;:!?\"'()[]{}<>|%#$&*-_"
@@ -133,10 +135,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, seed: int = SEE
     return Weights((m.table * slope).astype(np.float32), m.intercept * slope + shift, bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, seed: int = SEED, bits: int = BITS) -> Weights:
-    """Fit on a bounded, seeded sample of the labelled rows (2 x ``most`` at most); buckets, not texts, reach the driver.
+def train(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, seed: int = SEED, bits: int = BITS, included: int = INCLUDED, most_bytes: int = BYTES
+) -> Weights:
+    """Fit on a bounded, seeded sample of the labelled rows: 2 x ``most`` rows and ``most_bytes`` of buckets at most.
 
-    Without both labels every score is a half.
+    Buckets, not texts, reach the driver, and only those of ``included`` rows or more: how many rows have each is counted in
+    the tasks. Null and empty texts are rows without a bucket; null ids and labels other than 0 and 1 are passed over; an id
+    given twice counts twice, up to the bound; ties go by id, then by buckets. Without both labels every score is a half.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,20 +150,44 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             x = [np.unique(np.concatenate([np.zeros(0, np.uint64), *buckets(t.as_py(), bits)])).astype("<u4").tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), b.column(3)], ["_i", "o", "x", "y"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                seen[np.frombuffer(x.as_buffer(), "<u4")] += 1
+        hit = np.nonzero(seen)[0]
+        for low in range(0, len(hit), _CHUNK):
+            k = hit[low : low + _CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], ["k", "n"])
+
     met = sample(docs, labels, label, id_col, text_col, most, seed)
     schema = met.select("_i", "o", F.col("t").alias("x"), "y").schema
-    rows = met.mapInArrow(run, schema).orderBy("o", "_i", "x").limit(2 * most).select("x", "y").collect()
-    y = np.array([r.y for r in rows], np.float64)
+    rows = written(met.mapInArrow(run, schema).orderBy("o", "_i", "x").limit(2 * most), "toxicity-sample")
+    often = rows.select("x").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= included)
+    live = np.zeros(1 << bits, bool)
+    live[often.select("k").toArrow().column(0).to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(live)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [k[shared.value[k]].tobytes() for k in (np.frombuffer(v.as_buffer(), "<u4") for v in b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), b.column(3)], ["_i", "o", "x", "y"])
+
+    sized = rows.mapInArrow(cut, schema).selectExpr("*", "sum(octet_length(x)) OVER (ORDER BY o, _i, x ROWS UNBOUNDED PRECEDING) AS upto")
+    kept = sized.where(F.col("upto") <= most_bytes).orderBy("o", "_i", "x").select("x", "y").collect()
+    drop_written(rows)
+    shared.destroy()
+    y = np.array([r.y for r in kept], np.float64)
     if len(set(y)) < 2:
         return Weights(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in rows], y, bits, seed)
+    return fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in kept], y, bits, seed, included)
 
 
 def score(docs: DataFrame, model: Weights, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name`` (0 to 1, higher: toxic likelier) and ``text_col`` dropped; every whole text is read.
 
-    Null and empty texts score by the intercept alone; repeated rows alike; an empty table gives no rows; a column of
-    that name is replaced.
+    Null and empty texts score by the intercept alone; very long ones are read in chunks; repeated rows score alike; an empty
+    table gives no rows; a column of that name is replaced, others of any name stay.
     """
     sent = docs.select(boxed(docs, (name, text_col)), F.col(text_col).cast("binary").alias("_text"))
     schema = with_fields(sent.select("_row").schema, "_score double")
