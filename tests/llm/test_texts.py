@@ -104,6 +104,20 @@ def test_mix_edges(spark, edge):
     assert mixing.mix(empty(spark)).collect() == [] == mixing.mixed(empty(spark)).collect()
 
 
+def test_equal_rows_are_counted_and_all_come_back(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_COPIES", 3)
+    rows = [(None, "some words here", "a")] * 10 + [(1, "one two three four five six", "a")] * 7 + [(None, None, "b")] * 8 + [(k, "x " * k, "b") for k in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 5.0)], "source string, weight double")
+    out = mixing.mix(docs, weights).collect()
+    assert len(out) == len(rows) and Count(r.source for r in out) == Count(s for _, _, s in rows)
+    assert all(r.source_size == (72 if r.source == "a" else 435) for r in out)
+    assert len({r.times for r in out if r.size == 3 and r.source == "a"}) == 1
+    mixed = mixing.mixed(docs, weights).collect()
+    assert len(mixed) == sum(r.times for r in out)
+    assert Count((r.doc_id, r.source) for r in mixed) == sum((Count({(r.id, r.source): r.times}) for r in out), Count())
+
+
 # Quality and toxicity.
 
 
@@ -619,6 +633,46 @@ def test_two_replace_a_bin_s_smallest():
     assert [b.lengths for b in bins] == [(60, 21, 19), (30,)]
 
 
+def plain_two_fit(lengths: list[int], room: int) -> list[list[int]]:
+    """Best-two-fit piece by piece, by trying all pieces and all pairs of them."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        bin_, gap = [], room
+        while (fits := [n for n in left if n <= gap]) and gap:
+            bin_.append(fits[0])
+            left.remove(fits[0])
+            gap -= fits[0]
+        while gap:
+            small = min(bin_)
+            pairs = [(a + b, a - b) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= gap + small]
+            if not pairs:
+                break
+            total, apart = max(pairs)
+            bin_.remove(small)
+            left.append(small)
+            for n in ((total + apart) // 2, (total - apart) // 2):
+                bin_.append(n)
+                left.remove(n)
+            left.sort(reverse=True)
+            gap += small - total
+        bins.append(sorted(bin_, reverse=True))
+    return sorted(bins)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_bins_equal_a_plain_best_two_fit(lengths):
+    bins = packing.best_two_fit(dict(Count(lengths)), 20)
+    assert sorted(list(b.lengths) for b in bins for _ in range(b.count)) == plain_two_fit(lengths, 20)
+
+
+def test_packing_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, None)] * 9000 + [(1, "a b c")] * 300, "doc_id long, text string")
+    rows = packing.pack(docs, WORD).collect()
+    assert len(rows) == 9300 and len({(r.sequence_id, r.offset) for r in rows}) == 9300
+    assert len({r.sequence_id for r in rows}) == -(-(9000 + 300 * rows[-1].length if rows[-1].length > 1 else 9000 + 300 * max(r.length for r in rows)) // 4096)
+
+
 def test_packing_query_is_a_round_trip(spark, texts):
     whole = Tokenizer.from_file(WORD)
     ids = {k: [*whole.encode(t, add_special_tokens=False).ids, 1] for k, t in texts.items()}
@@ -748,6 +802,15 @@ def test_prefixed_identifiers(spark):
     assert not re.search(secrets.IDENTIFIER, "superuser=bob7 2login=bob7", re.A)
 
 
+def test_very_long_texts_are_scanned_whole(spark):
+    text = "é " * 300_000 + "password=abcdefghijkl " + "word " * 100_000 + "AKIA" + "A" * 20
+    docs = spark.createDataFrame([(1, text)] * 3 + [(2, None)] * 3, "doc_id long, text string")
+    rows = secrets.scan(docs).collect()
+    assert [[tuple(s) for s in r.spans] for r in rows if r.id == 1] == [[(600_000, 0, 600_021), (1_100_022, 1, 1_100_046)]] * 3
+    assert [r.spans for r in rows if r.id == 2] == [[]] * 3
+    assert all(r.text == text.replace("password=abcdefghijkl", secrets.MASK).replace("AKIA" + "A" * 20, secrets.MASK) for r in secrets.redacted(docs).collect() if r.doc_id == 1)
+
+
 def test_secret_edges(spark, edge):
     rows = secrets.scan(edge).collect()
     assert len(rows) == len(EDGE) and sum(bool(r.spans) for r in rows) == 1

@@ -17,6 +17,8 @@ EPOCHS = 3.0
 SEED = 20
 #: Documents of a source that are drawn from together, about.
 CELL = 4096
+#: Copies of one row that a task makes at a time.
+_COPIES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -63,12 +65,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc
     of a source, and one more for those drawn for the fraction: rows are put into seeded cells of about 4096, and of each
     cell the first rows in seeded order are drawn while their words fit its share; the gap before the row that would
     have passed it is filled by later rows that fit there, and what then is left to the nearest half row. So a hot source is drawn in
-    many tasks, and reruns agree; rows equal in id, source and text are drawn together.
+    many tasks, and reruns agree; rows equal in id, source and text are drawn together, counted before they are shuffled.
 
-    Null texts have size 0; null ids and sources are kept; repeated rows each count; columns of other names are not read;
-    an empty table gives no rows. Texts never leave their task: only sizes and hashes are written and shuffled.
+    Null and empty texts have size 0, very long ones are read whole; null ids and sources are kept; repeated rows each count;
+    columns of other names are not read; an empty table gives no rows. Texts never leave their task: only sizes and hashes
+    are written and shuffled.
     """
-    return drawn(sizes(docs, id_col, text_col, source_col, seed), weights, epochs).drop("h")
+    out = drawn(sizes(docs, id_col, text_col, source_col, seed), weights, epochs)
+    # A row's copies are made in portions, dealt over all tasks.
+    portions = out.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _COPIES)))).repartition("h", "_p")
+    left = F.least(F.col("copies") - F.col("_p") * _COPIES, F.lit(_COPIES))
+    return portions.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("h", "copies", "_p", "_k")
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -83,8 +90,9 @@ def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
 
 
 def drawn(rows: DataFrame, weights: DataFrame | None = None, epochs: float = EPOCHS) -> DataFrame:
-    """The same from ``rows`` (id, source, size, h): what they are drawn by, computed before."""
-    totals = rows.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+    """The same from ``rows`` (id, source, size, h), one row for all that are equal, with their number ``copies``."""
+    rows = rows.groupBy("id", "source", "size", "h").agg(F.count("*").alias("copies")).withColumn("words", F.col("size") * F.col("copies"))
+    totals = rows.groupBy("source").agg(F.sum("words").alias("total"), F.count("*").alias("n"))
     if weights is None:
         weighed = ranked_weights(totals)
     else:
@@ -97,18 +105,16 @@ def drawn(rows: DataFrame, weights: DataFrame | None = None, epochs: float = EPO
     known = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     cells = known.withColumn("cell", F.pmod(F.shiftright("h", 20), F.col("cells")))
     cell, order = "PARTITION BY source, cell", "ORDER BY h, id, size"
-    cells = cells.selectExpr(
-        "*", f"sum(size) OVER ({cell}, h, id, size) AS same", f"(epochs - floor(epochs)) * sum(size) OVER ({cell}) AS gap", "false AS once"
-    )
+    cells = cells.selectExpr("*", f"(epochs - floor(epochs)) * sum(words) OVER ({cell}) AS gap", "false AS once")
     for half in (0, 0, 2):
-        fits = f"(NOT once AND size > 0 AND same <= {half or 1} * gap)"
-        cells = cells.selectExpr("*", f"{fits} AS fits", f"sum(IF({fits}, size, 0)) OVER ({cell} {order}) AS upto")
-        cells = cells.withColumn("now", F.expr(f"fits AND upto - IF({half} > 0, same / 2, 0) <= gap"))
+        fits = f"(NOT once AND size > 0 AND words <= {half or 1} * gap)"
+        cells = cells.selectExpr("*", f"{fits} AS fits", f"sum(IF({fits}, words, 0)) OVER ({cell} {order}) AS upto")
+        cells = cells.withColumn("now", F.expr(f"fits AND upto - IF({half} > 0, words / 2, 0) <= gap"))
         cells = cells.withColumn("gap", F.expr(f"gap - max(IF(now, upto, 0)) OVER ({cell})"))
         cells = cells.withColumn("once", F.col("once") | F.col("now")).drop("fits", "upto", "now")
     times = (F.floor("epochs") + F.col("once").cast("long")).cast("long")
     return cells.withColumn("times", times).select(
-        "id", "source", "h", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken")
+        "id", "source", "h", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), "copies"
     )
 
 
@@ -116,7 +122,8 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "d
     """The mix itself: each row of ``docs`` as often as it is taken, all columns kept.
 
     A row drawn no time is absent; wordless rows are taken the whole number of times. Nulls, repeated rows and empty
-    tables as in :func:`mix`.
+    tables as in :func:`mix`. The plan has one row for all that are equal, so that the join multiplies nothing, and many equal
+    rows can be split over tasks (adaptive skew join).
     """
     key = {
         "_i": F.coalesce(F.col("id").cast("string"), F.lit("")),
@@ -125,7 +132,7 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "d
         "_sn": F.col("source").isNull(),
     }
     plan = drawn(sizes(docs, id_col, text_col, source_col, seed), weights, epochs).where("times > 0")
-    plan = plan.select(*(c.alias(k) for k, c in key.items()), F.col("h").alias("_h"), F.col("times").alias("_times")).distinct()
+    plan = plan.select(*(c.alias(k) for k, c in key.items()), F.col("h").alias("_h"), F.col("times").alias("_times"))
     keyed = docs.select(
         boxed(docs),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_i"),

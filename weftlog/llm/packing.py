@@ -217,22 +217,24 @@ def places(bins: list[Bins]) -> dict[str, np.ndarray]:
 
 
 def packed(pieces_df: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``pieces_df`` (a written table with id, piece, start, length, ids_crc32) with sequence_id and offset.
+    """``pieces_df`` (a written table with id, piece, start, length, ids_crc32 and no, a number of its own for each row) with
+    sequence_id and offset.
 
     The driver holds the histogram and the kinds of bins: each ends a length or all but a few of it, so both are
-    bounded by ``length``, not by the rows. A length of many pieces is ranked in parts of about 4096 by hash.
+    bounded by ``length``, not by the rows. A length of many pieces is ranked in parts of about 4096 by hash of no, so that
+    repeated rows spread like others.
     """
     spark = pieces_df.sparkSession
     histogram = {r.length: r.n for r in pieces_df.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(best_two_fit(histogram, length)))
     parts = spark.createDataFrame([(n, -(-c // _RANKED)) for n, c in histogram.items()], "length long, parts long")
     salted = pieces_df.join(F.broadcast(parts), "length").withColumn(
-        "part", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "start"), F.col("parts"))
+        "part", F.pmod(F.xxhash64("no"), F.col("parts"))
     )
     counts = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = counts.selectExpr("length", "part", "sum(n) OVER (PARTITION BY length ORDER BY part) - n AS before")
     numbered = salted.selectExpr(
-        "*", "row_number() OVER (PARTITION BY length, part ORDER BY id, piece, start, ids_crc32) - 1 AS row"
+        "*", "row_number() OVER (PARTITION BY length, part ORDER BY no) - 1 AS row"
     )
     ranked = numbered.join(before, ["length", "part"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("row") + F.col("before")).alias("rank")
@@ -256,7 +258,8 @@ def packed(pieces_df: DataFrame, length: int = LENGTH) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
     """Every document's pieces with their sequence and place: (id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    Null and empty texts are packed as the end token; a null id stays null; repeated rows are packed each; other
-    columns are not read; an empty table gives no rows. Sequences are gapless from 0.
+    Null and empty texts are packed as the end token; very long ones are encoded whole and cut; a null id stays null; repeated
+    rows are packed each; other columns are not read; an empty table gives no rows. Sequences are gapless from 0.
     """
-    return packed(written(pieces(docs, tokenizer, id_col, text_col, length, end), "packing-pieces"), length)
+    numbered = pieces(docs, tokenizer, id_col, text_col, length, end).withColumn("no", F.monotonically_increasing_id())
+    return packed(written(numbered, "packing-pieces"), length)

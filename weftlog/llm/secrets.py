@@ -121,14 +121,24 @@ def _listed(spans: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Each row's (id, spans array of (start, kind int, end) by start and kind): all that is reported of its text.
 
-    Null and empty texts have no spans; null ids and repeated rows are kept; other columns are not read; an empty table
-    gives no rows. Spans of different kinds may overlap.
+    Null and empty texts have no spans; very long ones are scanned whole; null ids and repeated rows are kept; other columns are
+    not read; an empty table gives no rows. Spans of different kinds may overlap.
     """
     spans = linked(written(parts(docs, id_col, text_col), "secret-parts"), scope)
     each = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
     rows = docs.select(F.col(id_col).alias("id"), _key(id_col, text_col).alias("key"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return rows.join(each, "key", "left").select("id", F.coalesce("spans", none).alias("spans"))
+    return _by_key(rows, each).select("id", F.coalesce("spans", none).alias("spans"))
+
+
+def _by_key(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``each`` (one row a key) by key.
+
+    The key of ``each`` is an expression, so that both sides come straight from a shuffle and the planner can split rows that
+    repeat a key over tasks (adaptive skew join).
+    """
+    again = F.struct(F.col("key.no").alias("no"), F.concat(F.col("key.id"), F.lit("")).alias("id"), F.col("key.sha").alias("sha"))
+    return rows.join(each.select(again.alias("_key"), *(c for c in each.columns if c != "key")), F.col("key") == F.col("_key"), "left").drop("_key")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -144,14 +154,15 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mask`` (overlapping or adjoining spans by one).
 
-    All rows and columns stay; texts without a span are unchanged.
+    All rows and columns stay, repeated ones and those of null ids or texts too; texts without a span are unchanged; an empty
+    table gives no rows.
     """
     spans = linked(written(parts(docs, id_col, text_col), "secret-parts"), scope)
     far = spans.selectExpr("key", "start", "`end`", "max(`end`) OVER (PARTITION BY key ORDER BY start, `end` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before")
     isles = far.selectExpr("key", "start", "`end`", "sum(IF(before >= start, 0, 1)) OVER (PARTITION BY key ORDER BY start, `end` ROWS UNBOUNDED PRECEDING) AS isle")
     merged = isles.groupBy("key", "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    keyed = docs.select(boxed(docs), F.col(text_col).alias("_text"), _key(id_col, text_col).alias("key")).join(cuts, "key", "left")
+    keyed = _by_key(docs.select(boxed(docs), F.col(text_col).alias("_text"), _key(id_col, text_col).alias("key")), cuts)
     blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{_BLOCK}}}"), 0)
     size = F.length("_text").cast("long")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["end"]))
