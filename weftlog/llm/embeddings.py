@@ -24,7 +24,7 @@ from weftlog.llm.simhash import local_roots
 THRESHOLD = 0.9
 SEED = 6
 #: Chance, at least, that a pair just at the threshold shares a bucket: see :func:`reach`.
-TARGET = 0.998
+TARGET = 0.995
 #: Most rotations of a bucket.
 ROTATIONS = 4
 #: Vectors that are compared together, and those of a crowded bucket that a task holds while others stream past them.
