@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftlog.functions import codecs, errors, filters, validation
-from weftlog.operators import appends, folds, keyring, metrics, paging, reads, snapshots, upcasts, verify, watermarks
+from weftlog.operators import appends, folds, metrics, paging, reads, snapshots, upcasts, verify, watermarks
 from weftlog.sources import schema
 
 COLUMNS = "global_position long, stream_id string, stream_version int, id string, event_type string, value double, txid long"
@@ -184,10 +184,10 @@ def test_argument_checks():
 
 
 def test_encrypted_paths():
-    keyring.check_paths(["a", "b.c", "b.d"])
+    validation.encrypted_paths(["a", "b.c", "b.d"])
     for bad in (["a", "a"], ["a", "a.b"], ["a.b", "a"], ["__proto__"], ["a..b"], ["a.constructor"]):
         with pytest.raises(errors.InvalidArgumentError):
-            keyring.check_paths(bad)
+            validation.encrypted_paths(bad)
 
 
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab", max_size=3), lambda x: st.dictionaries(st.sampled_from("abc"), x, max_size=3) | st.lists(x, max_size=3), max_leaves=8)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import threading
+from base64 import b64encode
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftlog.functions import errors
 from weftlog.operators.keyring import Secrets
 from weftlog.operators.upcasts import Upcaster
-from weftlog.store import Encryption, EventStore, define_aggregate, define_projection, define_snapshot
+from weftlog.store import Encryption, EventStore, Transaction, define_aggregate, define_projection, define_snapshot
 
 
 def opened(spark, path, **how) -> EventStore:
@@ -253,6 +256,21 @@ def test_outbox_is_handed_over_and_cleaned_up(spark, tmp_path):
     assert store.log.table("outbox").count() == 0
 
 
+def holds(path, envelope: bytes) -> bool:
+    """Whether wrapped key material is in any file under a folder: as bytes or text in it, or in a Parquet file's columns."""
+    import pyarrow.parquet as pq
+
+    shapes = (envelope, envelope[8:], envelope[36:], envelope.hex().encode(), envelope[36:].hex().encode(), b64encode(envelope[36:])[:40])
+    for file in path.rglob("*"):
+        if file.is_file():
+            raw = file.read_bytes()
+            if file.suffix == ".parquet":
+                raw += repr(pq.read_table(file, partitioning=None).to_pylist()).encode()
+            if any(x in raw for x in shapes) or repr(envelope)[2:-1].encode() in raw:
+                return True
+    return False
+
+
 SECRETS = Secrets.of(1, [(1, "one")])
 USER = define_aggregate(
     "User", {"Registered": lambda s, e: {"name": e.data["name"] if e.data else None}}, Encryption(lambda i: f"user:{i}", {"Registered": ["name", "address.street"]})
@@ -273,14 +291,22 @@ def test_crypto_shredding(spark, tmp_path):
     with pytest.raises(errors.CryptoSecretsRequiredError):
         plain.create_crypto_key("x")
     rotated = opened(spark, tmp_path, secrets=Secrets.of(2, [(2, "two"), (1, "one")]))
-    before = rotated.log.refresh().keys["user:1"]["encrypted_key"]
+    wrapped = lambda: bytes(rotated.log.table("keys").where("key_id = 'user:1'").first().encrypted_key)
+    before = wrapped()
     USER.append(rotated, "1", 0, [{"type": "Registered", "data": {"name": "B"}}])
-    after = rotated.log.refresh().keys["user:1"]["encrypted_key"]
-    assert before[8:16] == "00000001" and after[8:16] == "00000002" and len(after) == 136
+    after = wrapped()
+    assert before[4:8] == b"\0\0\0\1" and after[4:8] == b"\0\0\0\2" and len(after) == 68
+    assert not holds(tmp_path, before) and holds(tmp_path, after)
     assert [e.data["name"] for e in rotated.load("User-1") if e.type == "Registered"] == ["Ann", "B"]
     with pytest.raises(errors.CryptoSecretVersionNotFoundError):
         store.load("User-1")
+    commits = rotated.log.refresh().commit_id
     rotated.revoke_crypto_key("user:1")
+    assert not holds(tmp_path, after)
+    old = rotated.log.as_of(commits)
+    assert old.commit_id == commits and [r.encrypted_key for r in rotated.log.table("keys", old).collect()] == [None]
+    gone = rotated.load_from("User-1", 1, tx=Transaction(rotated, old))
+    assert gone[0].tombstoned
     rotated.revoke_crypto_key("user:1")
     rotated.create_crypto_key("user:1")
     events = rotated.load("User-1")
@@ -340,3 +366,120 @@ def test_bulk_append_and_compaction(spark, tmp_path):
     assert store.append("S-3", 100, [{"type": "A", "data": 1}]).global_positions == [1002]
     assert store.log.compact() == 3
     assert [e.stream_version for e in store.load("S-3")] == list(range(1, 102))
+
+
+def test_keys_that_no_manifest_names_are_deleted(spark, tmp_path):
+    """Files of keys that a crash left behind go with the next revocation; those in use stay, compacted ones too."""
+    store = opened(spark, tmp_path, secrets=SECRETS)
+    assert store.create_crypto_keys(spark.createDataFrame([("k1",), ("k2",), ("k2",), ("k3",)], "key_id string")) == 3
+    assert store.create_crypto_keys(spark.createDataFrame([("k1",)], "key_id string")) == 0
+    store.create_crypto_key("k4")
+    envelope = {r.key_id: bytes(r.encrypted_key) for r in store.log.table("keys").collect()}
+    left = store.log.stage("keys", store.log.table("keys"))
+    assert store.log.compact_keys(2) == 2 and len(store.log.refresh().folders["keys"]) == 2
+    assert left in store.log.key_folders() or not store.log.files.names(left)
+    store.revoke_crypto_key("k2")
+    assert sorted(store.log.key_folders()) == sorted(store.log.refresh().folders["keys"])
+    assert not holds(tmp_path, envelope["k2"]) and all(holds(tmp_path, envelope[k]) for k in ("k1", "k3", "k4"))
+    kept = {r.key_id: r.encrypted_key for r in store.log.table("keys").collect()}
+    assert set(kept) == set(envelope) and kept["k2"] is None and bytes(kept["k1"]) == envelope["k1"]
+    store.append("S", 0, [{"type": "T", "data": {"a": k}, "encrypted_fields": ["a"], "crypto_key_id": k} for k in ("k1", "k3", "k4")])
+    assert [e.data["a"] for e in store.load("S")] == ["k1", "k3", "k4"]
+
+
+def test_bulk_appends_equal_single_ones(spark, tmp_path):
+    """Outbox entries, encrypted fields and snapshots of a bulk append, against the same appends one stream after the other."""
+    snaps = [balance(2, crypto_key_id=lambda i: f"t:{i}", encrypted_fields=["balance"]), define_snapshot("Transaction", "Count", 3, 0, {"Deposit": lambda s, e: s + 1})]
+    stores = [opened(spark, tmp_path / n, secrets=SECRETS, snapshots=snaps) for n in ("bulk", "single")]
+    fields = {"Deposit": ["by.name", "tags"]}
+    rows = [
+        (f"Transaction-{s}", t, {"amount": n + 1, "by": {"name": f"N{n}", "x": None}, "tags": [1, "é"]} if t == "Deposit" else {"amount": 1} if t == "Withdrawal" else {"n": 1.5})
+        for s in (1, 2, 3) for n, t in enumerate(["Deposit", "Note", "Withdrawal", "Deposit", "Deposit"][: s + 2])
+    ]
+    for store in stores:
+        store.create_crypto_keys(spark.createDataFrame([(f"t:{s}",) for s in (1, 2, 3)], "key_id string"))
+        store.append("Transaction-2", 0, [{"type": "Deposit", "data": {"amount": 7}}])
+    bulk, single = stores
+    batch = spark.createDataFrame(
+        [(s, t, json.dumps(d), n, json.dumps({"traceid": n, "id": "no"}), f"t:{s[-1]}") for n, (s, t, d) in enumerate(rows)],
+        "stream_id string, event_type string, data string, input_order long, extensions string, crypto_key_id string",
+    )
+    assert bulk.append_frame(batch, outbox_topics=["a", "b"], encrypted_fields=fields) == len(rows)
+    for s in (1, 2, 3):
+        name = f"Transaction-{s}"
+        events = [
+            {"type": t, "data": d, "extensions": {"traceid": n, "id": "no"}, **({"encrypted_fields": fields[t], "crypto_key_id": f"t:{s}"} if t in fields else {})}
+            for n, (x, t, d) in enumerate(rows) if x == name
+        ]
+        single.append(name, 0, events, ["a", "b"])
+
+    def shape(store):
+        own = lambda e: (e.global_position, e.stream_id, e.stream_version, e.id, e.source, e.type, e.data, e.extensions, e.tombstoned)
+        raw = store.events().orderBy("global_position").collect()
+        return (
+            [own(e) for s in (1, 2, 3) for e in store.load(f"Transaction-{s}")], [json.loads(r.data) for r in raw], [r.encrypted_data and sorted(r.encrypted_data) for r in raw],
+            [(r.id, r.event_global_pos, r.topic, {**json.loads(r.payload), "time": 0}) for r in store.log.table("outbox").orderBy("id").collect()],
+            {s: store.get_stream_version(s) for s in store.list_streams()}, [snaps[0].load(store, str(s)) for s in (1, 2, 3)],
+        )
+
+    assert shape(bulk) == shape(single)
+    assert any(e.type == "BalanceSnapshot" for e in bulk.load("Transaction-2")) and any(e.type == "CountSnapshot" for e in bulk.load("Transaction-3"))
+    plan = {(r.stream_id, r.stream_version): (r.data and json.loads(r.data), r.tombstoned) for r in bulk.replayed().collect()}
+    assert plan == {(e.stream_id, e.stream_version): (e.data, e.tombstoned) for s in (1, 2, 3) for e in bulk.load(f"Transaction-{s}")}
+    bulk.revoke_crypto_key("t:1")
+    assert all(r.tombstoned == (r.stream_id == "Transaction-1" and r.event_type in ("Deposit", "BalanceSnapshot")) for r in bulk.replayed().collect())
+    assert all(r.data is None for r in opened(spark, tmp_path / "bulk").replayed().where("tombstoned").collect())
+    for bad, error in (("t:1", errors.CryptoKeyRevokedError), ("t:9", errors.CryptoKeyNotFoundError), (None, errors.CryptoKeyIdRequiredError)):
+        with pytest.raises(error):
+            bulk.append_frame(batch.withColumn("crypto_key_id", F.lit(bad).cast("string")), encrypted_fields=fields)
+
+
+def test_bulk_appends_wrap_old_keys_anew(spark, tmp_path):
+    old = opened(spark, tmp_path, secrets=SECRETS)
+    old.create_crypto_keys(spark.createDataFrame([("a",), ("b",)], "key_id string"))
+    before = {r.key_id: bytes(r.encrypted_key) for r in old.log.table("keys").collect()}
+    store = opened(spark, tmp_path, secrets=Secrets.of(2, [(2, "two"), (1, "one")]))
+    batch = spark.createDataFrame([("S", "T", '{"x":1}', 1, "a")], "stream_id string, event_type string, data string, input_order long, crypto_key_id string")
+    store.append_frame(batch, encrypted_fields={"T": ["x"]})
+    after = {r.key_id: bytes(r.encrypted_key) for r in store.log.table("keys").collect()}
+    assert after["a"][4:8] == b"\0\0\0\2" and after["b"] == before["b"] and not holds(tmp_path, before["a"])
+    assert store.load("S")[0].data == {"x": 1} and store.replayed().first().data == '{"x":1}'
+
+
+def test_bound_fields_do_not_move(spark, tmp_path):
+    """A field's ciphertext opens under its own event, key, path and version only, in plans as in reads of streams."""
+    from weftlog.operators import crypto
+
+    store = opened(spark, tmp_path, secrets=SECRETS)
+    store.create_crypto_key("k")
+    store.append("é-1", 0, [{"type": "T", "data": {"ü": "ä", "n": 1}, "encrypted_fields": ["ü"], "crypto_key_id": "k"}])
+    log = store.events()
+    assert json.loads(crypto.decrypt(log, store.keys()).first().data) == {"ü": "ä", "n": 1} == store.load("é-1")[0].data
+    moved = log.withColumn("id", F.lit("other/1"))
+    broken = log.withColumn("encrypted_data", F.transform_values("encrypted_data", lambda k, v: v.withField("iv", F.lit("AAAA"))))
+    for wrong in (moved, broken):
+        with pytest.raises(Exception, match="(?i)aes|canonical"):
+            crypto.decrypt(wrong, store.keys()).collect()
+
+
+def test_waiting_readers_are_woken(spark, tmp_path):
+    import time
+
+    store = opened(spark, tmp_path)
+    at = store.log.refresh().commit_id
+    took = []
+
+    def wait():
+        started = time.monotonic()
+        store.log.wait(at, 30)
+        took.append(time.monotonic() - started)
+
+    reader = threading.Thread(target=wait)
+    reader.start()
+    store.append("S", 0, [{"type": "T", "data": 1}])
+    reader.join(20)
+    assert took and took[0] < 20
+    other = opened(spark, tmp_path)
+    started = time.monotonic()
+    other.log.wait(other.log.refresh().commit_id, 0.3)
+    assert 0.2 < time.monotonic() - started < 5

@@ -61,6 +61,25 @@ def strict_base64(text: str, length: int | None = None) -> bytes:
     return raw
 
 
+def unbase64_strict(text: Column, length: int | None = None) -> Column:
+    """The same for a column: what is not canonical, or not of the length, fails the plan; null stays null."""
+    raw = F.try_to_binary(text, F.lit("base64"))
+    held = F.coalesce(F.base64(raw) == text, F.lit(False))
+    if length is not None:
+        held = held & (F.octet_length(raw) == length)
+    return F.when(text.isNull(), F.lit(None).cast("binary")).when(held, raw).otherwise(F.raise_error(F.lit("not canonical base64 of the right length")).cast("binary"))
+
+
+def bound(*parts: Column) -> Column:
+    """Texts as one binary value that no other texts give: each as its length in bytes, a colon and itself."""
+    return F.concat(*(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts)).cast("binary")
+
+
+def bound_value(*parts: str) -> bytes:
+    """The same for values."""
+    return b"".join(b"%d:%s" % (len(b), b) for b in (p.encode() for p in parts))
+
+
 def uint32(number: int) -> bytes:
     return struct.pack(">I", number)
 
@@ -90,6 +109,83 @@ def mix32(value: Column, rounds: tuple[tuple[int, int], ...]) -> Column:
     return F.when(x >= 2**31, x - 2**32).otherwise(x)
 
 
+# JSON text by dot path, as columns: the same rules as for values, below. Objects keep their other keys, numbers their value.
+
+
+def _object(json_: Column) -> Column:
+    return F.from_json(F.when(F.substring(F.ltrim(json_), 1, 1) == "{", json_), "map<string,variant>")
+
+
+def _list(json_: Column) -> Column:
+    return F.from_json(F.when(F.substring(F.ltrim(json_), 1, 1) == "[", json_), "array<variant>")
+
+
+def _place(step: Column) -> Column:
+    """The index from 0 that a step of a path means in a list; null if it is no number."""
+    return F.when(F.rlike(step, F.lit("^[0-9]{1,9}$")), step.cast("int"))
+
+
+def _steps(path: str | Column) -> Column:
+    return F.split(F.lit(path) if isinstance(path, str) else path, F.lit("[.]"))
+
+
+def json_get(json_: Column, path: str | Column) -> Column:
+    """The JSON text of what is at a dot path: own keys of objects, and elements of lists by number; null if there is nothing."""
+
+    def inner(at: Column, step: Column) -> Column:
+        of_list = F.get(_list(at), _place(step))
+        return F.coalesce(F.to_json(F.element_at(_object(at), step)), F.to_json(of_list))
+
+    return F.aggregate(_steps(path), json_, inner)
+
+
+def json_delete(json_: Column, path: str) -> Column:
+    """JSON text without what is at the path; its parent stays, if need be empty. List elements become null."""
+    return _changed(json_, path.split("."), None)
+
+
+def json_set(json_: Column, path: str | Column, value: Column) -> Column:
+    """JSON text with a value (JSON text) at the path; parents that are no objects are replaced, list elements set by number.
+
+    A column of paths takes each path apart row by row: from the innermost object outwards.
+    """
+    if isinstance(path, str):
+        return _changed(json_, path.split("."), value)
+    steps = _steps(path)
+    depth = F.size(steps)
+    parents = F.transform(F.sequence(F.lit(0), depth - 1), lambda k: F.when(k == 0, json_).otherwise(json_get(json_, F.array_join(F.slice(steps, 1, k), "."))))
+    pairs = F.reverse(F.arrays_zip(parents.alias("p"), steps.alias("s")))
+    return F.aggregate(pairs, value, lambda new, x: _put(x["p"], x["s"], new))
+
+
+def _changed(json_: Column, steps: list[str], value: Column | None) -> Column:
+    step, rest = F.lit(steps[0]), steps[1:]
+    if not rest:
+        return _put(json_, step, value) if value is not None else _without(json_, step)
+    at = json_get(json_, steps[0])
+    inner = _changed(at, rest, value)
+    # A delete changes nothing where there is no such parent.
+    return _put(json_, step, inner) if value is not None else F.when(at.isNull(), json_).otherwise(_put(json_, step, inner))
+
+
+def _put(json_: Column, step: Column, value: Column) -> Column:
+    new = F.parse_json(value)
+    items, place = _list(json_), _place(step)
+    of_list = F.to_json(F.transform(items, lambda v, k: F.when(k == place, new).otherwise(v)))
+    fits = F.coalesce(place < F.size(items), F.lit(False))
+    held = F.coalesce(_object(json_), F.create_map().cast("map<string,variant>"))
+    of_object = F.to_json(F.map_concat(F.map_filter(held, lambda k, v: k != step), F.create_map(step, new)))
+    refused = F.raise_error(F.concat(F.lit("no element "), step, F.lit(" in a list"))).cast("string")
+    return F.when(items.isNull(), of_object).when(fits, of_list).otherwise(refused)
+
+
+def _without(json_: Column, step: Column) -> Column:
+    items, place = _list(json_), _place(step)
+    nothing = F.parse_json(F.lit("null"))
+    of_list = F.to_json(F.transform(items, lambda v, k: F.when(k == place, nothing).otherwise(v)))
+    return F.coalesce(F.to_json(F.map_filter(_object(json_), lambda k, v: k != step)), of_list, json_)
+
+
 def get_path(data: Any, path: str) -> tuple[bool, Any]:
     """(found, value) at a dot path: own keys of objects, and elements of lists by number."""
     for step in path.split("."):

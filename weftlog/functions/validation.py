@@ -1,4 +1,7 @@
-"""Checks of arguments, on the driver, before any plan is built."""
+"""Checks of arguments, on the driver, before any plan is built.
+
+The reasons that refusals state are fixed values: callers may compare them.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,8 @@ SNAPSHOT_SUFFIX = "Snapshot"
 _LARGEST = 2**53 - 1
 _DECIMAL = re.compile(r"0|[1-9][0-9]*")
 _NAME = re.compile(r"[a-z_][a-z0-9_]{0,62}")
+# Steps that no path of an encrypted field may have.
+_UNSAFE = {"", "__proto__", "constructor", "prototype"}
 
 
 def _integer(value: Any, least: int) -> bool:
@@ -117,3 +122,15 @@ def event_map(events: Any) -> None:
     """A definition's event types: a non-empty mapping with string keys."""
     held = isinstance(events, Mapping) and len(events) > 0 and all(map(_text, events))
     require(held, "events", "must be a non-empty mapping from event types")
+
+
+def encrypted_paths(fields: Sequence[str]) -> None:
+    """Distinct dot paths of safe steps, none inside another."""
+    seen: list[list[str]] = []
+    for path in fields:
+        steps = path.split(".")
+        require(not any(s in _UNSAFE for s in steps), "encrypted_fields", f'has an unsafe path "{path}"')
+        for other in seen:
+            short = min(len(other), len(steps))
+            require(other[:short] != steps[:short], "encrypted_fields", f'has overlapping paths at "{path}"')
+        seen.append(steps)

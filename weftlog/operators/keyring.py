@@ -1,7 +1,7 @@
-"""Versioned secrets and entity keys, on the driver: key material never enters a plan unless a read needs it.
+"""Versioned secrets, and entity keys wrapped by them.
 
-An entity key is wrapped by a secret in an envelope: magic, secret version, iv, tag, ciphertext. AES-GCM runs in Spark's own
-expressions, so that no other library is needed.
+An envelope of a key is: magic, secret version, iv, tag, ciphertext. AES-GCM runs in Spark's own expressions, so that no other
+library is needed; secrets and keys enter plans as rows of small frames, never as literals that a plan would print.
 """
 
 from __future__ import annotations
@@ -16,19 +16,22 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.functions import errors
-from weftlog.functions.codecs import delete_path, get_path, set_path, strict_base64, uint32
+from weftlog.functions import codecs, errors
+from weftlog.functions.codecs import bound_value, delete_path, get_path, set_path, strict_base64, uint32
+from weftlog.functions.validation import encrypted_paths
+from weftlog.operators import crypto
 from weftlog.operators.crypto import FIELD_DOMAIN
+from weftlog.sources.schema import IV, KEY, TAG
 
-MAGIC = b"WFL1"
-KEY_DOMAIN = "weftlog:entity-key:v1"
+MAGIC = b"WFL2"
+KEY_DOMAIN = "weftlog:entity-key:v2"
 SALT = b"weftlog:secret:v1"
-IV, TAG, KEY = 12, 16, 32
-ENVELOPE = len(MAGIC) + 4 + IV + TAG + KEY
-_UNSAFE = {"", "__proto__", "constructor", "prototype"}
+_HEADER = len(MAGIC) + 4
+ENVELOPE = _HEADER + IV + TAG + KEY
+ALGORITHM = "AES-256-GCM"
 
 
 @dataclass(frozen=True)
@@ -74,127 +77,164 @@ class Secrets:
 
 
 class Sealer:
-    """AES-256-GCM of single values through one-row plans that need no job."""
+    """AES-256-GCM of many values in one plan."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
 
-    def _value(self, column: Any) -> bytes:
-        return bytes(self.spark.range(1).select(column.alias("x")).first().x)
-
-    def seal(self, key: bytes, plain: bytes, aad: bytes) -> tuple[bytes, bytes, bytes]:
-        """(iv, tag, ciphertext), with a random iv."""
-        iv = secrets.token_bytes(IV)
-        raw = self._value(F.aes_encrypt(F.lit(bytearray(plain)), F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray(iv)), F.lit(bytearray(aad))))
-        return raw[:IV], raw[-TAG:], raw[IV:-TAG]
-
-    def open(self, key: bytes, iv: bytes, tag: bytes, cipher: bytes, aad: bytes) -> bytes:
-        """The plain bytes; raises ValueError if key, tag or context do not fit."""
-        try:
-            return self._value(F.aes_decrypt(F.lit(bytearray(iv + cipher + tag)), F.lit(bytearray(key)), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray(aad))))
-        except Exception as e:
-            if "AES_CRYPTO_ERROR" in str(e):
-                raise ValueError("authentication failed") from None
-            raise
+    def _rows(self, rows: Sequence[tuple[bytes, ...]], names: Sequence[str]) -> DataFrame:
+        numbered = [(k, *map(bytearray, r)) for k, r in enumerate(rows)]
+        return self.spark.createDataFrame(numbered, "k int, " + ", ".join(f"{n} binary" for n in names)).coalesce(1)
+
+    def seal(self, values: Sequence[tuple[bytes, bytes, bytes]]) -> list[tuple[bytes, bytes, bytes]]:
+        """(iv, tag, ciphertext), with a random iv, of each (key, plain, context)."""
+        if not values:
+            return []
+        rows = self._rows(values, ("key", "plain", "aad")).select("k", crypto.sealed(F.col("plain"), F.col("key"), F.col("aad")).alias("x")).collect()
+        raw = [bytes(r.x) for r in sorted(rows, key=lambda r: r.k)]
+        return [(x[:IV], x[-TAG:], x[IV:-TAG]) for x in raw]
+
+    def open(self, values: Sequence[tuple[bytes, bytes, bytes, bytes, bytes]]) -> list[bytes]:
+        """The plain bytes of each (key, iv, tag, ciphertext, context); ValueError if one's key, tag or context do not fit."""
+        if not values:
+            return []
+        rows = self._rows([(key, iv + cipher + tag, aad) for key, iv, tag, cipher, aad in values], ("key", "raw", "aad"))
+        plain = F.try_aes_decrypt("raw", "key", F.lit("GCM"), F.lit("DEFAULT"), "aad")
+        found = sorted(rows.select("k", plain.alias("x")).collect(), key=lambda r: r.k)
+        if any(r.x is None for r in found):
+            raise ValueError("authentication failed")
+        return [bytes(r.x) for r in found]
 
 
 class KeyRing:
-    """Entity keys as rows {encrypted_key hex or None, revoked_at, created_at}: the commit log's small table of keys."""
+    """Entity keys as rows of the log's table of keys: (key_id, encrypted_key, algorithm, revoked_at, created_at)."""
 
     def __init__(self, sealer: Sealer, given: Secrets) -> None:
         self.sealer, self.given = sealer, given
         self._secret = {v: hashlib.scrypt(s.encode(), salt=SALT, n=16384, r=8, p=1, maxmem=64 * 2**20, dklen=KEY) for v, s in given.values.items()}
 
+    # Plans.
+
+    def opened(self, keys: DataFrame) -> DataFrame:
+        """(key_id, key binary, revoked, version long) of a table of keys, unwrapped in one plan; key is null where it is revoked.
+
+        A missing or broken envelope, or one of a secret that is not configured, fails the plan.
+        """
+        spark, env = self.sealer.spark, F.col("encrypted_key")
+        known = spark.createDataFrame([(v, bytearray(s)) for v, s in self._secret.items()], "_version long, _secret binary")
+        rows = keys.withColumn("version", codecs.read_uint32(env, len(MAGIC) + 1)).join(F.broadcast(known), F.col("version") == F.col("_version"), "left")
+        revoked = F.col("revoked_at").isNotNull()
+        named = lambda text: F.concat(F.lit(text), "key_id")
+        wrong = (
+            F.when(env.isNull(), named("the material is missing of crypto key "))
+            .when((F.octet_length(env) != ENVELOPE) | (F.substring(env, 1, len(MAGIC)) != F.lit(MAGIC)), named("not a key envelope: "))
+            .when(F.col("_secret").isNull(), F.concat(F.lit("crypto secret version "), F.col("version").cast("string"), F.lit(" is not configured")))
+        )
+        raw = F.concat(F.substring(env, _HEADER + 1, IV), F.substring(env, _HEADER + IV + TAG + 1, KEY), F.substring(env, _HEADER + IV + 1, TAG))
+        aad = codecs.bound(F.lit(KEY_DOMAIN), F.col("key_id"), F.base64(F.substring(env, 1, _HEADER)))
+        key = F.when(revoked, F.lit(None).cast("binary")).when(wrong.isNotNull(), F.raise_error(wrong).cast("binary")).otherwise(crypto.opened(raw, F.col("_secret"), aad))
+        return rows.select("key_id", key.alias("key"), revoked.alias("revoked"), "version")
+
+    def wrapped(self, keys: DataFrame) -> DataFrame:
+        """Rows of the table of keys, anew, for (key_id, key binary, created_at): by the current secret, in one plan."""
+        header, current = MAGIC + uint32(self.given.current), self.given.current
+        secret = self.sealer.spark.createDataFrame([(current, bytearray(self._secret[current]))], "_version long, _secret binary")
+        aad = codecs.bound(F.lit(KEY_DOMAIN), F.col("key_id"), F.lit(b64encode(header).decode()))
+        raw = keys.withColumn("_version", F.lit(current).cast("long")).join(F.broadcast(secret), "_version").withColumn("_raw", crypto.sealed(F.col("key"), F.col("_secret"), aad))
+        box = F.concat(F.lit(header), F.substring("_raw", 1, IV), F.substring("_raw", IV + KEY + 1, TAG), F.substring("_raw", IV + 1, KEY))
+        return raw.select("key_id", box.alias("encrypted_key"), F.lit(ALGORITHM).alias("algorithm"), F.lit(None).cast("timestamp").alias("revoked_at"), "created_at")
+
+    # Values.
+
     @staticmethod
     def _aad(header: bytes, key_id: str) -> bytes:
-        return json.dumps([KEY_DOMAIN, key_id, b64encode(header).decode()], separators=(",", ":")).encode()
+        return bound_value(KEY_DOMAIN, key_id, b64encode(header).decode())
 
-    def wrap(self, key: bytes, key_id: str) -> bytes:
+    def wrap(self, keys: Mapping[str, bytes]) -> dict[str, bytes]:
         header = MAGIC + uint32(self.given.current)
-        iv, tag, cipher = self.sealer.seal(self._secret[self.given.current], key, self._aad(header, key_id))
-        return header + iv + tag + cipher
-
-    def unwrap(self, envelope: bytes, key_id: str) -> tuple[bytes, int]:
-        """(key, secret version)."""
-        if len(envelope) != ENVELOPE or envelope[: len(MAGIC)] != MAGIC:
-            raise ValueError("not a key envelope")
-        header, rest = envelope[:8], envelope[8:]
-        version = int.from_bytes(header[4:], "big")
-        if version not in self._secret:
-            raise errors.CryptoSecretVersionNotFoundError(version)
-        iv, tag, cipher = rest[:IV], rest[IV : IV + TAG], rest[IV + TAG :]
-        return self.sealer.open(self._secret[version], iv, tag, cipher, self._aad(header, key_id)), version
+        boxes = self.sealer.seal([(self._secret[self.given.current], key, self._aad(header, key_id)) for key_id, key in keys.items()])
+        return {key_id: header + iv + tag + cipher for key_id, (iv, tag, cipher) in zip(keys, boxes)}
 
-    def new_row(self, key_id: str) -> dict[str, Any]:
-        return {"encrypted_key": self.wrap(secrets.token_bytes(KEY), key_id).hex(), "revoked_at": None, "created_at": _now()}
+    def new_rows(self, key_ids: Sequence[str]) -> dict[str, dict[str, Any]]:
+        boxes = self.wrap({k: secrets.token_bytes(KEY) for k in key_ids})
+        return {k: {"encrypted_key": b, "algorithm": ALGORITHM, "revoked_at": None, "created_at": _now()} for k, b in boxes.items()}
 
-    def revoked_row(self, row: Mapping[str, Any]) -> dict[str, Any]:
+    @staticmethod
+    def revoked_row(row: Mapping[str, Any]) -> dict[str, Any]:
         return {**row, "encrypted_key": None, "revoked_at": row["revoked_at"] or _now()}
 
-    def _stored(self, rows: Mapping[str, Any], key_id: str) -> tuple[bytes, int] | None:
-        row = rows.get(key_id)
-        if row is None:
-            raise errors.CryptoKeyNotFoundError(key_id)
-        if row["revoked_at"] is not None:
-            return None
-        if row["encrypted_key"] is None:
+    def version(self, row: Mapping[str, Any], key_id: str) -> int:
+        """The secret version of a row's envelope, which must be whole and of a configured secret."""
+        envelope = row["encrypted_key"]
+        if envelope is None:
             raise ValueError(f'the material of crypto key "{key_id}" is missing')
-        return self.unwrap(bytes.fromhex(row["encrypted_key"]), key_id)
+        if len(envelope) != ENVELOPE or bytes(envelope[: len(MAGIC)]) != MAGIC:
+            raise ValueError("not a key envelope")
+        version = int.from_bytes(envelope[len(MAGIC) : _HEADER], "big")
+        if version not in self._secret:
+            raise errors.CryptoSecretVersionNotFoundError(version)
+        return version
+
+    def unwrap(self, rows: Mapping[str, Mapping[str, Any]]) -> dict[str, bytes]:
+        """The keys of rows that are not revoked, in one plan."""
+        values = []
+        for key_id, row in rows.items():
+            secret, e = self._secret[self.version(row, key_id)], bytes(row["encrypted_key"])
+            rest = e[_HEADER:]
+            values.append((secret, rest[:IV], rest[IV : IV + TAG], rest[IV + TAG :], self._aad(e[:_HEADER], key_id)))
+        return dict(zip(rows, self.sealer.open(values)))
+
+    def for_reading(self, rows: Mapping[str, Mapping[str, Any] | None]) -> dict[str, bytes | None]:
+        """The key of each id; None if it is revoked or there is none, so that its events are tombstones."""
+        live = {k: r for k, r in rows.items() if r is not None and r["revoked_at"] is None}
+        return {k: None for k in rows} | self.unwrap(live)
+
+    def for_writing(self, rows: Mapping[str, Mapping[str, Any] | None]) -> tuple[dict[str, bytes], dict[str, dict[str, Any]]]:
+        """The keys, and the rows wrapped anew of those whose secret is older than the current one (never if newer)."""
+        for key_id, row in rows.items():
+            if row is None:
+                raise errors.CryptoKeyNotFoundError(key_id)
+            if row["revoked_at"] is not None:
+                raise errors.CryptoKeyRevokedError(key_id)
+        keys = self.unwrap(rows)
+        old = {k: keys[k] for k, r in rows.items() if self.version(r, k) < self.given.current}
+        return keys, {k: {**rows[k], "encrypted_key": b} for k, b in self.wrap(old).items()}
 
-    def for_reading(self, rows: Mapping[str, Any], key_id: str) -> bytes | None:
-        """The key; None if it is revoked or there is none, so that its events are tombstones."""
-        try:
-            found = self._stored(rows, key_id)
-        except errors.CryptoKeyNotFoundError:
-            return None
-        return found and found[0]
-
-    def for_writing(self, rows: Mapping[str, Any], key_id: str) -> tuple[bytes, dict[str, Any] | None]:
-        """The key, and its row wrapped anew if its secret is older than the current one (never if newer)."""
-        found = self._stored(rows, key_id)
-        if found is None:
-            raise errors.CryptoKeyRevokedError(key_id)
-        key, version = found
-        return key, {**rows[key_id], "encrypted_key": self.wrap(key, key_id).hex()} if version < self.given.current else None
-
-    def _context(self, event_id: str, key_id: str, path: str, version: int) -> bytes:
-        return json.dumps([FIELD_DOMAIN, event_id, key_id, path, str(version)], separators=(",", ":")).encode()
-
-    def encrypt_fields(self, data: Any, fields: Sequence[str], key: bytes, event_id: str, key_id: str) -> tuple[Any, dict[str, dict[str, Any]]]:
-        """(clean data, entries by path): fields that are absent are skipped; each has its own iv and context."""
-        check_paths(fields)
-        found = {}
-        for path in fields:
-            there, value = get_path(data, path)
-            if there:
-                version = self.given.current
-                iv, tag, cipher = self.sealer.seal(key, json.dumps(value).encode(), self._context(event_id, key_id, path, version))
-                found[path] = {"version": version, "ciphertext": b64encode(cipher).decode(), "iv": b64encode(iv).decode(), "auth_tag": b64encode(tag).decode()}
-        for path in found:
-            data = delete_path(data, path)
-        return data, found
-
-    def decrypt_fields(self, data: Any, entries: Mapping[str, Mapping[str, Any]], key: bytes, event_id: str, key_id: str) -> Any:
-        for path, e in entries.items():
-            iv, tag = strict_base64(e["iv"], IV), strict_base64(e["auth_tag"], TAG)
-            plain = self.sealer.open(key, iv, tag, strict_base64(e["ciphertext"]), self._context(event_id, key_id, path, e["version"]))
-            data = set_path(data, path, json.loads(plain))
-        return data
-
-
-def check_paths(fields: Sequence[str]) -> None:
-    """Distinct dot paths of safe steps, none inside another."""
-    seen: list[list[str]] = []
-    for path in fields:
-        steps = path.split(".")
-        if any(s in _UNSAFE for s in steps):
-            raise errors.InvalidArgumentError("encrypted_fields", f'has an unsafe path "{path}"')
-        for other in seen:
-            short = min(len(other), len(steps))
-            if other[:short] == steps[:short]:
-                raise errors.InvalidArgumentError("encrypted_fields", f'has overlapping paths at "{path}"')
-        seen.append(steps)
-
-
-def _now() -> str:
-    return datetime.now(timezone.utc).isoformat()
+    @staticmethod
+    def _context(event_id: str, key_id: str, path: str, version: int) -> bytes:
+        return bound_value(FIELD_DOMAIN, event_id, key_id, path, str(version))
+
+    def encrypt_fields(self, events: Sequence[tuple[Any, Sequence[str], bytes, str, str]]) -> list[tuple[Any, dict[str, dict[str, Any]]]]:
+        """(clean data, entries by path) of each (data, fields, key, event id, key id), in one plan: absent fields are skipped."""
+        version, found, values = self.given.current, [], []
+        for data, fields, key, event_id, key_id in events:
+            encrypted_paths(fields)
+            held = {path: value for path in fields for there, value in [get_path(data, path)] if there}
+            found.append(list(held))
+            values += [(key, json.dumps(v, ensure_ascii=False).encode(), self._context(event_id, key_id, path, version)) for path, v in held.items()]
+        boxes, out = iter(self.sealer.seal(values)), []
+        for (data, *_), paths in zip(events, found):
+            entries = {}
+            for path in paths:
+                iv, tag, cipher = (b64encode(x).decode() for x in next(boxes))
+                entries[path] = {"version": version, "ciphertext": cipher, "iv": iv, "auth_tag": tag}
+                data = delete_path(data, path)
+            out.append((data, entries))
+        return out
+
+    def decrypt_fields(self, events: Sequence[tuple[Any, Mapping[str, Mapping[str, Any]], bytes, str, str]]) -> list[Any]:
+        """Whole data of each (data, entries, key, event id, key id), in one plan."""
+        values = [
+            (key, strict_base64(e["iv"], IV), strict_base64(e["auth_tag"], TAG), strict_base64(e["ciphertext"]), self._context(event_id, key_id, path, e["version"]))
+            for _, entries, key, event_id, key_id in events for path, e in entries.items()
+        ]
+        plain, out = iter(self.sealer.open(values)), []
+        for data, entries, *_ in events:
+            for path in entries:
+                data = set_path(data, path, json.loads(next(plain)))
+            out.append(data)
+        return out
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)

@@ -14,13 +14,16 @@ RESERVED = ("specversion", "id", "source", "type", "subject", "time", "dataconte
 
 
 def payload() -> Column:
-    """Flat CloudEvents JSON of a log row; ``extensions`` (a JSON object) goes to the top level except reserved keys."""
-    extra = F.map_filter(F.from_json("extensions", "map<string,string>"), lambda k, v: ~k.isin(*RESERVED))
+    """Flat CloudEvents JSON of a log row; ``extensions`` (a JSON object) goes to the top level except reserved keys, values as they are."""
+    kind = "map<string,variant>"
+    extra = F.map_filter(F.from_json("extensions", kind), lambda k, v: ~k.isin(*RESERVED))
     base = F.map_from_arrays(
         F.array(*map(F.lit, RESERVED[:7])), F.array("specversion", "id", "source", "event_type", "subject", iso_ms(F.col("time")), "datacontenttype")
     )
-    flat = F.to_json(F.map_concat(base, F.coalesce(extra, F.create_map().cast("map<string,string>"))))
-    return F.concat(F.regexp_replace(flat, r"\}$", ""), F.lit(',"data":'), F.coalesce("data", F.lit("null")), F.lit("}"))
+    typed = F.transform_values(base, lambda k, v: F.parse_json(F.to_json(F.array(v)))).cast(kind)
+    own = F.transform_values(typed, lambda k, v: F.variant_get(v, "$[0]", "variant"))
+    data = F.create_map(F.lit("data"), F.parse_json(F.coalesce("data", F.lit("null"))))
+    return F.to_json(F.map_concat(own, F.coalesce(extra, F.create_map().cast(kind)), data))
 
 
 def fan_out(events: DataFrame, topics: Sequence[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """A streaming source over the commit log, by position: catch-up first, then new commits as they are published.
 
-The driver's side reads manifests only; executors read the Parquet files whose positions a micro-batch covers. Offsets are
+The driver's side reads the manifests since the last offset only; executors read the Parquet files whose positions a micro-batch covers. Offsets are
 positions that are safe by construction, since a commit allots its positions when it is published.
 """
 
@@ -26,15 +26,31 @@ def _opened(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.removeprefix("file:"))
 
 
-def manifests(root: str) -> list[dict[str, Any]]:
-    """All manifests under a log's folder, in order of commits."""
+def _read(fs: pafs.FileSystem, name: str) -> dict[str, Any] | None:
+    """A JSON file; None if there is none."""
+    if fs.get_file_info(name).type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(name) as f:
+        return json.loads(f.read())
+
+
+def manifests(root: str, after: int = 0, upto: int | None = None) -> Iterator[dict[str, Any]]:
+    """Manifests of a log's folder after a commit, in order, up to one or to the newest."""
+    fs, path = _opened(root)
+    while (upto is None or after < upto) and (found := _read(fs, f"{path}/_log/{after + 1:020d}.json")):
+        yield found
+        after += 1
+
+
+def last_checkpoint(root: str) -> dict[str, Any]:
+    """The state that the log's last checkpoint holds, or that of an empty log."""
     fs, path = _opened(root)
-    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{path}/_log", allow_not_found=True)) if f.path.endswith(".json"))
-    out = []
-    for name in found:
+    name = f"{path}/_checkpoints/last"
+    if fs.get_file_info(name).type == pafs.FileType.File:
         with fs.open_input_stream(name) as f:
-            out.append(json.loads(f.read()))
-    return out
+            if found := _read(fs, f"{path}/_checkpoints/{f.read().decode()}"):
+                return found
+    return {"commit_id": 0, "last_position": 0, "folders": {"events": []}, "ranges": {}}
 
 
 class _Slice(InputPartition):
@@ -45,21 +61,29 @@ class _Slice(InputPartition):
 class _Reader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.root, self.start = options["path"].rstrip("/"), int(options.get("after", "0"))
+        self.seen: dict[str, int] | None = None
 
     def initialOffset(self) -> dict[str, int]:
         return {"position": self.start, "commit": 0}
 
     def latestOffset(self) -> dict[str, int]:
-        listed = manifests(self.root)
-        if not listed:
-            return self.initialOffset()
-        return {"position": max(self.start, listed[-1]["last_position"]), "commit": listed[-1]["commit_id"]}
+        """Manifests after those seen before only; the first time, after the last checkpoint."""
+        if self.seen is None:
+            found = last_checkpoint(self.root)
+            self.seen = {"position": found["last_position"], "commit": found["commit_id"]}
+        for m in manifests(self.root, self.seen["commit"]):
+            self.seen = {"position": m["last_position"], "commit": m["commit_id"]}
+        return {"position": max(self.start, self.seen["position"]), "commit": self.seen["commit"]}
 
     def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[_Slice]:
+        """Files that may hold positions of the range: manifests after the start's commit name them, since a folder that
+        replaces others has their positions; a start without a commit begins at the last checkpoint that is not after the end."""
         live: dict[str, list[int]] = {}
-        for m in manifests(self.root):
-            if m["commit_id"] > end["commit"]:
-                break
+        first = start["commit"]
+        if not first and (found := last_checkpoint(self.root))["commit_id"] <= end["commit"]:
+            first = found["commit_id"]
+            live = {f: found["ranges"].get(f, [1, found["last_position"]]) for f in found["folders"]["events"]}
+        for m in manifests(self.root, first, end["commit"]):
             for gone in m.get("replaced", {}).get("events", ()):
                 live.pop(gone, None)
             for folder in m.get("folders", {}).get("events", ()):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: Bytes of an initialisation vector, an authentication tag and a key of AES-256-GCM.
+IV, TAG, KEY = 12, 16, 32
+
 ENCRYPTED = "map<string, struct<version:bigint, ciphertext:string, iv:string, auth_tag:string>>"
 
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "timestamp": T.TimestampType(), "binary": T.BinaryType()}

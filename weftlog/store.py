@@ -9,18 +9,22 @@ from __future__ import annotations
 
 import copy
 import json
+import re
+import secrets
 import threading
 import time
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any, Protocol
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.functions import errors, filters, validation
-from weftlog.operators import appends, outbox, paging, reads
+from weftlog.operators import appends, crypto, outbox, paging, reads, snapshots
 from weftlog.operators.keyring import KeyRing, Sealer, Secrets
 from weftlog.operators.upcasts import Upcaster, Upcasters
 from weftlog.sources import schema
@@ -30,6 +34,7 @@ BATCH = 500
 OUTBOX_BATCH = 100
 WEEK_MS = 7 * 24 * 3600 * 1000
 LEASE_S = 60.0
+_KEY_FOLDER = re.compile(r"keys/[0-9a-f]{32}(?:/part_of=\d+)?(?=/[^/]+$)")
 _OWN = ("id", "source", "specversion", "subject", "datacontenttype", "global_position", "stream_id", "stream_version", "created_at")
 
 
@@ -103,14 +108,19 @@ class Transaction:
     checkpoints: dict[str, int] = field(default_factory=dict)
     folders: dict[str, list[str]] = field(default_factory=dict)
     _heads: dict[str, int] = field(default_factory=dict)
+    _stored_keys: dict[str, dict[str, Any] | None] = field(default_factory=dict)
 
     def head(self, stream_id: str) -> int:
         if stream_id not in self._heads:
             self._heads[stream_id] = self.store._head(stream_id, self.state)
         return self._heads[stream_id]
 
-    def key_rows(self) -> dict[str, dict[str, Any]]:
-        return self.state.keys | self.keys
+    def key_rows(self, key_ids: Iterable[str]) -> dict[str, dict[str, Any] | None]:
+        """The row of each key, None if there is none: as changed here, else as stored now, whatever the commit read."""
+        ids = list(dict.fromkeys(key_ids))
+        if new := [k for k in ids if k not in self.keys and k not in self._stored_keys]:
+            self._stored_keys |= self.store._key_rows(new)
+        return {k: self.keys.get(k, self._stored_keys.get(k)) for k in ids}
 
     def append(self, stream_id: str, expected_version: int, events: Sequence[Mapping[str, Any]], outbox_topics: Sequence[str] | None = None) -> AppendResult:
         """Append to a stream at its expected version (-1: it must be new, 0: at any), then update registered snapshots."""
@@ -132,8 +142,7 @@ class Transaction:
         if expected == -1 and head or expected > 0 and expected != head:
             raise errors.OptimisticConcurrencyError(stream_id, expected, head)
         positions = []
-        for n, e in enumerate(events, head + 1):
-            row = self._prepare(stream_id, n, e)
+        for row in self._prepared(stream_id, head + 1, events):
             self.rows.append(row)
             positions.append(row["global_position"])
             for topic in topics or ():
@@ -141,37 +150,43 @@ class Transaction:
         self._heads[stream_id] = head + len(events)
         return AppendResult(stream_id, head + 1, head + len(events), positions)
 
-    def _prepare(self, stream_id: str, version: int, e: Mapping[str, Any]) -> dict[str, Any]:
-        event_id, data, sealed, key_id = f"{stream_id}/{version}", e.get("data"), None, None
-        if e.get("encrypted_fields"):
-            key_id = e.get("crypto_key_id")
-            if not key_id:
-                raise errors.CryptoKeyIdRequiredError
-            ring = self.store._ring_or_refuse()
-            key, renewed = ring.for_writing(self.key_rows(), key_id)
-            if renewed:
-                self.keys[key_id] = renewed
-            data, sealed = ring.encrypt_fields(data, e["encrypted_fields"], key, event_id, key_id)
-        now, schema_version = _now(), e.get("schema_version") or 1
-        return {
-            "global_position": self.state.last_position + len(self.rows) + 1,
-            "stream_id": stream_id,
-            "stream_version": version,
-            "id": event_id,
-            "source": e.get("source") or self.store.default_source,
-            "specversion": schema.SPECVERSION,
-            "event_type": e["type"],
-            "subject": stream_id,
-            "time": now,
-            "datacontenttype": schema.CONTENT_TYPE,
-            "data": json.dumps(data, separators=(",", ":")),
-            "extensions": json.dumps({**(e.get("extensions") or {}), "schemaversion": schema_version}, separators=(",", ":")),
-            "encrypted_data": sealed,
-            "crypto_key_id": key_id,
-            "schema_version": schema_version,
-            "created_at": now,
-            "txid": self.state.commit_id + 1,
-        }
+    def _sealed(self, stream_id: str, first: int, events: Sequence[Mapping[str, Any]]) -> dict[int, tuple[Any, dict[str, Any], str]]:
+        """(clean data, entries, key id) of the events with encrypted fields, by place: one plan for all keys, one for all fields."""
+        asked = {n: e for n, e in enumerate(events) if e.get("encrypted_fields")}
+        if not asked:
+            return {}
+        if not all(e.get("crypto_key_id") for e in asked.values()):
+            raise errors.CryptoKeyIdRequiredError
+        ring = self.store._ring_or_refuse()
+        keys, renewed = ring.for_writing(self.key_rows(e["crypto_key_id"] for e in asked.values()))
+        self.keys |= renewed
+        todo = [(e.get("data"), e["encrypted_fields"], keys[e["crypto_key_id"]], f"{stream_id}/{first + n}", e["crypto_key_id"]) for n, e in asked.items()]
+        return {n: (*box, e["crypto_key_id"]) for (n, e), box in zip(asked.items(), ring.encrypt_fields(todo))}
+
+    def _prepared(self, stream_id: str, first: int, events: Sequence[Mapping[str, Any]]) -> Iterator[dict[str, Any]]:
+        sealed, at = self._sealed(stream_id, first, events), self.state.last_position + len(self.rows) + 1
+        for n, e in enumerate(events):
+            data, boxes, key_id = sealed.get(n, (e.get("data"), None, None))
+            now, schema_version = _now(), e.get("schema_version") or 1
+            yield {
+                "global_position": at + n,
+                "stream_id": stream_id,
+                "stream_version": first + n,
+                "id": f"{stream_id}/{first + n}",
+                "source": e.get("source") or self.store.default_source,
+                "specversion": schema.SPECVERSION,
+                "event_type": e["type"],
+                "subject": stream_id,
+                "time": now,
+                "datacontenttype": schema.CONTENT_TYPE,
+                "data": json.dumps(data, separators=(",", ":")),
+                "extensions": json.dumps({**(e.get("extensions") or {}), "schemaversion": schema_version}, separators=(",", ":")),
+                "encrypted_data": boxes,
+                "crypto_key_id": key_id,
+                "schema_version": schema_version,
+                "created_at": now,
+                "txid": self.state.commit_id + 1,
+            }
 
     @staticmethod
     def _payload(row: Mapping[str, Any]) -> str:
@@ -182,14 +197,14 @@ class Transaction:
     def load(self, stream_id: str, from_version: int = 1, max_events: int | None = None) -> list[Event]:
         stored = reads.stream(self.store._log(self.state), stream_id, from_version, max_events).select(*schema.REPLAY_COLUMNS).collect()
         own = [Row(**r) for r in self.rows if r["stream_id"] == stream_id and r["stream_version"] >= from_version]
-        return self.store._replayed([*stored, *own][:max_events], self.key_rows())
+        return self.store._replayed([*stored, *own][:max_events], self.key_rows)
 
     def latest(self, stream_id: str, event_type: str) -> Event | None:
         own = [Row(**r) for r in self.rows if r["stream_id"] == stream_id and r["event_type"] == event_type]
         if not own:
             rows = self.store._log(self.state).where((F.col("stream_id") == stream_id) & (F.col("event_type") == event_type))
             own = rows.orderBy(F.desc("stream_version")).limit(1).select(*schema.REPLAY_COLUMNS).collect()
-        found = self.store._replayed(own[-1:], self.key_rows())
+        found = self.store._replayed(own[-1:], self.key_rows)
         return found[0] if found else None
 
     def body(self) -> dict[str, Any]:
@@ -200,12 +215,17 @@ class Transaction:
             names = schema.LOG.names
             rows = spark.createDataFrame([tuple(r[n] for n in names) for r in self.rows], schema.LOG)
             folders.setdefault("events", []).append(log.stage("events", rows.coalesce(1)))
+        replaced: dict[str, list[str]] = {}
+        if self.keys:
+            new, old = self.store._staged_keys(self.keys, self._stored_keys, self.state)
+            folders.setdefault("keys", []).append(new)
+            replaced["keys"] = old
         first = self.state.last_outbox
         if self.entries:
             rows = [(first + k, *e) for k, e in enumerate(self.entries, 1)]
             folders.setdefault("outbox", []).append(log.stage("outbox", spark.createDataFrame(rows, schema.OUTBOX).coalesce(1)))
         return {
-            "folders": folders, "keys": self.keys, "checkpoints": self.checkpoints, "streams": sorted({r["stream_id"] for r in self.rows}),
+            "folders": folders, "replaced": replaced, "checkpoints": self.checkpoints, "streams": sorted({r["stream_id"] for r in self.rows}),
             "heads": {s: self._heads[s] for s in {r["stream_id"] for r in self.rows}},
             "ranges": {f: [self.state.last_position + 1, self.state.last_position + len(self.rows)] for f in folders.get("events", ())},
             "last_position": self.state.last_position + len(self.rows), "last_outbox": first + len(self.entries),
@@ -240,18 +260,58 @@ class EventStore:
             raise errors.EventStoreNotInitializedError
         return self._commit_log
 
-    def _log(self, state: Snapshot | None = None) -> DataFrame:
-        return self.log.table("events", state)
+    def _log(self, state: Snapshot | None = None, after: int | None = None) -> DataFrame:
+        return self.log.table("events", state, after)
 
     def events(self) -> DataFrame:
         """The whole log as a DataFrame, as of now: for analytics with the operators of this package."""
         return self._log()
 
+    def replayed(self, upcasters: Upcasters | None = None) -> DataFrame:
+        """The whole log as readers of streams get it, as one plan: decrypted, with ``tombstoned``, and upcast by functions of
+        JSON columns."""
+        return crypto.replayed(self._log(), self.keys(), upcasters)
+
     def _ring_or_refuse(self) -> KeyRing:
         if self._ring is None:
             raise errors.CryptoSecretsRequiredError
         return self._ring
 
+    def _key_rows(self, key_ids: Sequence[str]) -> dict[str, dict[str, Any] | None]:
+        """Rows of the table of keys with the file they are in, as stored now; read anew if it is replaced meanwhile."""
+        found: dict[str, dict[str, Any]] = {}
+        for attempt in range(3):
+            state = self.log.refresh().pinned()
+            if not state.folders["keys"]:
+                break
+            try:
+                rows = self.log.table("keys", state).where(F.col("key_id").isin(list(key_ids)))
+                found = {r.key_id: r.asDict() for r in rows.select("*", F.col("_metadata.file_path").alias("_file")).collect()}
+                break
+            except Exception:
+                if attempt == 2 or self.log.refresh().folders["keys"] == state.folders["keys"]:
+                    raise
+        return {k: found.get(k) for k in key_ids}
+
+    def _key_rows_of(self, key_ids: Iterable[str]) -> dict[str, dict[str, Any] | None]:
+        return self._key_rows(list(dict.fromkeys(key_ids)))
+
+    def keys(self) -> DataFrame | None:
+        """All entity keys, unwrapped, for the plans of :mod:`weftlog.operators.crypto`; None without secrets."""
+        return self._ring.opened(self.log.table("keys")) if self._ring else None
+
+    def _staged_keys(self, changed: Mapping[str, Mapping[str, Any]], stored: Mapping[str, Mapping[str, Any] | None], state: Snapshot) -> tuple[str, list[str]]:
+        """The new folder of changed keys, and the folders that it replaces: those that held one of them before."""
+        old = sorted({_KEY_FOLDER.search(unquote(r["_file"]))[0] for k in changed if (r := stored.get(k))})
+        if not set(old) <= set(state.folders["keys"]):  # another commit rewrote them: this one cannot be published
+            old = []
+        names = [f.name for f in schema.CRYPTO_KEYS.fields]
+        new = self.spark.createDataFrame([tuple({"key_id": k, **r}[n] for n in names) for k, r in changed.items()], schema.CRYPTO_KEYS)
+        if old:
+            kept = self.spark.read.schema(schema.CRYPTO_KEYS).parquet(*map(self.log.files.at, old))
+            new = new.unionByName(kept.where(~F.col("key_id").isin(list(changed))))
+        return self.log.stage("keys", new.coalesce(1)), old
+
     def _head(self, stream_id: str, state: Snapshot) -> int:
         """A head that was read before holds while no later commit touched its stream."""
         if known := self._known_heads.get(stream_id):
@@ -268,10 +328,12 @@ class EventStore:
 
     def _heads_of(self, streams: DataFrame, state: Snapshot) -> DataFrame:
         """(stream_id, version) of those of ``streams`` that exist: from the table of heads, not the log."""
-        small = self.spark.createDataFrame(list(state.heads.items()), schema.HEADS)
-        known = self.log.table("heads", state).unionByName(small).join(streams.distinct(), "stream_id", "left_semi")
+        known = self._heads_table(state).join(streams.distinct(), "stream_id", "left_semi")
         return known.groupBy("stream_id").agg(F.max("version").alias("version"))
 
+    def _heads_table(self, state: Snapshot) -> DataFrame:
+        return self.log.table("heads", state).unionByName(self.spark.createDataFrame(list(state.heads.items()), schema.HEADS))
+
     def with_transaction(self, work: Callable[[Transaction], Any]) -> Any:
         """Run ``work`` on a transaction and publish it; nothing is published if it raises."""
 
@@ -309,24 +371,39 @@ class EventStore:
             return tx.append(stream_id, expected_version, events, outbox_topics)
         return self.with_transaction(lambda t: t.append(stream_id, expected_version, events, outbox_topics))
 
-    def append_frame(self, batch: DataFrame, expected: DataFrame | None = None) -> int:
-        """Append many events to many streams in one commit, as plans; returns how many.
+    def append_frame(
+        self, batch: DataFrame, expected: DataFrame | None = None, outbox_topics: Sequence[str] | None = None, encrypted_fields: Mapping[str, Sequence[str]] | None = None
+    ) -> int:
+        """Append many events to many streams in one commit, as plans; returns how many, snapshots not counted.
+
+        ``batch``: stream_id, event_type, data (JSON), input_order, and at will source, extensions (JSON), schema_version,
+        crypto_key_id. ``expected``: (stream_id, expected_version) of streams that must be at a version; the first that is not
+        raises. ``outbox_topics`` and ``encrypted_fields`` (paths by type) hold for all rows. A stream's rows are one append:
+        registered snapshots are stored after its last one as :meth:`append` would store them (their handlers see no position).
 
-        ``batch``: stream_id, event_type, data (JSON), input_order, and at will source, extensions (JSON), schema_version.
-        ``expected``: (stream_id, expected_version) of streams that must be at a version; the first that is not raises.
         Positions follow input_order without a global sort in one task: rows are range-partitioned, and each partition's
         numbers begin after those before it.
         """
-        log = self.log
+        log, fields = self.log, {k: list(v) for k, v in (encrypted_fields or {}).items() if v}
+        if outbox_topics is not None:
+            validation.texts(outbox_topics, "outbox_topics", distinct=True)
+        if fields:
+            self._ring_or_refuse()
         given = set(batch.columns)
         extra = lambda name, default: F.col(name) if name in given else F.lit(default)
+        key_id = F.when(F.col("event_type").isin(list(fields)), extra("crypto_key_id", None).cast("string")) if fields else F.lit(None).cast("string")
         rows = batch.select(
-            "stream_id", "event_type", "data", F.col("input_order").cast("long").alias("input_order"), extra("source", None).cast("string").alias("source"),
-            extra("extensions", None).cast("string").alias("extensions"), extra("schema_version", 1).cast("int").alias("schema_version"),
+            "stream_id", "event_type", F.coalesce("data", F.lit("null")).alias("data"), F.col("input_order").cast("long").alias("input_order"),
+            F.coalesce(extra("source", None).cast("string"), F.lit(self.default_source)).alias("source"), extra("extensions", None).cast("string").alias("extensions"),
+            F.coalesce(extra("schema_version", 1).cast("int"), F.lit(1)).alias("schema_version"), key_id.alias("crypto_key_id"),
         )
-        bad = rows.where(F.col("event_type").isNull() | (F.col("event_type") == "") | F.col("event_type").endswith(validation.SNAPSHOT_SUFFIX) | F.col("stream_id").isNull() | (F.col("stream_id") == ""))
-        if hit := bad.select("event_type").first():
-            raise errors.ReservedSnapshotEventTypeError(hit.event_type) if hit.event_type and validation.is_snapshot_type(hit.event_type) else errors.InvalidArgumentError("batch", "needs stream_id and event_type in each row")
+        keyless = F.col("event_type").isin(list(fields)) & (F.coalesce("crypto_key_id", F.lit("")) == "") if fields else F.lit(False)
+        unnamed = F.col("event_type").isNull() | (F.col("event_type") == "") | F.col("stream_id").isNull() | (F.col("stream_id") == "")
+        bad = rows.select("event_type", keyless.alias("keyless")).where(unnamed | F.col("event_type").endswith(validation.SNAPSHOT_SUFFIX) | F.col("keyless"))
+        if hit := bad.first():
+            if hit.event_type and validation.is_snapshot_type(hit.event_type):
+                raise errors.ReservedSnapshotEventTypeError(hit.event_type)
+            raise errors.CryptoKeyIdRequiredError if hit.keyless else errors.InvalidArgumentError("batch", "needs stream_id and event_type in each row")
 
         def build(state: Snapshot) -> tuple[Mapping[str, Any], int]:
             heads = self._heads_of(rows.select("stream_id"), state)
@@ -335,30 +412,87 @@ class EventStore:
                 lost = appends.checked(expected, asked).where("conflict").orderBy("stream_id").first()
                 if lost:
                     raise errors.OptimisticConcurrencyError(lost.stream_id, lost.expected_version, lost.actual_version)
-            numbered = appends.numbered(rows, heads).repartitionByRange("input_order").sortWithinPartitions("input_order", "stream_id", "stream_version")
+            numbered = appends.numbered(rows, heads).drop("from_version").withColumns({"id": F.concat("stream_id", F.lit("/"), "stream_version"), "snapshot": F.lit(0)})
+            if fields:
+                self._used_keys(numbered, fields)
+            numbered, snapshot_fields = self._with_snapshots(numbered, state)
+            whole, key_folders = self._encrypted(numbered, fields | snapshot_fields, state)
+            whole = whole.repartitionByRange("input_order").sortWithinPartitions("input_order", "stream_id", "stream_version")
             path = log.files.at(f"events/draft-{threading.get_ident()}-{time.time_ns()}")
-            numbered.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")).write.parquet(path)
+            whole.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")).write.parquet(path)
             draft = self.spark.read.parquet(path)
-            sizes = draft.groupBy("p").agg(F.count("*").alias("n"))
-            starts = sizes.selectExpr("p", f"sum(n) OVER (ORDER BY p) - n + {state.last_position} AS begin")
+            sizes = draft.groupBy("p").agg(F.count("*").alias("n"), F.count_if(F.col("snapshot") == 0).alias("m"))
+            starts = sizes.selectExpr("p", f"sum(n) OVER (ORDER BY p) - n + {state.last_position} AS begin", "sum(m) OVER (ORDER BY p) - m AS before")
             placed = draft.join(F.broadcast(starts), "p").withColumn("global_position", F.col("begin") + F.col("k") + 1)
-            now, extensions = F.current_timestamp(), F.coalesce("extensions", F.lit("{}"))
-            merged = F.map_concat(F.map_filter(F.from_json(extensions, "map<string,string>"), lambda k, v: k != "schemaversion"), F.create_map(F.lit("schemaversion"), F.col("schema_version").cast("string")))
-            whole = placed.select(
-                "global_position", "stream_id", "stream_version", F.concat("stream_id", F.lit("/"), "stream_version").alias("id"),
-                F.coalesce("source", F.lit(self.default_source)).alias("source"), F.lit(schema.SPECVERSION).alias("specversion"), "event_type",
-                F.col("stream_id").alias("subject"), now.alias("time"), F.lit(schema.CONTENT_TYPE).alias("datacontenttype"),
-                F.coalesce("data", F.lit("null")).alias("data"), F.to_json(merged).alias("extensions"), F.lit(None).cast(schema.ENCRYPTED).alias("encrypted_data"),
-                F.lit(None).cast("string").alias("crypto_key_id"), "schema_version", now.alias("created_at"), F.lit(state.commit_id + 1).alias("txid"),
+            now = F.lit(_now())
+            version = F.parse_json(F.col("schema_version").cast("string"))
+            kept = F.coalesce(F.from_json("extensions", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+            merged = F.map_concat(F.map_filter(kept, lambda k, v: k != "schemaversion"), F.create_map(F.lit("schemaversion"), version))
+            whole = placed.withColumns(
+                {
+                    "specversion": F.lit(schema.SPECVERSION), "subject": F.col("stream_id"), "time": now, "datacontenttype": F.lit(schema.CONTENT_TYPE),
+                    "extensions": F.to_json(merged), "created_at": now, "txid": F.lit(state.commit_id + 1),
+                }
             )
-            folder, n = log.stage("events", whole), draft.count()
-            ends = log.stage("heads", draft.groupBy("stream_id").agg(F.max("stream_version").alias("version")))
+            total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+            folder = log.stage("events", whole)
+            folders = {"events": [folder], "heads": [log.stage("heads", draft.groupBy("stream_id").agg(F.max("stream_version").alias("version")))]}
+            if outbox_topics and total.m:
+                order = F.expr("row_number() OVER (PARTITION BY p ORDER BY k)") + F.col("before") - 1
+                mine = whole.where("snapshot = 0").select("global_position", "created_at", order.alias("nth"), outbox.payload().alias("payload"))
+                sent = outbox.fan_out(mine, list(outbox_topics))
+                entry = F.col("nth") * len(outbox_topics) + F.col("k") + state.last_outbox + 1
+                folders["outbox"] = [log.stage("outbox", sent.select(entry.alias("id"), "event_global_pos", "topic", "payload", "created_at"))]
             log.files.delete(path.removeprefix(f"{log.files.root}/"))
-            reach = {folder: [state.last_position + 1, state.last_position + n]}
-            return {"folders": {"events": [folder], "heads": [ends]}, "ranges": reach, "streams": None, "last_position": state.last_position + n}, n
+            body = {"folders": folders, "ranges": {folder: [state.last_position + 1, state.last_position + total.n]}, "streams": None, "last_position": state.last_position + total.n}
+            if key_folders:
+                folders["keys"], body["replaced"] = key_folders[0], {"keys": key_folders[1]}
+            return body | {"last_outbox": state.last_outbox + total.m * len(outbox_topics or ())}, total.m
 
         return log.commit(build)
 
+    def _with_snapshots(self, numbered: DataFrame, state: Snapshot) -> tuple[DataFrame, dict[str, list[str]]]:
+        """``numbered`` with the snapshots that fall due after each stream's last row, and what of them is encrypted."""
+        found, fields = None, {}
+        for n, handle in enumerate(self.snapshots, 1):
+            if handle.every > 0:
+                due = handle.due(self, numbered, state).withColumn("snapshot", F.lit(n))
+                found = due if found is None else found.unionByName(due)
+                if handle.crypto_key_id and handle.encrypted_fields:
+                    fields[handle.snapshot_event_type] = list(handle.encrypted_fields)
+        if found is None:
+            return numbered, {}
+        later = F.expr("CAST(stream_version + row_number() OVER (PARTITION BY stream_id ORDER BY snapshot) AS int)")
+        stored = found.withColumn("stream_version", later).withColumns(
+            {"source": F.lit(self.default_source), "extensions": F.lit(None).cast("string"), "schema_version": F.lit(1), "id": F.concat("stream_id", F.lit("/"), "stream_version")}
+        )
+        return numbered.unionByName(stored.select(*numbered.columns)), fields
+
+    def _used_keys(self, rows: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFrame:
+        """(key_id) of all keys that encrypting ``rows`` uses; the first that is missing or revoked raises."""
+        used = rows.where(F.col("event_type").isin(list(fields))).select(F.col("crypto_key_id").alias("key_id")).distinct()
+        dead = self.log.table("keys").select("key_id", F.col("revoked_at").isNotNull().alias("dead"))
+        if lost := used.join(dead, "key_id", "left").where("dead IS NULL OR dead").orderBy("key_id").first():
+            raise (errors.CryptoKeyRevokedError if lost.dead else errors.CryptoKeyNotFoundError)(lost.key_id)
+        return used
+
+    def _encrypted(self, rows: DataFrame, fields: Mapping[str, Sequence[str]], state: Snapshot) -> tuple[DataFrame, tuple[list[str], list[str]] | None]:
+        """``rows`` with their fields encrypted, and (new, replaced) folders of keys if some had to be wrapped anew."""
+        if not fields:
+            return rows.withColumn("encrypted_data", F.lit(None).cast(schema.ENCRYPTED)), None
+        ring, log, stored, used = self._ring_or_refuse(), self.log, self.log.table("keys"), self._used_keys(rows, fields)
+        keys = ring.opened(stored.join(used, "key_id", "left_semi"))
+        stale = keys.where(F.col("version") < ring.given.current)
+        folders = None
+        if state.folders["keys"] and stale.first():
+            at = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), _KEY_FOLDER.pattern, 0)
+            old = sorted(r.f for r in stored.select("key_id", at.alias("f")).join(stale, "key_id", "left_semi").select("f").distinct().collect())
+            held = self.spark.read.schema(schema.CRYPTO_KEYS).parquet(*map(log.files.at, old))
+            created = held.select("key_id", "created_at")
+            anew = ring.wrapped(stale.join(created, "key_id"))
+            folders = [log.stage("keys", held.join(stale, "key_id", "left_anti").unionByName(anew.select(*held.columns)))], old
+        return crypto.encrypt(rows, fields, keys, ring.given.current), folders
+
     def create_crypto_key(self, key_id: str) -> None:
         """A new entity key; nothing if the id exists, revoked or not."""
         self.log  # noqa: B018
@@ -366,48 +500,63 @@ class EventStore:
         ring = self._ring_or_refuse()
 
         def work(tx: Transaction) -> None:
-            if key_id not in tx.key_rows():
-                tx.keys[key_id] = ring.new_row(key_id)
+            if tx.key_rows([key_id])[key_id] is None:
+                tx.keys |= ring.new_rows([key_id])
 
         self.with_transaction(work)
 
+    def create_crypto_keys(self, key_ids: DataFrame) -> int:
+        """New entity keys for those of ``key_ids`` (key_id) that have none, in one commit, as plans; returns how many."""
+        ring, log = self._ring_or_refuse(), self.log
+
+        def build(state: Snapshot) -> tuple[Mapping[str, Any], int] | None:
+            new = key_ids.select("key_id").where("key_id <> ''").distinct().join(log.table("keys", state), "key_id", "left_anti")
+            # Random numbers of a plan are drawn with a seed; keys come from the system's own source, batch by batch.
+            drawn = new.mapInArrow(_drawn_keys, "key_id string, key binary")
+            folder = log.stage("keys", ring.wrapped(drawn.withColumn("created_at", F.current_timestamp())))
+            n = self.spark.read.parquet(log.files.at(folder)).count()
+            if not n:
+                log.files.delete(folder)
+                return None
+            return {"folders": {"keys": [folder]}}, n
+
+        return log.commit(build) or 0
+
     def revoke_crypto_key(self, key_id: str) -> None:
-        """Forget the key: what it encrypted can be read no more. Again is the same; an unknown id is an error."""
-        self.log  # noqa: B018
-        ring = self._ring_or_refuse()
+        """Forget the key: what it encrypted can be read no more. Again is the same; an unknown id is an error.
+
+        The files that held its wrapped material are deleted, those that no manifest names too.
+        """
+        ring, log = self._ring_or_refuse(), self.log
 
         def work(tx: Transaction) -> None:
-            row = tx.key_rows().get(key_id)
+            row = tx.key_rows([key_id])[key_id]
             if row is None:
                 raise errors.CryptoKeyNotFoundError(key_id)
             if row["revoked_at"] is None or row["encrypted_key"] is not None:
                 tx.keys[key_id] = ring.revoked_row(row)
 
         self.with_transaction(work)
+        log.shred()
 
     def register_upcaster(self, *upcasters: Upcaster) -> None:
         self._upcasters.register(*upcasters)
 
     # Reads.
 
-    def _replayed(self, rows: Sequence[Row], keys: Mapping[str, Any]) -> list[Event]:
-        """Decrypt, leave tombstones, upcast; each key is opened once a call."""
-        opened: dict[str, bytes | None] = {}
-        out = []
-        for r in rows:
-            data, dead = json.loads(r.data) if r.data is not None else None, False
-            if r.encrypted_data is not None and r.crypto_key_id:
-                if r.crypto_key_id not in opened:
-                    opened[r.crypto_key_id] = self._ring.for_reading(keys, r.crypto_key_id) if self._ring else None
-                key = opened[r.crypto_key_id]
-                dead = key is None
-                if key is not None:
-                    entries = {k: v if isinstance(v, Mapping) else v.asDict() for k, v in r.encrypted_data.items()}
-                    data = self._ring.decrypt_fields(data, entries, key, r.id, r.crypto_key_id)
-            if not dead:
-                data = self._upcasters.value(r.event_type, r.schema_version, data)
-            out.append(_event(r, None if dead else data, dead))
-        return out
+    def _replayed(self, rows: Sequence[Row], keys: Callable[[Iterable[str]], Mapping[str, Any]]) -> list[Event]:
+        """Decrypt, leave tombstones, upcast: one plan for all keys, one for all fields."""
+        data = [json.loads(r.data) if r.data is not None else None for r in rows]
+        sealed = [k for k, r in enumerate(rows) if r.encrypted_data is not None and r.crypto_key_id]
+        opened = self._ring.for_reading(keys(rows[k].crypto_key_id for k in sealed)) if self._ring and sealed else {}
+        dead = {k for k in sealed if opened.get(rows[k].crypto_key_id) is None}
+        live = [k for k in sealed if k not in dead]
+        if live:
+            boxes = lambda r: {p: v if isinstance(v, Mapping) else v.asDict() for p, v in r.encrypted_data.items()}
+            whole = self._ring.decrypt_fields([(data[k], boxes(rows[k]), opened[rows[k].crypto_key_id], rows[k].id, rows[k].crypto_key_id) for k in live])
+            for k, d in zip(live, whole):
+                data[k] = d
+        return [_event(r, None if k in dead else self._upcasters.value(r.event_type, r.schema_version, data[k]), k in dead) for k, r in enumerate(rows)]
 
     def load(self, stream_id: str, max_events: int | None = None) -> list[Event]:
         return self.load_from(stream_id, 1, max_events)
@@ -426,12 +575,13 @@ class EventStore:
 
     def list_streams(self, prefix: str = "", limit: int = 100) -> list[str]:
         validation.positive(limit, "limit")
-        return [r.stream_id for r in reads.streams(self._log(), prefix, limit).collect()]
+        state = self.log.refresh()
+        return [r.stream_id for r in reads.streams(self._heads_table(state), prefix, limit).collect()]
 
     def read_events_page(self, stream_ids: Sequence[str], limit: int, cursor: str | None = None, order: str = "asc") -> EventsPage:
         state = self.log.refresh()
         page = paging.read_page(self._log(state).select(*schema.REPLAY_COLUMNS, "txid"), stream_ids, limit, cursor, order, state.commit_id)
-        return EventsPage(self._replayed(page.events, state.keys), page.has_next_page, page.next_cursor)
+        return EventsPage(self._replayed(page.events, self._key_rows_of), page.has_next_page, page.next_cursor)
 
     # Consumers.
 
@@ -446,7 +596,7 @@ class EventStore:
             at = tx.state.checkpoints.get(projection.projection_name, 0)
             if tx.state.last_position <= at:
                 return 0
-            rows = reads.after_position(self._log(tx.state), at, tx.state.last_position, limit=batch_size).select(*schema.EVENT_COLUMNS).collect()
+            rows = reads.after_position(self._log(tx.state, at), at, tx.state.last_position, limit=batch_size).select(*schema.EVENT_COLUMNS).collect()
             for r in rows:
                 projection.handle(_event(r, json.loads(r.data), False), tx)
             if rows:
@@ -467,9 +617,9 @@ class EventStore:
             wanted, at, stop = filters.subscription(subject, recursive, event_types), filters.start_position(lower_bound), signal or threading.Event()
             while not stop.is_set():
                 state = log.refresh()
-                end, rows = state.last_position, []
+                state_id, end, rows = state.commit_id, state.last_position, []
                 if end > at:
-                    rows = reads.after_position(self._log(state), at, end, wanted, batch_size).select(*schema.EVENT_COLUMNS).collect()
+                    rows = reads.after_position(self._log(state, at), at, end, wanted, batch_size).select(*schema.EVENT_COLUMNS).collect()
                     for r in rows:
                         if stop.is_set():
                             return
@@ -479,7 +629,7 @@ class EventStore:
                     at = max(at, end)
                     if not live:
                         return
-                    stop.wait(poll_interval_ms / 1000)
+                    log.wait(state_id, poll_interval_ms / 1000, stop)
 
         return stream()
 
@@ -553,6 +703,11 @@ class EventStore:
         return log.commit(build) or 0
 
 
+def _drawn_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([secrets.token_bytes(schema.KEY) for _ in range(b.num_rows)], pa.binary())], ["key_id", "key"])
+
+
 def _event(r: Row, data: Any, dead: bool) -> Event:
     own = {n: getattr(r, n) for n in _OWN}
     return Event(**own, type=r.event_type, time=_iso(r.time), data=data, extensions=json.loads(r.extensions or "{}"), tombstoned=dead)
@@ -666,6 +821,42 @@ class SnapshotHandle:
                 state, replayed = change(state, e), replayed + 1
         return SnapshotLoad(state, stream, version, base, replayed)
 
+    def due(self, store: EventStore, rows: DataFrame, state: Snapshot) -> DataFrame:
+        """What falls due in a bulk append: (stream_id, event_type, data, crypto_key_id, stream_version and input_order of the
+        stream's last row). ``rows``: the append's, with versions. One stream's events since its last snapshot are folded at a time.
+        """
+        handled = F.col("event_type").isin(list(self.evolve))
+        mine = rows.where(filters.in_prefix(self.stream_prefix))
+        touched = mine.where(handled).select("stream_id").distinct()
+        log = crypto.replayed(store._log(state).join(touched, "stream_id", "left_semi"), store.keys())
+        found = snapshots.bases(log, self.snapshot_name, F.col("data"), F.col("tombstoned"))
+        names = ["stream_id", "stream_version", "event_type", "data", "schema_version", "id", "source", "extensions", "tombstoned", "global_position", "time", "created_at"]
+        stored = log.join(found, "stream_id", "left").where("base_version IS NULL OR stream_version > base_version").select(*names)
+        none = {"global_position": F.lit(None).cast("long"), "tombstoned": F.lit(False), "time": F.current_timestamp(), "created_at": F.current_timestamp()}
+        both = stored.unionByName(mine.withColumns(none).join(touched, "stream_id", "left_semi").select(*names)).where(handled)
+        both = both.join(found.select("stream_id", "base"), "stream_id", "left")
+        evolve, every, initial, upcasters, key_id, prefix = self.evolve, self.every, self.initial_state, store._upcasters, self.crypto_key_id, len(self.stream_prefix) + 1
+
+        def fold(table: pa.Table) -> pa.Table:
+            events = sorted(table.to_pylist(), key=lambda r: r["stream_version"])
+            stream = events[0]["stream_id"]
+            value, base = copy.deepcopy(initial), events[0]["base"]
+            if base is not None:
+                value = json.loads(base)
+            for r in events:
+                data = None if r["tombstoned"] else upcasters.value(r["event_type"], r["schema_version"], json.loads(r["data"]))
+                own = {k: r[k] for k in ("id", "source", "global_position", "stream_id", "stream_version", "created_at")}
+                envelope = {"specversion": schema.SPECVERSION, "subject": stream, "datacontenttype": schema.CONTENT_TYPE, "time": _iso(r["time"])}
+                value = evolve[r["event_type"]](value, Event(**own, **envelope, type=r["event_type"], data=data, extensions=json.loads(r["extensions"] or "{}"), tombstoned=r["tombstoned"]))
+            n = int(len(events) >= every)
+            key = key_id(stream[prefix:]) if key_id else None
+            cols = [pa.array([stream] * n, pa.string()), pa.array([json.dumps(value, separators=(",", ":"))] * n, pa.string()), pa.array([key] * n, pa.string())]
+            return pa.Table.from_arrays(cols, ["stream_id", "data", "crypto_key_id"])
+
+        made = both.groupBy("stream_id").applyInArrow(fold, "stream_id string, data string, crypto_key_id string")
+        last = mine.groupBy("stream_id").agg(F.max("stream_version").alias("stream_version"), F.max_by("input_order", "stream_version").alias("input_order"))
+        return made.join(last, "stream_id").withColumn("event_type", F.lit(self.snapshot_event_type))
+
     def update_after_append(self, tx: Transaction, stream_id: str) -> None:
         if self.every <= 0:
             return
