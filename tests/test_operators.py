@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -14,6 +15,7 @@ from weftlog.functions import codecs, errors, filters, validation
 from weftlog.operators import appends, folds, metrics, paging, reads, snapshots, upcasts, verify, watermarks
 from weftlog.sources import schema
 
+JSON = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab", max_size=3), lambda x: st.dictionaries(st.sampled_from("abc"), x, max_size=3) | st.lists(x, max_size=3), max_leaves=8)
 COLUMNS = "global_position long, stream_id string, stream_version int, id string, event_type string, value double, txid long"
 
 
@@ -147,10 +149,56 @@ def test_verification(spark):
 
 def test_percentile_rules_differ(spark):
     df = spark.createDataFrame([(float(k),) for k in range(1, 11)], "v double")
-    assert df.agg(*metrics.nearest_rank("v", [50, 95])).first().asDict() == {"p50": 5.0, "p95": 10.0}
+    assert metrics.nearest_rank(df, [], "v", [50, 95]).first().asDict() == {"n": 10, "p50": 5.0, "p95": 10.0}
     assert metrics.floor_index(df, [], "v", {"p50": 0.5, "p95": 0.95}).first().asDict() == {"n": 10, "p50": 5.0, "p95": 9.0}
 
 
+@pytest.mark.parametrize("sketch", [20, 10_000])
+def test_percentiles_by_brackets_are_exact(spark, monkeypatch, sketch):
+    """Skewed, tied, negative and null values, in keys of a few and of many, null among them."""
+    monkeypatch.setattr(metrics, "SKETCH", sketch)
+    rng = random.Random(sketch)
+    rows = [(k, rng.choice([rng.randint(-3, 3), rng.expovariate(0.1), None, 7.0])) for k in ("a", "b", None) for _ in range({"a": 1500, "b": 17, None: 300}[k])] + [("c", 1.0), ("d", None)]
+    rows = [(k, None if v is None else float(v)) for k, v in rows]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    fractions = {"f0": 0.0, "f1": 0.1, "f5": 0.5, "f95": 0.95, "f99": 0.99, "f100": 1.0}
+    got = {r.k: r for r in metrics.floor_index(df, ["k"], "v", fractions).collect()}
+    near = {r.k: r for r in metrics.nearest_rank(df, ["k"], "v", [1, 50, 99, 100]).collect()}
+    assert set(got) == set(near) == {"a", "b", "c", None}
+    for k in got:
+        v = sorted(x for kk, x in rows if kk == k and x is not None)
+        assert got[k].n == len(v) and [got[k][f] for f in fractions] == [v[math.floor((len(v) - 1) * f)] for f in fractions.values()]
+        assert [near[k][f"p{p}"] for p in (1, 50, 99, 100)] == [v[max(0, math.ceil(p * len(v) / 100) - 1)] for p in (1, 50, 99, 100)]
+
+
+def test_tops_and_carried_snapshots(spark):
+    log = spark.createDataFrame([("A", v, "XSnapshot" if v % 3 == 0 else "n", float(v)) for v in range(1, 9)] + [("B", 1, "n", 1.0)], "stream_id string, stream_version int, event_type string, value double")
+    top = lambda **how: sorted((r.stream_id, r.stream_version) for r in reads.top_of_streams(log, 2, **how).collect())
+    assert top() == [("A", 7), ("A", 8), ("B", 1)] and top(descending=False, after=3) == [("A", 4), ("A", 5)]
+    assert "WindowGroupLimit" in reads.top_of_streams(log, 2)._jdf.queryExecution().executedPlan().toString()
+    got = {(r.stream_id, r.stream_version): (r.snapshot_version, r.snapshot) for r in snapshots.carried(log, "X", F.col("value")).collect()}
+    assert got == {("A", v): (v // 3 * 3, float(v // 3 * 3)) if v >= 3 else (None, None) for v in range(1, 9)} | {("B", 1): (None, None)}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(JSON, st.lists(st.sampled_from(["a", "b", "0", "1"]), min_size=1, max_size=3), JSON), min_size=1, max_size=20))
+def test_json_columns_equal_values(spark, cases):
+    """Paths of JSON text by columns against the same by values."""
+    rows = [(k, json.dumps(d), ".".join(p), json.dumps(v)) for k, (d, p, v) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "k int, j string, p string, v string")
+    for r in df.withColumn("g", codecs.json_get(F.col("j"), F.col("p"))).collect():
+        there, value = codecs.get_path(json.loads(r.j), r.p)
+        assert (r.g is not None) == there and (not there or json.loads(r.g) == value)
+    k, j, p, v = rows[0]
+    one = df.where(F.col("k") == 0)
+    assert json.loads(one.select(codecs.json_delete(F.col("j"), p)).first()[0]) == codecs.delete_path(json.loads(j), p)
+    try:
+        want = codecs.set_path(json.loads(j), p, json.loads(v))
+    except ValueError:
+        return
+    assert all(json.loads(one.select(codecs.json_set(F.col("j"), path, F.col("v"))).first()[0]) == want for path in (p, F.col("p")))
+
+
 def test_ring_and_reservoir(spark):
     df = spark.range(50).selectExpr("id AS seq", "id * 2 AS v")
     assert sorted(r.seq for r in metrics.ring_sample(df, "seq", 7).collect()) == list(range(43, 50))
@@ -190,7 +238,6 @@ def test_encrypted_paths():
             validation.encrypted_paths(bad)
 
 
-JSON = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab", max_size=3), lambda x: st.dictionaries(st.sampled_from("abc"), x, max_size=3) | st.lists(x, max_size=3), max_leaves=8)
 
 
 @settings(max_examples=150, deadline=None)

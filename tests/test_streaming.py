@@ -37,6 +37,23 @@ def test_read_model_counts_every_event_once_across_restarts_and_compaction(spark
     assert run() == {"0": (2, 5), "1": (14, 9)}
 
 
+def test_parts_of_a_read_model_are_merged(spark, tmp_path):
+    path, merge = str(tmp_path / "m"), [F.sum("n").alias("n"), F.max("top").alias("top")]
+    part = lambda k: spark.createDataFrame([("a", k, k), (f"b{k % 2}", 1, k)], "key string, n long, top long")
+    model = lambda: {r.key: (r.n, r.top) for r in projections.read_model(spark, path, ["key"], merge).collect()}
+    for k in range(6):
+        part(k).write.parquet(f"{path}/batch={k}")
+    want = model()
+    assert want == {"a": (15, 5), "b0": (3, 4), "b1": (3, 5)}
+    projections.merge_parts(spark, path, ["key"], merge, 3)
+    projections.merge_parts(spark, path, ["key"], merge, 3)
+    assert model() == want and sorted(p.name for p in (tmp_path / "m").iterdir()) == ["batch=4", "batch=5", "merged=3"]
+    part(2).write.parquet(f"{path}/batch=2")  # a leftover of a batch that is merged already
+    assert model() == want
+    projections.merge_parts(spark, path, ["key"], merge, 5)
+    assert model() == want and [p.name for p in (tmp_path / "m").iterdir()] == ["merged=5"]
+
+
 def test_snapshots_fall_due_by_counter(spark, tmp_path):
     store = filled(spark, tmp_path / "s")
     root = str(tmp_path / "s" / "eventstore")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +16,51 @@ RING = 2000
 RESERVOIR = 10_000
 ROUNDS = ((0x9E3779B1, 16), (0x85EBCA6B, 13))
 SUSTAINED = 0.95
+#: Accuracy of the sketches that bracket a percentile: ranks are off by the SKETCH-th part of all at most.
+SKETCH = 10_000
 
 
-def nearest_rank(value: str, percents: Sequence[int]) -> list[Column]:
-    """p50, p95 ...: the value of rank ceil(p/100 * n), exactly."""
-    return [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p}") for p in percents]
+def nearest_rank(rows: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
+    """(*keys, n, p50, p95 ...): the value of rank ceil(p/100 * n) of the sorted values, exactly; nulls are no values."""
+    return _ranked(rows, keys, value, {f"p{p}": (p / 100, lambda n, p=p: F.greatest(F.ceil(n * F.lit(p) / 100) - 1, F.lit(0))) for p in percents})
 
 
 def floor_index(rows: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]) -> DataFrame:
-    """(*keys, n, *fractions): the value at index floor((n - 1) * f) of the sorted values.
+    """(*keys, n, *fractions): the value at index floor((n - 1) * f) of the sorted values, exactly; nulls are no values."""
+    return _ranked(rows, keys, value, {k: (f, lambda n, f=f: F.floor((n - 1) * f)) for k, f in fractions.items()})
 
-    Values are ranked by a window, keys apart, so that no group is gathered in one row.
+
+def _ranked(rows: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """Values at wanted indexes of each key's sorted values, whatever their number: ``wanted`` is (about which fraction, index of n).
+
+    Sketches with a known error bracket each fraction in one map-side combined pass. What lies below a bracket is only counted;
+    what lies in it is counted by distinct value, and running sums over these few find the index. So no task sorts a key's
+    values. Keys with few values have no bracket and are ranked whole.
     """
-    by = f"PARTITION BY {', '.join(keys)}" if keys else ""
-    ranked = rows.selectExpr(*keys, f"{value} AS _v", f"row_number() OVER ({by} ORDER BY {value}) - 1 AS _i", f"count(*) OVER ({by}) AS n")
-    picks = [F.max(F.when(F.col("_i") == F.floor((F.col("n") - 1) * f), F.col("_v"))).alias(k) for k, f in fractions.items()]
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    value_of = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    fine, slack = SKETCH, 4 / SKETCH
+    near = [(name, F.percentile_approx("_v", [max(0.0, f - slack), min(1.0, f + slack)], fine)) for name, (f, _) in wanted.items()]
+    about = value_of.groupBy(*keys).agg(F.count("*").alias("n"), *(c.alias(f"_{k}") for k, (_, c) in enumerate(near)))
+    many = F.col("n") > 2 * SKETCH
+    brackets = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("name"), index(F.col("n")).cast("long").alias("at"),
+                F.when(many & F.lit(f > slack), F.col(f"_{k}")[0]).alias("low"), F.when(many & F.lit(f < 1 - slack), F.col(f"_{k}")[1]).alias("high"),
+            )
+            for k, (name, (f, index)) in enumerate(wanted.items())
+        )
+    )
+    asked = about.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)), "n", brackets.alias("_b"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)), F.lit(True))
+    met = value_of.join(F.broadcast(asked) if not keys else asked, same).select(*keys, "n", "_v", F.explode("_b").alias("b"))
+    under = F.coalesce(F.col("_v") < F.col("b.low"), F.lit(False))
+    inside = ~under & F.coalesce(F.col("_v") <= F.col("b.high"), F.lit(True))
+    counted = met.where(under | inside).groupBy(*keys, "n", "b.name", "b.at", F.when(inside, F.col("_v")).alias("_v")).agg(F.count("*").alias("c"))
+    by = ", ".join([*keys, "n", "name", "at"])
+    upto = counted.selectExpr(*keys, "n", "name", "at", "_v", f"sum(c) OVER (PARTITION BY {by} ORDER BY _v NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto")
+    picks = [F.min(F.when((F.col("name") == name) & (F.col("upto") > F.col("at")), F.col("_v"))).alias(name) for name in wanted]
+    return upto.groupBy(*keys, "n").agg(*picks)
 
 
 def ring_sample(rows: DataFrame, sequence: str, size: int = RING) -> DataFrame:

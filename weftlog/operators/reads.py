@@ -32,6 +32,14 @@ def latest_of_type(log: DataFrame, event_type: str | None = None, stream_id: str
     return best.select(*keys, "_row.*").select(*log.columns)
 
 
+def top_of_streams(log: DataFrame, limit: int, descending: bool = True, after: int | None = None) -> DataFrame:
+    """Each stream's ``limit`` newest rows (or oldest), after a version if one is given: tasks cut their own rows before the
+    shuffle (a limit of the rank)."""
+    rows = log if after is None else log.where(F.col("stream_version") > after)
+    order = "stream_version DESC" if descending else "stream_version"
+    return rows.selectExpr("*", f"row_number() OVER (PARTITION BY stream_id ORDER BY {order}) AS _r").where(F.col("_r") <= limit).drop("_r")
+
+
 def heads(log: DataFrame) -> DataFrame:
     """(stream_id, version, events) of every stream."""
     return log.groupBy("stream_id").agg(F.max("stream_version").alias("version"), F.count("*").alias("events"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftlog.functions.validation import SNAPSHOT_SUFFIX
 
@@ -60,20 +62,33 @@ def batched_appends(appends: DataFrame, every: int) -> DataFrame:
     """``appends`` (stream_id, n, events, handled: one row for each append, n from 1) with first_version and snapshot_at.
 
     The counter of handled events starts anew after each snapshot, so that an append's outcome depends on all before it:
-    a fold over a stream's appends, in the JVM. snapshot_at is null where none is stored.
+    one pass over each partition's rows in order, which holds one batch. snapshot_at is null where none is stored.
     """
-    gathered = appends.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("n", "events", "handled"))).alias("a"))
-    row = "struct<n:bigint,first_version:bigint,snapshot_at:bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("head"), F.lit(0).cast("long").alias("seen"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(s: Column, a: Column) -> Column:
-        seen, head = s["seen"] + a["handled"], s["head"] + a["events"]
-        stores = (a["handled"] > 0) & (seen >= every) & F.lit(every > 0)
-        new = F.struct(a["n"].cast("long").alias("n"), (s["head"] + 1).alias("first_version"), F.when(stores, head + 1).alias("snapshot_at"))
-        return F.struct(
-            (head + stores.cast("long")).alias("head"), F.when(stores, F.lit(0).cast("long")).otherwise(seen).alias("seen"),
-            F.concat(s["out"], F.array(new)).alias("out"),
-        )
-
-    folded = gathered.select("stream_id", F.explode(F.aggregate("a", start, step)["out"]).alias("r"))
-    return appends.join(folded.select("stream_id", "r.*"), ["stream_id", "n"])
+    schema = T.StructType([*appends.schema.fields, T.StructField("first_version", T.LongType()), T.StructField("snapshot_at", T.LongType())])
+    names = appends.columns
+    at = [names.index(c) for c in ("stream_id", "events", "handled")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, head, seen = None, 0, 0
+        for b in batches:
+            first, stored = [], []
+            for name, events, handled in zip(*(b.column(k).to_pylist() for k in at)):
+                if name != stream:
+                    stream, head, seen = name, 0, 0
+                first.append(head + 1)
+                head, seen = head + events, seen + handled
+                due = handled > 0 and every > 0 and seen >= every
+                if due:
+                    head, seen = head + 1, 0
+                stored.append(head if due else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int64()), pa.array(stored, pa.int64())], schema.names)
+
+    return appends.repartition("stream_id").sortWithinPartitions("stream_id", "n").mapInArrow(run, schema)
+
+
+def carried(log: DataFrame, name: str, state: Column) -> DataFrame:
+    """``log`` with snapshot_version and snapshot of each row's stream: the newest snapshot ``name`` up to the row; null before any."""
+    own = F.col("event_type") == f"{name}{SNAPSHOT_SUFFIX}"
+    rows = log.withColumn("_s", F.when(own, F.struct(F.col("stream_version").alias("v"), state.alias("s"))))
+    last = F.expr("last_value(_s) IGNORE NULLS OVER (PARTITION BY stream_id ORDER BY stream_version ROWS UNBOUNDED PRECEDING)")
+    return rows.withColumn("_l", last).withColumns({"snapshot_version": F.col("_l.v"), "snapshot": F.col("_l.s")}).drop("_s", "_l")

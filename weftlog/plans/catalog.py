@@ -674,7 +674,7 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return log.groupBy("event_type").agg(F.count("*").alias("n"), *metrics.nearest_rank("value", [50, 95, 99]))
+    return metrics.nearest_rank(log, ["event_type"], "value", [50, 95, 99])
 
 
 _FLOOR = """SELECT event_type, max(n) AS n, max(v) FILTER (i = floor((n - 1) * 0.5)) AS p50, max(v) FILTER (i = floor((n - 1) * 0.95)) AS p95, max(v) FILTER (i = floor((n - 1) * 0.99)) AS p99

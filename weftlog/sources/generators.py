@@ -46,6 +46,14 @@ def retry_delay_ms(operation: Column, retry: Column) -> Column:
     return F.least(F.lit(50.0), 5 * F.pow(2.0, retry)).cast("long") + (operation * 17 + retry * 13) % 10
 
 
+def paced(phases: DataFrame) -> DataFrame:
+    """(name, operation_index, due_ms): when each request of ``phases`` falls due at its rate, phases one after the other, whatever
+    the answers take (an open loop)."""
+    begin = phases.selectExpr("*", "coalesce(sum(duration_ms) OVER (ORDER BY request_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_ms")
+    each = begin.where("request_count > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("request_count") - 1)))
+    return each.select("name", (F.col("request_offset") + F.col("k")).alias("operation_index"), (F.col("begin_ms") + F.col("k") * 1000 / F.col("target")).alias("due_ms"))
+
+
 def daily_phases(spark: SparkSession, requests: int, seconds: int) -> DataFrame:
     """(name, request_offset, request_count, duration_ms, target): the last phase takes what the others leave."""
     ms, rows, offset, spent = seconds * 1000, [], 0, 0

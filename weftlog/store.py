@@ -28,13 +28,15 @@ from weftlog.operators import appends, crypto, outbox, paging, reads, snapshots
 from weftlog.operators.keyring import KeyRing, Sealer, Secrets
 from weftlog.operators.upcasts import Upcaster, Upcasters
 from weftlog.sources import schema
-from weftlog.sources.commitlog import CommitConflict, CommitLog, Snapshot
+from weftlog.sources.commitlog import TABLES, CommitConflict, CommitLog, Snapshot
 
 BATCH = 500
 OUTBOX_BATCH = 100
 WEEK_MS = 7 * 24 * 3600 * 1000
 LEASE_S = 60.0
-_KEY_FOLDER = re.compile(r"keys/[0-9a-f]{32}(?:/part_of=\d+)?(?=/[^/]+$)")
+#: Entries of the outbox that one claim covers.
+CLAIM = 20
+_FOLDER = re.compile(r"(?:keys|outbox|acks)/[0-9a-f]{32}(?:/part_of=\d+)?(?=/[^/]+$)")
 _OWN = ("id", "source", "specversion", "subject", "datacontenttype", "global_position", "stream_id", "stream_version", "created_at")
 
 
@@ -302,7 +304,7 @@ class EventStore:
 
     def _staged_keys(self, changed: Mapping[str, Mapping[str, Any]], stored: Mapping[str, Mapping[str, Any] | None], state: Snapshot) -> tuple[str, list[str]]:
         """The new folder of changed keys, and the folders that it replaces: those that held one of them before."""
-        old = sorted({_KEY_FOLDER.search(unquote(r["_file"]))[0] for k in changed if (r := stored.get(k))})
+        old = sorted({_FOLDER.search(unquote(r["_file"]))[0] for k in changed if (r := stored.get(k))})
         if not set(old) <= set(state.folders["keys"]):  # another commit rewrote them: this one cannot be published
             old = []
         names = [f.name for f in schema.CRYPTO_KEYS.fields]
@@ -468,6 +470,12 @@ class EventStore:
         )
         return numbered.unionByName(stored.select(*numbered.columns)), fields
 
+    @staticmethod
+    def _folders_with(stored: DataFrame, some: DataFrame, key: str) -> list[str]:
+        """The folders of a table that hold one of ``some`` rows, by key: as many as there are folders at most."""
+        at = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), _FOLDER.pattern, 0)
+        return sorted(r.f for r in stored.select(key, at.alias("f")).join(some, key, "left_semi").select("f").distinct().collect())
+
     def _used_keys(self, rows: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFrame:
         """(key_id) of all keys that encrypting ``rows`` uses; the first that is missing or revoked raises."""
         used = rows.where(F.col("event_type").isin(list(fields))).select(F.col("crypto_key_id").alias("key_id")).distinct()
@@ -485,8 +493,7 @@ class EventStore:
         stale = keys.where(F.col("version") < ring.given.current)
         folders = None
         if state.folders["keys"] and stale.first():
-            at = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), _KEY_FOLDER.pattern, 0)
-            old = sorted(r.f for r in stored.select("key_id", at.alias("f")).join(stale, "key_id", "left_semi").select("f").distinct().collect())
+            old = self._folders_with(stored, stale, "key_id")
             held = self.spark.read.schema(schema.CRYPTO_KEYS).parquet(*map(log.files.at, old))
             created = held.select("key_id", "created_at")
             anew = ring.wrapped(stale.join(created, "key_id"))
@@ -539,6 +546,29 @@ class EventStore:
         self.with_transaction(work)
         log.shred()
 
+    def revoke_crypto_keys(self, key_ids: DataFrame) -> int:
+        """Forget all keys of ``key_ids`` (key_id) in one commit, as plans; returns how many were not revoked yet."""
+        self._ring_or_refuse()
+        log, wanted = self.log, key_ids.select("key_id").distinct()
+
+        def build(state: Snapshot) -> tuple[Mapping[str, Any], int] | None:
+            stored = log.table("keys")
+            if lost := wanted.join(stored, "key_id", "left_anti").orderBy("key_id").first():
+                raise errors.CryptoKeyNotFoundError(lost.key_id)
+            live = stored.where("revoked_at IS NULL OR encrypted_key IS NOT NULL").join(wanted, "key_id", "left_semi").select("key_id")
+            n = live.count() if state.folders["keys"] else 0
+            if not n:
+                return None
+            old = self._folders_with(stored, live, "key_id")
+            held = self.spark.read.schema(schema.CRYPTO_KEYS).parquet(*map(log.files.at, old))
+            gone = held.join(live, "key_id", "left_semi").withColumns({"encrypted_key": F.lit(None).cast("binary"), "revoked_at": F.coalesce("revoked_at", F.lit(_now()))})
+            folder = log.stage("keys", held.join(live, "key_id", "left_anti").unionByName(gone))
+            return {"folders": {"keys": [folder]}, "replaced": {"keys": old}}, n
+
+        done = log.commit(build) or 0
+        log.shred()
+        return done
+
     def register_upcaster(self, *upcasters: Upcaster) -> None:
         self._upcasters.register(*upcasters)
 
@@ -636,16 +666,18 @@ class EventStore:
     def process_outbox(self, handler: Callable[[list[OutboxEntry], Transaction], None], limit: int = OUTBOX_BATCH) -> int:
         """Claim pending entries, hand them over, acknowledge them; returns how many.
 
-        A claim is an exclusive file that other workers respect for a minute, so that batches are disjoint. An error of the
-        handler gives the claims back; entries come at least once.
+        A claim is an exclusive file for a block of entries by id, which other workers respect for a minute, so that batches are
+        disjoint. An error of the handler gives the claims back; entries come at least once.
         """
         validation.positive(limit, "limit")
         log = self.log
         state = log.refresh()
-        rows = outbox.pending(log.table("outbox", state), log.table("acks", state)).orderBy("id").limit(limit + self._claimed()).collect()
-        mine = []
+        taken = CLAIM * len(log.files.names("claims"))
+        rows = outbox.pending(log.table("outbox", state), log.table("acks", state)).orderBy("id").limit(limit + taken).collect()
+        mine, blocks = [], {}
         for r in rows:
-            if len(mine) < limit and self._claim(r.id):
+            block = r.id // CLAIM
+            if len(mine) < limit and (blocks[block] if block in blocks else blocks.setdefault(block, self._claim(block))):
                 mine.append(r)
         try:
             # What another worker acknowledged between the read and the claim is not pending any more.
@@ -666,14 +698,12 @@ class EventStore:
 
             return self.with_transaction(work)
         finally:
-            for r in mine:
-                log.files.delete(f"claims/{r.id}")
-
-    def _claimed(self) -> int:
-        return len(self.log.files.names("claims"))
+            for block, held in blocks.items():
+                if held:
+                    log.files.delete(f"claims/{block}")
 
-    def _claim(self, entry_id: int) -> bool:
-        name = f"claims/{entry_id}"
+    def _claim(self, block: int) -> bool:
+        name = f"claims/{block}"
         for _ in range(2):
             try:
                 self.log.files.create(name, str(time.time()))
@@ -686,19 +716,24 @@ class EventStore:
         return False
 
     def cleanup_outbox(self, older_than_ms: int = WEEK_MS, batch_size: int = 1000) -> int:
-        """Delete entries acknowledged longer ago than an age; returns how many. One rewrite, whatever the batch size."""
+        """Delete entries acknowledged longer ago than an age; returns how many. Folders that hold such entries are rewritten, in
+        one commit whatever the batch size; all others stay."""
         validation.not_negative(older_than_ms, "older_than_ms")
         validation.positive(batch_size, "batch_size")
         log = self.log
 
         def build(state: Snapshot) -> tuple[Mapping[str, Any], int] | None:
-            entries, acks = log.table("outbox", state), log.table("acks", state)
+            acks = log.table("acks", state)
             gone = outbox.expired(acks, F.lit(_now()), older_than_ms).select("id")
-            n = entries.join(gone, "id", "left_semi").count()
+            n = log.table("outbox", state).join(gone, "id", "left_semi").count() if state.folders["acks"] and state.folders["outbox"] else 0
             if not n:
                 return None
-            kept = {"outbox": entries.join(gone, "id", "left_anti"), "acks": acks.join(gone, "id", "left_anti")}
-            return {"folders": {t: [log.stage(t, df)] for t, df in kept.items()}, "replaced": {t: list(state.folders[t]) for t in kept}}, n
+            body: dict[str, dict[str, list[str]]] = {"folders": {}, "replaced": {}}
+            for t in ("outbox", "acks"):
+                old = self._folders_with(log.table(t, state), gone, "id")
+                kept = self.spark.read.schema(TABLES[t]).parquet(*map(log.files.at, old)).join(gone, "id", "left_anti")
+                body["folders"][t], body["replaced"][t] = [log.stage(t, kept)], old
+            return body, n
 
         return log.commit(build) or 0
 
