@@ -1,28 +1,23 @@
 """The registered queries and their SQL twins, by name.
 
-A query is a function of (spark, sf_dir); :func:`query` registers it with the DuckDB SQL that must give the same rows. Logs
-are derived from the plain tables as in :mod:`weftlog.sources.fixtures`; the SQL states the same derivation in ``LOG`` and
+A query is a function of (spark, sf_dir), registered with the DuckDB SQL that must give the same rows. Logs are derived from the plain tables as in :mod:`weftlog.sources.fixtures`; the SQL states the same derivation in ``LOG`` and
 ``ORDER_LOG``. Sums of doubles are rounded to 2 digits in both.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.functions import codecs, filters
 from weftlog.operators import appends, folds, metrics, outbox, paging, reads, snapshots, upcasts, verify, watermarks
+from weftlog.plans.registry import query
 from weftlog.sources import fixtures, generators
 from weftlog.sources.commitlog import scratch_folder
 from weftlog.store import EventStore
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 LOG = """WITH L AS (SELECT CAST(event_id AS BIGINT) + 1 AS global_position, 'User-' || user_id AS stream_id, 'User-' || user_id AS subject,
 CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS stream_version, event_type, value, ts, props, user_id,
 CAST(event_id % 3 + 1 AS INT) AS schema_version, CAST(event_id // 10 AS BIGINT) AS txid,
@@ -35,16 +30,6 @@ PAGE_COLUMNS = ["global_position", "stream_id", "stream_version", "event_type"]
 _PAGE = ", ".join(PAGE_COLUMNS)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _money(c: Column) -> Column:
     return F.round(c, 2)
 
@@ -582,23 +567,6 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("global_position", "event_type", kind.alias("outcome"), F.when(kind != "tombstone", F.col("value")).alias("value"))
 
 
-@query(LOG + "SELECT global_position, stream_id || '/' || global_position AS event_id, 'name-' || user_id AS name, true AS fails_elsewhere FROM L WHERE event_type = 'signup'")
-def crypto_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encrypted and decrypted with the event's own context; with another event's context it fails."""
-    from weftlog.operators import crypto
-
-    log = fixtures.user_log(spark, sf_dir, versions=False).where("event_type = 'signup'")
-    event = F.concat("stream_id", F.lit("/"), F.col("global_position").cast("string"))
-    rows = log.select("global_position", event.alias("event_id"), "crypto_key_id", F.concat(F.lit("name-"), F.col("user_id").cast("string")).alias("name"))
-    key = F.unhex(F.sha2("crypto_key_id", 256))
-    context = crypto.field_aad(F.col("event_id"), F.col("crypto_key_id"), F.lit("name"), F.lit(1))
-    moved = crypto.field_aad(F.lit("other/1"), F.col("crypto_key_id"), F.lit("name"), F.lit(1))
-    sealed = rows.withColumn("box", F.aes_encrypt("name", key, F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), context))
-    plain = F.aes_decrypt("box", key, F.lit("GCM"), F.lit("DEFAULT"), context).cast("string")
-    wrong = F.try_aes_decrypt("box", key, F.lit("GCM"), F.lit("DEFAULT"), moved).isNull()
-    return sealed.select("global_position", "event_id", plain.alias("name"), wrong.alias("fails_elsewhere"))
-
-
 @query("SELECT CAST(user_id % 5 + 250 AS BIGINT) AS secret_version, count(*) AS keys FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
 def secret_version_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key envelopes by the secret version in their bytes 5 to 8."""
