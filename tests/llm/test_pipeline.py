@@ -5,6 +5,9 @@ from __future__ import annotations
 import ast
 from collections import Counter
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_texts import grouped, slow_links
 from weftlog.llm import common, queries, simhash
@@ -44,6 +47,53 @@ def test_stages_take_effect(spark):
     assert sorted(map(key, whole)) == sorted(map(key, rows[5]))
 
 
+EDGE = [
+    (1, "Some words of a text that is long enough to be told apart from others here.", "en", "a", 76, "x"), (1, "Some words of a text that is long enough to be told apart from others here.", "en", "a", 76, "x"),
+    (2, None, None, None, None, None), (None, "No id, but words that are its own and nobody else's, as it happens to be.", "en", "a", 70, "y"), (None, None, None, None, 0, None), (None, None, None, None, 0, None),
+    (3, "", "de", "b", 0, "z"), (4, " \t\n", "de", "b", 3, "z"), (5, "token = abcdefghijklmnop and some more words around it, to have shingles", "en", "b", 70, "q"),
+    (6, "é " * 40_000 + "password: hunter2hunter2", "fr", "c", 80_024, "long"),
+]
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _row string"
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_stages_on_edges(spark, tmp_path, labelled):
+    """Nulls in every column, repeated rows, empty and very long texts, ties and a clashing name, stage by stage; then empty tables."""
+    labels = [(r[0], k % 2, 0) for k, r in enumerate(EDGE) if r[0]] if labelled else []
+    for name, rows in (("full", EDGE), ("none", [])):
+        spark.createDataFrame(rows, CLASH).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = common.read(spark, f"{tmp_path}/{name}", "documents")
+        for stage, f in corpus_pipeline.STAGES:
+            out = written(f(spark, docs, f"{tmp_path}/{name}"), f"edge-{stage}")
+            n, before = out.count(), docs.count()
+            if stage != "packing":
+                assert out.columns == docs.columns
+            if not rows:
+                assert n == 0
+            elif stage == "near_duplicates":
+                kept = Counter(r.doc_id for r in out.collect())
+                assert max(kept.values()) <= 2 and n < before
+            elif stage == "secrets":
+                assert n == before and not any("hunter2" in (r.text or "") or "abcdefghijklmnop" in (r.text or "") for r in out.collect())
+            elif stage == "packing":
+                assert len({(r.sequence_id, r.offset) for r in out.collect()}) == n >= before
+            docs = out
+        if rows and not labelled:  # nothing is known of quality, so that every row stays
+            first = written(corpus_pipeline.STAGES[0][1](spark, common.read(spark, f"{tmp_path}/{name}", "documents"), f"{tmp_path}/{name}"), "edge")
+            assert first.count() == len(EDGE)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.01/{table}.parquet'")
+    twin = con.sql(queries.ORACLE_SQL[name])
+    ours = queries.queries()[name](spark, "/root/testdata/sf0.01").select(*twin.columns).collect()
+    assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, twin.fetchall()))
+
+
 def test_every_operator_is_registered_once():
     found = sorted(int(k[2:].split("_")[0]) for k in queries.queries() if k.startswith("op"))
     assert found == list(range(1, 11)) and "pipeline" in queries.queries()

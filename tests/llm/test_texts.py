@@ -174,7 +174,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 def test_rare_buckets_stay_in_the_tasks_and_bytes_are_bounded(spark, docs):
     labels = common.read(spark, SF2, "labels")
-    met = toxicity.sample(docs, labels, "toxic", "doc_id", "text", 200, toxicity.SEED).orderBy("o", "_i", "t").collect()
+    met = toxicity.sample(docs, labels, "toxic", "doc_id", "text", 200, toxicity.SEED).orderBy("o", "_i").collect()
     rows = [np.unique(np.concatenate([np.zeros(0, np.uint64), *toxicity.buckets(r.t)])).astype(np.int64) for r in met]
     plain = toxicity.fit(rows, np.array([r.y for r in met], float))
     ours = toxicity.train(docs, labels, most=200)

@@ -203,15 +203,3 @@ def test_anisotropic_codes_favour_inner_products():
     back = aware.books[np.arange(len(aware.books))[None], code].reshape(50, -1)
     scanned = sum(lut[:, s].take(packed[:, s], axis=1) for s in range(packed.shape[1]))
     assert np.allclose(scanned, x[:3] @ back.T, atol=1e-5)
-
-
-def test_query_equals_its_sql(spark):
-    import duckdb
-
-    from weftlog.llm import queries
-
-    con = duckdb.connect()
-    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
-    twin = con.sql(queries.ORACLE_SQL["op6_embeddings"])
-    ours = queries.op6_embeddings(spark, "/root/testdata/sf0.01").select(*twin.columns).collect()
-    assert sorted(map(tuple, ours)) == sorted(twin.fetchall())

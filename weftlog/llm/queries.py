@@ -92,6 +92,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of ``op1_mixing`` for each source: its words, its target, and whether what is taken comes within a percent of it."""
+    out = mixing.mix(read(spark, sf_dir, "documents")).groupBy("source", "source_size", "target").agg(F.count("*").alias("documents"), F.sum("taken").alias("taken"))
+    near = F.abs(F.col("taken") - F.col("target")) <= F.greatest(F.col("target") * 0.02, F.lit(100.0))
+    return out.select("source", "documents", "source_size", F.round("target", 3).alias("target"), near.alias("near"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op10_secrets`` finds by the base patterns alone."""
+    return op10_secrets(spark, sf_dir).drop("spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,14 +112,35 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return found | {"pipeline": pipeline}
+    return found | {"mixing_targets": mixing_targets, "secret_counts": secret_counts, "pipeline": pipeline}
 
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND list_sum(list_transform(embedding, lambda c: CASE WHEN c IS NULL OR NOT isfinite(c) THEN 1 ELSE 0 END)) = 0 AND list_sum(list_transform(embedding, lambda c: abs(c))) > 0"
 
 #: SQL twins of the operators whose whole result SQL can express: all others rest on hashes, fits, tokenizers or text
 #: positions that it has no functions for, and are tested against brute force.
+_FOUND = "list_transform(range(1, len({m}) + 1), lambda i: {{'s': list_sum(list_transform({g}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({m}[1:i - 1], lambda x: length(x))), 0), 'm': {m}[i], 'k': {k}}})"
+_PATTERNS = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX}
+_KEPT = {
+    "assign": f"length(regexp_extract(x.m, '{secrets.ASSIGN.replace("'", "''")}', 2)) >= {secrets.LEAST_VALUE}",
+    "access": f"length(x.m) >= {secrets.LEAST_ACCESS}", "hex": f"length(x.m) >= {secrets.LEAST_HEX}",
+}
+_SPLIT = ", ".join(f"string_split_regex(t, '{p.replace("'", "''")}') AS {k}_g, regexp_extract_all(t, '{p.replace("'", "''")}', 0) AS {k}_m" for k, p in _PATTERNS.items())
+_BASE = ", ".join(f"list_filter({_FOUND.format(g=f'{k}_g', m=f'{k}_m', k=n)}, lambda x: {_KEPT[k]}) AS {k}" for n, k in enumerate(_PATTERNS))
+_NAME = "CASE x.k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' ELSE 'hex' END"
+
 ORACLE_SQL: dict[str, str] = {
+    "mixing_targets": r"""WITH D AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    S AS (SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(sum(size) AS BIGINT) AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w FROM D GROUP BY source),
+    R AS (SELECT *, 3.0 * total / w AS ratio, sum(total) OVER () AS budget FROM S),
+    L AS (SELECT *, (budget - coalesce(sum(3.0 * total) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level FROM R
+    WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    F AS (SELECT min_by(level, ratio) AS final FROM L WHERE level <= ratio)
+    SELECT source, documents, total AS source_size, round(least(3.0 * total, w * coalesce((SELECT final FROM F), 1e300)), 3) AS target, true AS near FROM L""",
+    "secret_counts": rf"""WITH T AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), G AS (SELECT doc_id, {_SPLIT} FROM T), B AS (SELECT doc_id, {_BASE} FROM G),
+    A AS (SELECT doc_id, assign, access, hex, list_sort(list_transform(list_concat(list_concat(assign, access), hex), lambda x: {{'s': x.s, 'k': x.k, 'e': x.s + length(x.m)}})) AS spans FROM B)
+    SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
+    sha256(array_to_string(list_transform(spans, lambda x: {_NAME} || ':' || x.s || ':' || x.e), ',')) AS base_sha256 FROM A""",
     "op6_embeddings": f"""WITH RECURSIVE V AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_USABLE}),
     E AS (SELECT a.vec_id AS a, b.vec_id AS b FROM V a JOIN V b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
     R(id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT R.id, E.b FROM R JOIN E ON E.a = R.reached),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftlog.llm.common import boxed, drop_written, unboxed, with_fields, written
@@ -142,7 +142,7 @@ def train(
 
     Buckets, not texts, reach the driver, and only those of ``included`` rows or more: how many rows have each is counted in
     the tasks. Null and empty texts are rows without a bucket; null ids and labels other than 0 and 1 are passed over; an id
-    given twice counts twice, up to the bound; ties go by id, then by buckets. Without both labels every score is a half.
+    given twice counts twice, up to the bound; ties go by id, then by a hash of the buckets. Without both labels every score is a half.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +162,15 @@ def train(
 
     met = sample(docs, labels, label, id_col, text_col, most, seed)
     schema = met.select("_i", "o", F.col("t").alias("x"), "y").schema
-    rows = written(met.mapInArrow(run, schema).orderBy("o", "_i", "x").limit(2 * most), "toxicity-sample")
-    often = rows.select("x").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= included)
+    rows = written(met.mapInArrow(run, schema), "toxicity-sample")
+    key = F.struct("o", "_i", F.xxhash64("x").alias("h"))
+
+    def upto(some: DataFrame, last: Row | None) -> DataFrame:
+        return some.where(F.lit(False)) if last is None else some.where(key <= F.struct(F.lit(last.o).alias("o"), F.lit(last._i).alias("_i"), F.lit(last.h).alias("h")))
+
+    firsts = rows.select(key.alias("k")).orderBy("k").limit(2 * most).collect()
+    few = upto(rows, firsts[-1].k if firsts else None)
+    often = few.select("x").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= included)
     live = np.zeros(1 << bits, bool)
     live[often.select("k").toArrow().column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(live)
@@ -173,14 +180,18 @@ def train(
             x = [k[shared.value[k]].tobytes() for k in (np.frombuffer(v.as_buffer(), "<u4") for v in b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), b.column(3)], ["_i", "o", "x", "y"])
 
-    sized = rows.mapInArrow(cut, schema).selectExpr("*", "sum(octet_length(x)) OVER (ORDER BY o, _i, x ROWS UNBOUNDED PRECEDING) AS upto")
-    kept = sized.where(F.col("upto") <= most_bytes).orderBy("o", "_i", "x").select("x", "y").collect()
+    # Only keys and lengths are ordered; rows beyond the byte that the bound ends at stay where they are.
+    kept = written(few.mapInArrow(cut, schema), "toxicity-kept")
+    sizes = kept.select(key.alias("k"), F.octet_length("x").alias("n")).orderBy("k").collect()
+    held = int(np.searchsorted(np.cumsum([r.n for r in sizes]), most_bytes, "right")) if sizes else 0
+    found = sorted(upto(kept, sizes[held - 1].k if held else None).select(key.alias("k"), "x", "y").collect(), key=lambda r: tuple(r.k))
     drop_written(rows)
+    drop_written(kept)
     shared.destroy()
-    y = np.array([r.y for r in kept], np.float64)
+    y = np.array([r.y for r in found], np.float64)
     if len(set(y)) < 2:
         return Weights(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in kept], y, bits, seed, included)
+    return fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in found], y, bits, seed, included)
 
 
 def score(docs: DataFrame, model: Weights, text_col: str = "text", name: str = "score") -> DataFrame:
