@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: quality, near-duplicates, secrets, mixing, packing.
 
 Each stage gets the table that its predecessor wrote, works on all of it and returns what it keeps; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Every stage takes nulls in any column, empty and very long texts (read whole), repeated
+rows, other columns of any name (kept, but by the last) and empty tables (which give no rows); what it makes of them is below.
 """
 
 from __future__ import annotations
@@ -14,27 +15,45 @@ from weftlog.llm.queries import word_tokenizer
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the ranking scores under the threshold."""
+    """Drop the documents that the ranking scores under the threshold.
+
+    Null and empty texts are scored like any other, equal texts alike; a score at the threshold stays; without labels of both
+    kinds every row does.
+    """
     return quality.kept(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: shingles of five words, a similarity of 0.8 or more."""
+    """Keep one document of each group of near-duplicates: shingles of five words, a similarity of 0.8 or more.
+
+    Null and wordless texts are alike, one of them stays. The smallest id stays, a null id last; of rows that tie in id the one of
+    the smallest text hash, of wholly equal rows one.
+    """
     return simhash.deduplicated(docs, words=5, similarity=0.8)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every reported secret in the texts; no document goes. n_chars is counted anew where a text changed."""
+    """Replace every reported secret in the texts; no document goes. n_chars is counted anew where a text changed.
+
+    Null texts stay null; repeated rows are changed alike; overlapping spans are replaced by one mask.
+    """
     return secrets.redacted(docs).withColumn("n_chars", secrets.recounted("text", "n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's documents as often as its target asks; a document taken twice is there twice."""
+    """Take each source's documents as often as its target asks; a document taken twice is there twice.
+
+    A null source is a source; null texts have no words and are taken the whole number of times; rows equal in id, source and
+    text are taken alike; ties in the seeded order go by id and size.
+    """
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack every document into sequences of at most 4096 tokens: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
+    """Pack every document into sequences of at most 4096 tokens: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    Null and empty texts are the end token; repeated rows and null ids are packed each; only documents over a sequence are cut.
+    """
     return packing.pack(docs, word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
