@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.functions import codecs, errors
+from weftlog.functions import codecs, errors, validation
 from weftlog.operators import crypto, folds, reads, snapshots
 from weftlog.operators.keyring import Secrets
 from weftlog.operators.upcasts import Upcaster, Upcasters
@@ -20,7 +20,7 @@ from weftlog.plans.catalog import _STORED, LOG, _money, _with_snapshots
 from weftlog.plans.registry import query
 from weftlog.sources import fixtures, generators
 from weftlog.sources.commitlog import scratch_folder
-from weftlog.store import EventStore, SnapshotHandle, define_aggregate, define_projection, define_snapshot
+from weftlog.store import Encryption, EventStore, SnapshotHandle, define_aggregate, define_projection, define_snapshot
 
 _ONE = Secrets.of(1, [(1, "one")])
 _N = """WITH N AS (SELECT n_name, n_regionkey AS r, n_nationkey AS k, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS BIGINT) AS p,
@@ -114,6 +114,46 @@ def command_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "stream_id string, attempt string, outcome string, version int")
 
 
+_BAD = {
+    "schema_name": ["Upper", "1a", "a-b", "", "a" * 64, 'x"; drop'], "good_schema_name": ["a", "_x9", "a" * 63],
+    "cursor": ["bm90IGEgY3Vyc29y", "e30", "!"], "limit": [0, -1, 1001, True, 1.5], "good_limit": [1, 1000],
+    "expected_version": [-2, 1.5, 2**53, None], "good_expected_version": [-1, 0, 7], "lower_bound": ["-1", "01", "x", ""], "good_lower_bound": ["0", "9007199254740993"],
+    "encrypted_fields": ["__proto__", "a..b", "a.constructor", "a,a.b"], "good_encrypted_fields": ["a", "a.b,a.c"],
+}
+
+
+def _check(spark: SparkSession, argument: str, value: Any) -> None:
+    if argument == "schema_name":
+        EventStore(spark, scratch_folder(spark), value)
+    elif argument == "cursor":
+        codecs.decode_cursor(value, "asc", ["a"])
+    elif argument == "limit":
+        validation.page_options(["a"], value, None, "asc")
+    elif argument == "expected_version":
+        validation.append_input({"stream_id": "s", "expected_version": value, "events": []})
+    elif argument == "lower_bound":
+        validation.subscribe_options(lower_bound={"id": value})
+    else:
+        validation.encrypted_paths(value.split(","))
+
+
+_CHECKED = ", ".join(f"('{a.removeprefix('good_')}', '{repr(v).replace(chr(39), chr(39) * 2)}', {str(not a.startswith('good_')).lower()})" for a, vs in _BAD.items() for v in vs)
+
+
+@query(f"SELECT * FROM (VALUES {_CHECKED}) t(argument, value, refused)")
+def argument_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments of calls, and whether they are refused."""
+    out = []
+    for argument, values in _BAD.items():
+        for v in values:
+            try:
+                _check(spark, argument.removeprefix("good_"), v)
+                out.append((argument.removeprefix("good_"), repr(v), False))
+            except (errors.InvalidArgumentError, errors.InvalidSchemaNameError):
+                out.append((argument.removeprefix("good_"), repr(v), True))
+    return spark.createDataFrame(out, "argument string, value string, refused boolean")
+
+
 # Consumers.
 
 
@@ -196,16 +236,20 @@ def aggregate_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, list(region.subscribe(store, "3", live=False)))
 
 
-@query(_N + "SELECT CAST((row_number() OVER (ORDER BY p DESC) - 1) // 4 + 1 AS INT) AS page, p AS global_position FROM N WHERE r IN (0, 2, 4)")
+@query(
+    _N + """, P AS (SELECT p, (row_number() OVER (ORDER BY p DESC) - 1) // 4 + 1 AS page FROM N WHERE r IN (0, 2, 4))
+    SELECT CAST(page AS INT) AS page, p AS global_position, CASE WHEN page < max(page) OVER () THEN min(p) OVER (PARTITION BY page) END AS cursor_position FROM P"""
+)
 def store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of three streams, newest first; what is appended meanwhile stays out."""
     store, _ = _joined(spark, sf_dir)
     streams, cursor, out, n = ["Region-0", "Region-2", "Region-4"], None, [], 1
     while True:
         page = store.read_events_page(streams, 4, cursor, "desc")
-        out += [(n, e.global_position) for e in page.events]
+        at = codecs.decode_cursor(page.next_cursor, "desc", streams)["globalPosition"] if page.next_cursor else None
+        out += [(n, e.global_position, at) for e in page.events]
         if not page.has_next_page:
-            return spark.createDataFrame(out, "page int, global_position long")
+            return spark.createDataFrame(out, "page int, global_position long, cursor_position long")
         store.append("Region-2", 0, [{"type": "Late", "data": n}])
         cursor, n = page.next_cursor, n + 1
 
@@ -219,6 +263,35 @@ def aggregate_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "stream_id string, version int, members int, newest string, domain_events int")
 
 
+@query(
+    _N + """SELECT 'Region-' || r AS stream_id, CAST(v + (v - 1) // 3 AS INT) AS stream_version, 'NationJoined' AS event_type, n_name AS name FROM N UNION ALL
+    SELECT 'Region-' || r, CAST(v + (v - 1) // 3 + 1 AS INT), 'MembersSnapshot', NULL FROM N WHERE v % 3 = 0"""
+)
+def single_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends of one event with a snapshot every three, several of them in a transaction."""
+    members = define_snapshot("Region", "Members", 3, {"n": 0}, {"NationJoined": lambda s, e: {"n": s["n"] + 1}})
+    store = _opened(spark, snapshots=[members])
+    for r, own in _nations(spark, sf_dir).items():
+        store.with_transaction(lambda tx, r=r, own=own: [tx.append(f"Region-{r}", 0, [{"type": "NationJoined", "data": {"name": n.n_name}}]) for n in own])
+    return store.events().select("stream_id", "stream_version", "event_type", _name().alias("name"))
+
+
+@query(_N + "SELECT 'Region-' || r AS stream_id, v AS stream_version, CASE WHEN r <> 2 THEN n_name END AS name, r = 2 AS tombstoned, CAST(c AS INT) AS version, CASE WHEN r <> 2 THEN n_name END AS newest FROM (SELECT *, max(v) OVER (PARTITION BY r) AS m FROM N) WHERE v = m")
+def encrypted_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate that declares encrypted fields and the key of an entity; loads hand tombstones to its functions."""
+    sealed = Encryption(lambda entity: f"region:{entity}", {"NationJoined": ["name"]})
+    region = define_aggregate("Region", {"NationJoined": lambda s, e: e.data and e.data["name"]}, sealed)
+    store, out = _opened(spark, _ONE), []
+    for r, own in _nations(spark, sf_dir).items():
+        store.create_crypto_key(f"region:{r}")
+        region.append(store, str(r), -1, [{"type": "NationJoined", "data": {"name": n.n_name, "key": n.n_nationkey}} for n in own])
+    store.revoke_crypto_key("region:2")
+    for r in _nations(spark, sf_dir):
+        loaded, last = region.load(store, str(r)), store.load_latest_event_by_type(f"Region-{r}", "NationJoined")
+        out.append((last.stream_id, last.stream_version, last.data and last.data["name"], last.tombstoned, loaded.version, loaded.state))
+    return spark.createDataFrame(out, "stream_id string, stream_version int, name string, tombstoned boolean, version int, newest string")
+
+
 @query("SELECT DISTINCT 'User-' || user_id AS stream_id FROM events ORDER BY stream_id DESC LIMIT 100")
 def store_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of streams from the table of heads: the log is not read."""
@@ -246,20 +319,22 @@ _FIELDS = {"signup": ["value", "props.k"]}
 
 
 def _shredded(spark: SparkSession, sf_dir: str) -> EventStore:
-    """The user log with the fields of signups encrypted under a key for each user; those of ids divisible by 7 revoked."""
+    """The user log with the fields of signups (and one that views have not) encrypted under a key for each user; those of ids
+    divisible by 7 revoked."""
     store = _opened(spark, _ONE)
     store.create_crypto_keys(_users(spark, sf_dir))
-    store.append_frame(_user_batch(spark, sf_dir), encrypted_fields=_FIELDS)
+    store.append_frame(_user_batch(spark, sf_dir), encrypted_fields={**_FIELDS, "view": ["missing"]})
     store.revoke_crypto_keys(_users(spark, sf_dir, "user_id % 7 = 0"))
     return store
 
 
 @query(
-    LOG + """SELECT global_position, stream_id, stream_version, event_type, event_type = 'signup' AND user_id % 7 = 0 AS tombstoned, CASE WHEN event_type = 'signup' AND user_id % 7 = 0 THEN NULL ELSE value END AS value,
-    CASE WHEN event_type = 'signup' AND user_id % 7 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INT) END AS k, event_type <> 'signup' AS readable_as_stored FROM L"""
+    LOG + """, D AS (SELECT *, event_type IN ('signup', 'view') AND user_id % 7 = 0 AS dead FROM L) SELECT global_position, stream_id, stream_version, event_type, dead AS tombstoned,
+    CASE WHEN NOT dead THEN value END AS value, CASE WHEN NOT dead THEN CAST(json_extract(props, '$.k') AS INT) END AS k, event_type <> 'signup' AS readable_as_stored FROM D"""
 )
 def revoked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decrypted where the key lives, a tombstone where it is revoked; what is stored has no encrypted field in the clear."""
+    """Decrypted where the key lives, a tombstone where it is revoked, even if no field was there to encrypt; what is stored has
+    no encrypted field in the clear."""
     store = _shredded(spark, sf_dir)
     value, k = F.get_json_object("data", "$.value"), F.get_json_object("data", "$.props.k")
     stored = store.events().select("global_position", (value.isNotNull() | k.isNotNull()).alias("readable_as_stored"))
