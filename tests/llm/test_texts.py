@@ -576,6 +576,43 @@ def test_set_links_equal_brute_force(monkeypatch, columns):
     assert (simhash.set_links(sets, first, 0.8) == simhash.local_roots(60, i[across], k[across])).all()
 
 
+@pytest.mark.parametrize("most", [5, 512])
+def test_groups_of_candidates_are_compared_as_by_brute_force(spark, most):
+    """Crowds round a pivot, outsiders that only some of a crowd are similar to, and lone sets; some in two groups."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for g in range(4):
+        base = rng.permutation(400)[:60]
+        for _ in range(25):
+            swap = rng.integers(0, 12)
+            rows.append((len(rows), g, np.unique(np.append(rng.permutation(base)[swap:], 1000 + rng.integers(0, 500, swap)))))
+    rows += [(k, 9, h) for k, g, h in rows if k % 7 == 0]
+    frame = common.written(spark.createDataFrame([(k, g, h.tolist()) for k, g, h in rows], "c long, g long, s array<long>"), "test-sets")
+    edges = simhash.verified(frame, 0.8, most).collect()
+    n = len({k for k, _, _ in rows})
+    pairs = {(a, b) for a, g, x in rows for b, g2, y in rows if g == g2 and a < b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))}
+    at = lambda e: np.array(sorted(e), int).reshape(-1, 2).T
+    assert (simhash.local_roots(n, *at({(min(r.u, r.v), max(r.u, r.v)) for r in edges})) == simhash.local_roots(n, *at(pairs))).all()
+    assert len(pairs) > 50
+
+
+def test_rarest_shingles_meet_all_similar_sets(spark):
+    rng = np.random.default_rng(32)
+    common_ = rng.permutation(30)
+    sets = []
+    for _ in range(40):
+        own = np.append(rng.permutation(common_)[: rng.integers(5, 25)], rng.integers(100, 400, rng.integers(1, 20)))
+        sets += [np.unique(own), np.unique(np.append(rng.permutation(own)[: int(len(own) * rng.uniform(0.75, 1))], rng.integers(100, 400, 1)))]
+    small = spark.createDataFrame([(k, len(h), h.tolist()) for k, h in enumerate(sets)], "c long, n long, few array<long>")
+    met: dict[int, set[int]] = {}
+    for r in simhash.sharing(small, 0.8).collect():
+        met.setdefault(r.g, set()).add(r.c)
+    alike = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))}
+    assert len(alike) > 15 and all(any({a, b} <= m for m in met.values()) for a, b in alike)
+    together = sum(len(m) * (len(m) - 1) // 2 for m in met.values())
+    assert together < len(sets) * (len(sets) - 1) // 4  # the frequent ones meet nobody
+
+
 def test_wide_links_lose_none():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (200, simhash.WIDE), dtype=np.uint64)

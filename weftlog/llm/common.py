@@ -105,10 +105,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """``edges`` (u, v) with m of ``least`` (u, m).
 
-    The key of ``least`` is an expression, so that it is shuffled after its aggregation: both sides then come straight from
-    a shuffle, and the planner splits the edges of a hub over tasks (adaptive skew join).
+    The planner can split the edges of a hub over tasks.
     """
-    return edges.join(least.select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("w"), "m"), F.col("u") == F.col("w")).drop("w")
+    return edges.join(least.select(again("u").alias("w"), "m"), F.col("u") == F.col("w")).drop("w")
+
+
+def again(key: str) -> Column:
+    """A long key as an expression of itself. What is aggregated by a key and joined by this is shuffled for the join anew, so that
+    both sides come straight from a shuffle, and the planner can split hot keys over tasks (adaptive skew join)."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

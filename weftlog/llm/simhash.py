@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import boxed, components, drop_written, unboxed, with_fields, written
+from weftlog.llm.common import again, boxed, components, drop_written, unboxed, with_fields, written
 
 SEED = 42
 WORDS = 3
@@ -223,7 +223,7 @@ SIMILARITY = 0.8
 #: Differing bits of 512 that make a candidate, no more: two sets of equal size and Jaccard similarity 0.8 differ in 77 of 512
 #: on average, with a standard deviation of 8 (fewer bits if sizes differ), so that this is four deviations further out.
 WIDE_RADIUS = 110
-#: Sets of so many shingles or fewer also become candidates by the shingles they share, which misses none.
+#: Sets of so many shingles or fewer are also met by the shingles they share, which misses none.
 SMALL = 64
 _GROWTH = 1.0625
 #: Words of a wide fingerprint that decide for most pairs: unrelated ones differ in 160 of 320 bits, with a deviation of 9.
@@ -275,11 +275,6 @@ def _class(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes(), SEED)
 
 
-def prefix(h: np.ndarray, similarity: float) -> np.ndarray:
-    """The smallest hashes of a sorted set, as many as any set of that similarity must share one of with it."""
-    return h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1] if len(h) else h
-
-
 def set_links(sets: list[np.ndarray], first: np.ndarray | None, similarity: float) -> np.ndarray:
     """Root of each of ``sets`` (of distinct hashes), by links of that Jaccard similarity or more: between the sets marked
     ``first`` and the others, or among all if it is None. Exact."""
@@ -380,48 +375,82 @@ def similar(classes: DataFrame, radius: int = WIDE_RADIUS, similarity: float = S
     return pairs.mapInArrow(run, "u long, v long")
 
 
-def sharing(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all classes (c long, few array of shingle hashes) that share one of ``few``."""
-    entries = classes.select("c", F.explode("few").alias("h"))
-    hubs = entries.groupBy("h").agg(F.min("c").alias("v"), F.count("*").alias("m")).where("m > 1")
-    return entries.join(hubs, "h").where("c != v").select(F.col("c").alias("u"), "v")
-
-
-def verified(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect the similar sets of each group of candidates: (c, g long, parts int, s binary).
+def sharing(small: DataFrame, similarity: float) -> DataFrame:
+    """(c, g long) for each class of ``small`` (c long, n long, few array: its whole set) and each shingle by which it is met.
 
-    Every pair of a group is compared by its sets. A large group is cut into ``parts`` slices by hash, each pair of which is a
-    task's work; spanning edges come back, never all pairs.
+    In the order of how many sets have a shingle, rarest first, the first n - ceil(similarity * n) + 1 of a set must share one
+    with those of any similar set; so the frequent ones meet nobody, and what only one set has is dropped before it is shuffled.
     """
-    cut = sets.withColumn("k", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least("k", x).alias("p"), F.greatest("k", x).alias("q")))
-    cut = cut.withColumn("pq", F.explode(pairs)).select("g", "pq.p", "pq.q", F.struct("c", (F.col("k") == F.col("pq.p")).alias("first"), "s").alias("x"))
-    met = cut.groupBy("g", "p", "q").agg(F.collect_list("x").alias("x")).select((F.col("p") == F.col("q")).alias("same"), "x")
+    each = small.select("c", "n", F.explode("few").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    shared = each.join(often.select(again("h").alias("w"), "m"), F.col("h") == F.col("w")).drop("w")
+    own = shared.groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("t"))
+    first = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("t"))
+    kept = own.where(first > 0).select("c", F.explode(F.slice("t", 1, F.least(first, F.size("t")).cast("int"))["h"]).alias("g"))
+    met = kept.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
+    return kept.join(met.select(again("g").alias("w")), F.col("g") == F.col("w")).drop("w")
+
+
+def verified(sets: DataFrame, similarity: float, most: int = _SETS) -> DataFrame:
+    """Edges (u, v) that connect the similar sets of each group of candidates: (c, g long, s array of shingle hashes), a written table.
+
+    A group of about ``most`` sets or fewer is compared whole. In a larger one all sets are first compared with one of them, its
+    pivot: what is similar to that is connected already, so that only the others must be compared with all. These go by slices
+    of both. So a crowd of near copies costs one comparison each, and no task holds more than two slices.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / most, F.sum(F.size("s")) / _SHINGLES)).cast("int").alias("parts")
+    sized = sets.groupBy("g").agg(parts, F.count("*").alias("m")).where("m > 1").select(again("g").alias("w"), "parts")
+    all_ = written(sets.join(sized, F.col("g") == F.col("w")).drop("w"), "simhash-sets")
+    few, many = all_.where("parts = 1"), all_.where("parts > 1")
+    slice_of = lambda n: F.pmod(F.xxhash64("c"), n).cast("int")
+    pivots = many.groupBy("g", "parts").agg(F.min(F.struct("c", "s")).alias("p")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "k", "p")
+    asked = many.withColumn("k", slice_of(F.col("parts"))).join(pivots, ["g", "k"]).select("g", "c", "parts", "s", F.col("p.c").alias("v"), F.col("p.s").alias("t"))
+
+    def with_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for s, t in zip(b.column(3), b.column(5)):
+                s, t = _fp(s.values), _fp(t.values)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                near.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(near, pa.bool_()), pa.array(list(map(len, b.column(3))), pa.int64())], ["g", "c", "parts", "v", "near", "n"])
+
+    told = written(asked.mapInArrow(with_pivot, "g long, c long, parts int, v long, near boolean, n long"), "simhash-pivots")
+    rest = told.where("NOT near").select("g", "c", "parts", "n")
+    slices = rest.groupBy("g", "parts").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("n") / _SHINGLES)).cast("int").alias("rest_parts"))
+    cut = slices.select(again("g").alias("w"), "rest_parts")
+    left = rest.drop("n").join(many.drop("parts"), ["g", "c"]).join(cut, F.col("g") == F.col("w")).drop("w")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = left.withColumns({"p": slice_of(F.col("rest_parts")), "q": F.explode(every("parts"))}).select("g", "p", "q", "c", F.lit(True).alias("first"), "s")
+    right = many.join(cut, F.col("g") == F.col("w")).drop("w")
+    right = right.withColumns({"q": slice_of(F.col("parts")), "p": F.explode(every("rest_parts"))}).select("g", "p", "q", "c", F.lit(False).alias("first"), "s")
+    whole = few.select("g", F.lit(-1).alias("p"), F.lit(-1).alias("q"), "c", F.lit(True).alias("first"), "s")
+    met = whole.unionByName(left).unionByName(right).groupBy("g", "p", "q").agg(F.collect_list(F.struct("c", "first", "s")).alias("x")).select((F.col("p") < 0).alias("whole"), "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, x in zip(*batch.columns):
+            for whole, x in zip(*batch.columns):
                 rows = x.values
                 c, first = rows.field("c").to_numpy(), rows.field("first").to_numpy(zero_copy_only=False)
-                if len(c) < 2 or not same.as_py() and first.all():
+                if len(c) < 2 or not whole.as_py() and first.all():
                     continue
-                held = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.field("s")]
-                root = set_links(held, None if same.as_py() else first, similarity)
-                hit = np.nonzero(root != np.arange(len(root)))[0]
+                root = set_links([_fp(v.values) for v in rows.field("s")], None if whole.as_py() else first, similarity)
+                hit = np.nonzero(c != c[root])[0]
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(c[hit]), pa.array(c[root[hit]])], ["u", "v"])
 
-    return met.mapInArrow(run, "u long, v long")
+    return told.where("near AND c <> v").select(F.col("c").alias("u"), "v").unionByName(met.mapInArrow(run, "u long, v long"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
     """The rows of ``docs`` to keep: of each component of similar texts the one of smallest id (a null id last; of rows with
     that id the one of smallest text hash, of wholly equal rows one). All columns stay.
 
-    Texts are similar if the Jaccard similarity of their sets of shingles is ``similarity`` or more, told by the sets; wordless
-    texts are alike. Candidates are the components of sets whose 512-bit SimHashes are within ``radius`` and, of sets of
-    :data:`SMALL` shingles or fewer, of those that share a shingle by which all similar ones are met. An empty table gives no
-    rows. Texts are shuffled twice: to make the candidates' sets anew, and to keep the chosen rows.
+    Texts are similar if the Jaccard similarity of their sets of shingles is ``similarity`` or more, told by the sets; null and
+    wordless texts are alike; very long ones are read whole. Candidates are the components of sets whose 512-bit SimHashes are
+    within ``radius`` and, of sets of :data:`SMALL` shingles or fewer, those that share one of their rarest shingles, by which all
+    similar ones are met. An empty table gives no rows. Texts are shuffled twice: to make the candidates' sets anew, and to keep
+    the chosen rows.
     """
     names = ["_no", "_id", "_h"]
     key = [
@@ -435,7 +464,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(len(h), wide_fingerprint(h), _class(h), prefix(h, similarity).view(np.int64) if len(h) <= most else None) for h in (shingle_hashes(x.as_py(), words) for x in b.column(1))]
+            found = [(len(h), wide_fingerprint(h), _class(h), h.view(np.int64) if len(h) <= most else None) for h in (shingle_hashes(x.as_py(), words) for x in b.column(1))]
             cols = [pa.array(list(v), t) for v, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))] if found else []
             if found:
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema.names)
@@ -444,21 +473,22 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = rows.groupBy("h").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("few").alias("few"))
     # Numbers of classes are their own once the table is written, however its tasks were run.
     classes = written(each.drop("h").withColumn("c", F.monotonically_increasing_id()), "simhash-classes")
-    likely = written(similar(classes, radius, similarity).unionByName(sharing(classes)), "simhash-candidates")
+    likely = written(similar(classes, radius, similarity), "simhash-candidates")
     groups = components(likely, "simhash-groups").select(F.col("node").alias("c"), F.col("root").alias("g"))
     drop_written(likely)
-    chosen = written(classes.join(groups, "c").select("c", "g", "n", *(F.col(f"least.{k}").alias(k) for k in names)), "simhash-chosen")
-    parts = F.ceil(F.greatest(F.count("*") / _SETS, F.sum("n") / _SHINGLES)).cast("int").alias("parts")
-    cut = chosen.join(chosen.groupBy("g").agg(parts), "g").select("c", "g", "parts", *names)
-    texts = docs.select(*key, F.col(text_col).cast("binary").alias("t")).join(cut, names).select("c", "g", "parts", "t")
+    chosen = written(classes.join(groups, "c").select("c", "g", *(F.col(f"least.{k}").alias(k) for k in names)), "simhash-chosen")
+    texts = docs.select(*key, F.col(text_col).cast("binary").alias("t")).join(chosen, names).select("c", "g", "t")
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = pa.array([shingle_hashes(x.as_py(), words).tobytes() for x in b.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], s], ["c", "g", "parts", "s"])
-
-    sets = texts.mapInArrow(again, "c long, g long, parts int, s binary").dropDuplicates(["c"])
-    edges = written(verified(sets, similarity), "simhash-links")
+            s = pa.array([shingle_hashes(x.as_py(), words).view(np.int64) for x in b.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], s], ["c", "g", "s"])
+
+    near = texts.mapInArrow(anew, "c long, g long, s array<long>").dropDuplicates(["c"])
+    small = classes.where("few IS NOT NULL AND n > 0")
+    by_shingle = sharing(small, similarity).join(small.select("c", F.col("few").alias("s")), "c").select("c", F.xxhash64("g").alias("g"), "s")
+    # Numbers of both kinds of groups are hashes; should two be equal, their sets are compared with one another too.
+    edges = written(verified(written(near.withColumn("g", F.xxhash64(F.lit(1), "g")).unionByName(by_shingle), "simhash-likely"), similarity), "simhash-links")
     roots = components(edges, "simhash-components").select(F.col("node").alias("c"), "root")
     drop_written(edges)
     drop_written(chosen)
