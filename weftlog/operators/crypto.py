@@ -52,7 +52,8 @@ def encrypt(rows: DataFrame, fields: Mapping[str, Sequence[str]], keys: DataFram
     marked = rows.withColumn("crypto_key_id", F.when(own, F.col("crypto_key_id")))
     met = marked.join(keys.select(F.col("key_id").alias("_k"), F.col("key").alias("_key"), F.col("revoked").alias("_r")), F.col("crypto_key_id") == F.col("_k"), "left")
     wrong = (
-        F.when(F.col("crypto_key_id").isNull(), F.lit("an event with encrypted fields needs a crypto key id"))
+        F.when(~own, F.lit(None).cast("string"))
+        .when(F.col("crypto_key_id").isNull(), F.lit("an event with encrypted fields needs a crypto key id"))
         .when(F.col("_r").isNull(), F.concat(F.lit("there is no crypto key "), "crypto_key_id"))
         .when(F.col("_r"), F.concat(F.lit("revoked crypto key "), "crypto_key_id"))
     )
