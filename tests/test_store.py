@@ -446,6 +446,24 @@ def test_bulk_appends_wrap_old_keys_anew(spark, tmp_path):
     assert store.load("S")[0].data == {"x": 1} and store.replayed().first().data == '{"x":1}'
 
 
+def test_appends_survive_a_revocation_of_other_keys(spark, tmp_path, monkeypatch):
+    """The files that a bulk append reads keys from are replaced while it runs: it is built again."""
+    store, other = opened(spark, tmp_path, secrets=SECRETS), opened(spark, tmp_path, secrets=SECRETS)
+    store.create_crypto_keys(spark.createDataFrame([("a",), ("b",)], "key_id string"))
+    plain, calls = store._with_snapshots, []
+
+    def meanwhile(numbered, state):
+        calls.append(1)
+        if len(calls) == 1:
+            other.revoke_crypto_key("b")
+        return plain(numbered, state)
+
+    monkeypatch.setattr(store, "_with_snapshots", meanwhile)
+    batch = spark.createDataFrame([("S", "T", '{"x":1}', 1, "a")], "stream_id string, event_type string, data string, input_order long, crypto_key_id string")
+    assert store.append_frame(batch, encrypted_fields={"T": ["x"]}) == 1 and len(calls) == 2
+    assert [e.data for e in store.load("S")] == [{"x": 1}] and store.events().count() == 1
+
+
 def test_bound_fields_do_not_move(spark, tmp_path):
     """A field's ciphertext opens under its own event, key, path and version only, in plans as in reads of streams."""
     from weftlog.operators import crypto
