@@ -200,7 +200,7 @@ def hex_fp(col: str = "fp") -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """Each row's (id, fp, component): the smallest id reachable through links of ``radius`` or fewer differing bits.
 
-    Null and wordless texts have fingerprint 0 and are linked like any other; a null id is never the smallest (a
+    Null and wordless texts have fingerprint 0 and are linked like any other; very long ones are read whole; a null id is never the smallest (a
     component of null ids only has a null component); repeated rows each come back; other columns are not read;
     an empty table gives no rows. Exact copies share a fingerprint and are compared once.
     """

@@ -147,7 +147,11 @@ EDITS = "array<struct<start:bigint,end:bigint,new:string>>"
 
 
 def trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "tree") -> DataFrame:
-    """``docs`` with a column ``name``: characters and tokens of each leaf of the text's tree (null texts: of '')."""
+    """``docs`` with a column ``name``: characters and tokens of each leaf of the text's tree (null texts: of '').
+
+    Very long texts are encoded whole, leaf by leaf; repeated rows and all other columns stay, one called ``name`` is replaced;
+    an empty table gives no rows.
+    """
     sent = docs.select(boxed(docs, (name,)), F.col(text_col).alias("_text"))
     schema = with_fields(sent.select("_row").schema, f"_tree {_TREE}")
 
@@ -168,8 +172,8 @@ def recount(docs: DataFrame, edits: Column, path: str, pattern: str, id_col: str
     ``edits``: an array of (start, end, new) for each row, positions in code points of the text as it is when the edit
     comes; null edits do nothing, a null ``new`` deletes. ``tree_col``, from :func:`trees`, gives the counts before, and the
     text is not encoded but where edits touch it; without it the tree is built first. ``before`` is the count before and
-    ``encoded`` the characters encoded by edits. Null texts are edited like empty ones; ids and repeated rows stay; other
-    columns are not read; an empty table gives no rows.
+    ``encoded`` the characters encoded by edits. Null texts are edited like empty ones, very long ones leaf by leaf; null ids and
+    repeated rows stay; other columns are not read; an empty table gives no rows.
     """
     sent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), edits.cast(EDITS).alias("edits"), (F.col(tree_col) if tree_col else F.lit(None).cast(_TREE)).alias("tree"))
     added = f"n_chars long, n_tokens long, leaves int, before long, encoded long, tree {_TREE}"
