@@ -69,6 +69,13 @@ def test_empty_vectors_and_repeated_ids(spark, frame):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def test_blocks_without_vectors():
+    lsh, x = embeddings.CrossPolytope(8, 2, 1), embeddings.unit(RNG.normal(size=(5, 8)))
+    block = embeddings._Block(lsh, 2, 0.9, 4, 0, 0)
+    out = [*block.past(np.arange(5), np.ones(5, np.int64), x), *block.closed()]
+    assert all(b.num_rows == 0 for b in out)
+
+
 def test_hadamard_keeps_lengths():
     x = RNG.normal(size=(7, 32))
     y = embeddings.hadamard(x)

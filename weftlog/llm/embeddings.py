@@ -321,7 +321,9 @@ class _Block:
     def _sealed(self) -> Iterator[pa.RecordBatch]:
         if self.keys is not None:
             return
-        self.ids, self.copies, x = (np.concatenate(c) for c in zip(*self.parts))
+        # A slice of the hash may be empty, so that all of a group streams past nothing.
+        parts = self.parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.lsh.dim)))]
+        self.ids, self.copies, x = (np.concatenate(c) for c in zip(*parts))
         self.parts, self.keys, self.count = [], Buckets(self.lsh, x, self.probes), np.zeros(len(x))
         for a in range(0, len(x), self.tile):
             for b in range(a, len(x), self.tile):
