@@ -434,6 +434,16 @@ def test_bulk_appends_equal_single_ones(spark, tmp_path):
             bulk.append_frame(batch.withColumn("crypto_key_id", F.lit(bad).cast("string")), encrypted_fields=fields)
 
 
+def test_empty_bulk_appends(spark, tmp_path):
+    store = opened(spark, tmp_path, secrets=SECRETS, snapshots=[balance(1)])
+    none = spark.createDataFrame([], "stream_id string, event_type string, data string, input_order long, crypto_key_id string")
+    assert store.append_frame(none, outbox_topics=["a"], encrypted_fields={"Deposit": ["amount"]}) == 0
+    assert store.events().count() == 0 and store.create_crypto_keys(none.selectExpr("crypto_key_id AS key_id")) == 0
+    assert store.revoke_crypto_keys(none.selectExpr("crypto_key_id AS key_id")) == 0
+    assert store.append("Transaction-1", -1, [{"type": "Deposit", "data": {"amount": 2}}]).global_positions == [1]
+    assert store.replayed().count() == 2
+
+
 def test_bulk_appends_wrap_old_keys_anew(spark, tmp_path):
     old = opened(spark, tmp_path, secrets=SECRETS)
     old.create_crypto_keys(spark.createDataFrame([("a",), ("b",)], "key_id string"))
