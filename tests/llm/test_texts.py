@@ -331,6 +331,15 @@ def test_text_of_values_is_no_attribute():
     assert html.Page('<article><p title="a > b">One</p><p class=x class=ad>Two').text([]) == "One\n\nTwo"
 
 
+def test_compound_names():
+    kept = ["post category-ads tag-search", "hentry comments-open", "has-sidebar", "page-with-comments", "no-comments post", "type-notice", "content-sidebar-wrap"]
+    dropped = ["reader-comments-block", "postComments", "comment-list", "site-cookie-bar", "widget_recent", "top-ads"]
+    for name in kept:
+        assert html.Page(f'<body><article class="{name}"><p>All of it</p></article>').text([]) == "All of it", name
+    for name in dropped:
+        assert html.Page(f'<body><article><p>All of it</p><div class="{name}"><p>Not this</p></div></article>').text([]) == "All of it", name
+
+
 PROSE = "A sentence of the article that is long enough to be told from the lines of a form, since it goes on and on, as prose does, for a while. "
 
 

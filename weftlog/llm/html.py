@@ -45,6 +45,10 @@ DROP_NAMES = frozenset(
     "subscription signup login register search comment comments commentlist reply replies respond disqus discussion "
     "share sharing social related recommended recommendations teaser teasers widget widgets pagination pager tags skip".split()
 )
+# Names that tell wherever they stand in a compound; beginnings and ends of compounds that state or sort something.
+TELLING = frozenset("comments commentlist disqus advert adverts advertisement newsletter cookie cookies gdpr".split())
+STATING = frozenset("has no with without is category cat tag type status format lang".split())
+STATED = frozenset("open opened closed enabled disabled allowed".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 GOOD_NAMES = frozenset("article articlebody content post entry story main body text".split())
 # What a start tag ends if it is open, and where the search for that stops.
@@ -93,7 +97,9 @@ def _dropped(tag: str, at: dict[str, str], in_article: bool) -> bool:
         return True
     for name in f"{at.get('class', '')} {at.get('id', '')}".split():
         words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
-        if words and words[0] not in ("has", "no", "with", "is") and (words[0] in DROP_NAMES or words[-1] in DROP_NAMES):
+        if not words or words[0] in STATING or words[-1] in STATED or "with" in words or "without" in words:
+            continue
+        if words[0] in DROP_NAMES or words[-1] in DROP_NAMES or not TELLING.isdisjoint(words):
             return True
     return False
 
