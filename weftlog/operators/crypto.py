@@ -57,29 +57,31 @@ def encrypt(rows: DataFrame, fields: Mapping[str, Sequence[str]], keys: DataFram
         .when(F.col("_r").isNull(), F.concat(F.lit("there is no crypto key "), "crypto_key_id"))
         .when(F.col("_r"), F.concat(F.lit("revoked crypto key "), "crypto_key_id"))
     )
-    key = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("binary")).otherwise(F.col("_key"))
-    entry = "struct<version:bigint,ciphertext:string,iv:string,auth_tag:string>"
+    met = met.withColumn("_key", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("binary")).otherwise(F.col("_key")))
+    named = {(k, path): n for n, (k, path) in enumerate((k, path) for k, paths in fields.items() for path in paths)}
+    met = met.withColumns({f"_v{n}": F.when(F.col("event_type") == k, codecs.json_get(F.col("data"), path)) for (k, path), n in named.items()})
+
+    def boxed(n: int, path: str) -> Column:
+        """The entry of one field. The ciphertext is an element of an array, whose parts are all of one sealing with one iv."""
+        raw = sealed(F.col(f"_v{n}").cast("binary"), F.col("_key"), field_aad(F.col("id"), F.col("crypto_key_id"), F.lit(path), F.lit(version)))
+        parts = lambda r: (F.substring(r, IV + 1, F.octet_length(r) - IV - TAG), F.substring(r, 1, IV), F.substring(r, F.octet_length(r) - TAG + 1, F.lit(TAG)))
+        entry = lambda r: F.struct(F.lit(version).cast("long").alias("version"), *(F.base64(x).alias(k) for x, k in zip(parts(r), ("ciphertext", "iv", "auth_tag"))))
+        return F.when(F.col(f"_v{n}").isNotNull(), F.transform(F.array(raw), entry)[0])
+
+    met = met.withColumns({f"_b{n}": boxed(n, path) for (_, path), n in named.items()})
     data, boxes = F.col("data"), F.lit(None).cast(ENCRYPTED)
     for kind, paths in fields.items():
         if not paths:
             continue
         hit, clean, found = F.col("event_type") == kind, F.col("data"), []
         for path in paths:
-            raw = sealed(codecs.json_get(F.col("data"), path).cast("binary"), key, field_aad(F.col("id"), F.col("crypto_key_id"), F.lit(path), F.lit(version)))
-            box = F.transform(
-                F.array(raw),
-                lambda r: F.struct(
-                    F.lit(version).cast("long").alias("version"), F.base64(F.substring(r, IV + 1, F.octet_length(r) - IV - TAG)).alias("ciphertext"),
-                    F.base64(F.substring(r, 1, IV)).alias("iv"), F.base64(F.substring(r, F.octet_length(r) - TAG + 1, F.lit(TAG))).alias("auth_tag"),
-                ).cast(entry),
-            )[0]
-            found.append(F.struct(F.lit(path).alias("key"), F.when(codecs.json_get(F.col("data"), path).isNotNull(), box).alias("value")))
+            found.append(F.struct(F.lit(path).alias("key"), F.col(f"_b{named[kind, path]}").alias("value")))
             clean = codecs.json_delete(clean, path)
         held = F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"].isNotNull())).cast(ENCRYPTED)
         data, boxes = F.when(hit, clean).otherwise(data), F.when(hit, held).otherwise(boxes)
     # The key is looked at for every row of these types, so that a missing one is refused even where no field is there.
-    checked = F.when(own & key.isNull(), F.raise_error(F.lit("the material of a crypto key is missing")).cast("string")).otherwise(data)
-    return met.withColumns({"data": checked, "encrypted_data": boxes}).drop("_k", "_key", "_r")
+    checked = F.when(own & F.col("_key").isNull(), F.raise_error(F.lit("the material of a crypto key is missing")).cast("string")).otherwise(data)
+    return met.withColumns({"data": checked, "encrypted_data": boxes}).select(*rows.columns, *(["encrypted_data"] if "encrypted_data" not in rows.columns else []))
 
 
 def _paths(encrypted: Column) -> Column:
