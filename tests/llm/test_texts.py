@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter as Count
 
@@ -184,6 +185,44 @@ def test_rare_buckets_stay_in_the_tasks_and_bytes_are_bounded(spark, docs):
     assert toxicity.train(docs, labels, most=200, most_bytes=0).score(b"x") == 0.5
 
 
+def test_buckets_reach_the_driver_in_small_parts(spark, docs, monkeypatch):
+    labels = common.read(spark, SF2, "labels")
+    sent, whole, collect = [], toxicity.train(docs, labels, most=200), type(docs).collect
+
+    def counted(self):
+        out = collect(self)
+        if "x" in self.columns:
+            sent.append((len(out), sum(len(r.x) for r in out)))
+        return out
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    parts = toxicity.train(docs, labels, most=200, sent=1 << 14)
+    assert np.array_equal(parts.table, whole.table) and parts.intercept == whole.intercept
+    assert len(sent) > 2 and all(n == 1 or size <= 1 << 14 for n, size in sent)
+
+
+def test_an_id_given_often_counts_up_to_the_bound(spark, monkeypatch):
+    copies = spark.range(2).join(spark.range(300).toDF("copy")).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of "), "id").alias("text"))
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y, bits, *_: fitted.append((len(rows), sorted(set(y)))) or toxicity.Weights(np.zeros(1 << bits, np.float32), 0.0, bits))
+    twice = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "doc_id long, toxic int")
+    toxicity.train(copies, twice, most=200)
+    assert fitted == [(400, [0.0, 1.0])]
+
+
+def test_the_fit_copies_no_rows_that_stay_whole():
+    rng = np.random.default_rng(17)
+    rows = [np.unique(rng.integers(0, 1 << 12, 3000)).astype(np.uint32) for _ in range(400)]
+    y = np.array([float(7 in r) for r in rows])
+    same = toxicity.fit([r.astype(np.int64) for r in rows], y, 12, rounds=1)
+    tracemalloc.start()
+    got = toxicity.fit(rows, y, 12, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got.table, same.table) and got.intercept == same.intercept
+    assert peak < sum(r.nbytes for r in rows) / 2
+
+
 def slow_ftrl(rows, y, dims, rounds, alpha, beta, l1, l2, order):
     """Per-coordinate FTRL-proximal as published, one coordinate after the other."""
     z, n = [0.0] * (dims + 1), [0.0] * (dims + 1)

@@ -25,6 +25,8 @@ SAMPLE = 3000
 INCLUDED = 3
 #: Bytes, at most, of the sample's buckets that reach the driver, four each: rows in seeded order up to there.
 BYTES = 1 << 26
+#: Bytes of them, at most, that reach it at once (or one row).
+SENT = 1 << 23
 SEED = 11
 _CHUNK = 1 << 16
 _TRIM = b".,;:!?\"'()[]{}<>|%#$&*-_"
@@ -98,8 +100,10 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, rounds: int =
             sigma = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha
             z[k] += g - sigma * w
             n[k] += g * g
-    w = weights(np.arange(free + 1))
-    return Weights(w[:-1].astype(np.float32), float(w[-1]), bits)
+    table = np.empty(free, np.float32)
+    for low in range(0, free, _CHUNK):
+        table[low : low + _CHUNK] = weights(np.arange(low, min(free, low + _CHUNK)))
+    return Weights(table, float(weights(np.array([free]))[0]), bits)
 
 
 def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -121,9 +125,14 @@ def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, seed: int = SEED, included: int = INCLUDED, **how: float) -> Weights:
-    """FTRL over buckets that occur in ``included`` rows or more, its scores calibrated on halves it was not fitted on."""
-    seen = np.bincount(np.concatenate(rows), minlength=1 << bits)
-    rows = [r[seen[r] >= included] for r in rows]
+    """FTRL over buckets that occur in ``included`` rows or more, its scores calibrated on halves it was not fitted on.
+
+    Rows are of distinct buckets, of any integer type; only those that lose some are copied.
+    """
+    seen = np.zeros(1 << bits, np.int64)
+    for r in rows:
+        seen[r] += 1
+    rows = [r if (often := seen[r] >= included).all() else r[often] for r in rows]
     half, z = np.random.default_rng(seed).permutation(len(rows)) % 2, np.zeros(len(rows))
     for k in (0, 1):
         own = np.nonzero(half == k)[0]
@@ -136,13 +145,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, seed: int = SEE
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, seed: int = SEED, bits: int = BITS, included: int = INCLUDED, most_bytes: int = BYTES
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, seed: int = SEED, bits: int = BITS, included: int = INCLUDED, most_bytes: int = BYTES, sent: int = SENT
 ) -> Weights:
     """Fit on a bounded, seeded sample of the labelled rows: 2 x ``most`` rows and ``most_bytes`` of buckets at most.
 
-    Buckets, not texts, reach the driver, and only those of ``included`` rows or more: how many rows have each is counted in
-    the tasks. Null and empty texts are rows without a bucket; null ids and labels other than 0 and 1 are passed over; an id
-    given twice counts twice, up to the bound; ties go by id, then by a hash of the buckets. Without both labels every score is a half.
+    Buckets, not texts, reach the driver, ``sent`` bytes (or one row) at a time, and only those of ``included`` rows or more: how
+    many rows have each is counted in the tasks. Null and empty texts are rows without a bucket; null ids and labels other than 0
+    and 1 are passed over; an id given twice counts twice, up to the bound; ties go by id, then by a hash of the buckets, then by
+    label, and equal rows by a number that each is given, so that no more than the bound come. Without both labels every score is a half.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,36 +172,47 @@ def train(
 
     met = sample(docs, labels, label, id_col, text_col, most, seed)
     schema = met.select("_i", "o", F.col("t").alias("x"), "y").schema
-    rows = written(met.mapInArrow(run, schema), "toxicity-sample")
-    key = F.struct("o", "_i", F.xxhash64("x").alias("h"))
+    rows = written(met.mapInArrow(run, schema).withColumn("u", F.monotonically_increasing_id()), "toxicity-sample")
+    key = F.struct("o", "_i", F.xxhash64("x").alias("h"), "y", "u")
 
-    def upto(some: DataFrame, last: Row | None) -> DataFrame:
-        return some.where(F.lit(False)) if last is None else some.where(key <= F.struct(F.lit(last.o).alias("o"), F.lit(last._i).alias("_i"), F.lit(last.h).alias("h")))
+    def within(some: DataFrame, after: Row | None, last: Row | None) -> DataFrame:
+        """Rows of keys beyond ``after`` (none: from the first) up to ``last`` (none: no row)."""
+        at = lambda k: F.struct(*(F.lit(k[c]).cast("long" if c == "h" else rows.schema[c].dataType).alias(c) for c in k.asDict()))
+        upto = F.lit(False) if last is None else key <= at(last)
+        return some.where(upto if after is None else upto & (key > at(after)))
 
     firsts = rows.select(key.alias("k")).orderBy("k").limit(2 * most).collect()
-    few = upto(rows, firsts[-1].k if firsts else None)
+    few = within(rows, None, firsts[-1].k if firsts else None)
     often = few.select("x").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= included)
     live = np.zeros(1 << bits, bool)
     live[often.select("k").toArrow().column(0).to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(live)
+    shared, names = docs.sparkSession.sparkContext.broadcast(live), rows.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [k[shared.value[k]].tobytes() for k in (np.frombuffer(v.as_buffer(), "<u4") for v in b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), b.column(3)], ["_i", "o", "x", "y"])
-
-    # Only keys and lengths are ordered; rows beyond the byte that the bound ends at stay where they are.
-    kept = written(few.mapInArrow(cut, schema), "toxicity-kept")
-    sizes = kept.select(key.alias("k"), F.octet_length("x").alias("n")).orderBy("k").collect()
-    held = int(np.searchsorted(np.cumsum([r.n for r in sizes]), most_bytes, "right")) if sizes else 0
-    found = sorted(upto(kept, sizes[held - 1].k if held else None).select(key.alias("k"), "x", "y").collect(), key=lambda r: tuple(r.k))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), b.column(3), b.column(4)], names)
+
+    # Only keys and lengths are ordered; rows beyond the byte that the bound ends at stay where they are, the others go one
+    # after the other into one array of four bytes a bucket.
+    kept = written(few.mapInArrow(cut, rows.schema), "toxicity-kept")
+    sizes = kept.select(key.alias("k"), (F.octet_length("x") / 4).cast("long").alias("n")).orderBy("k").collect()
+    ends = np.cumsum([0, *(r.n for r in sizes)])
+    held = int(np.searchsorted(ends[1:], most_bytes // 4, "right"))
+    keys = [r.k for r in sizes[:held]]
+    place, found, low = {k.u: j for j, k in enumerate(keys)}, np.empty(ends[held], "<u4"), 0
+    while low < held:
+        high = min(held, max(low + 1, int(np.searchsorted(ends, ends[low] + sent // 4, "right")) - 1))
+        for r in within(kept, keys[low - 1] if low else None, keys[high - 1]).select("u", "x").collect():
+            found[ends[place[r.u]] : ends[place[r.u] + 1]] = np.frombuffer(r.x, "<u4")
+        low = high
     drop_written(rows)
     drop_written(kept)
     shared.destroy()
-    y = np.array([r.y for r in found], np.float64)
+    y = np.array([k.y for k in keys], np.float64)
     if len(set(y)) < 2:
         return Weights(np.zeros(1 << bits, np.float32), 0.0, bits)
-    return fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in found], y, bits, seed, included)
+    return fit([found[ends[j] : ends[j + 1]] for j in range(held)], y, bits, seed, included)
 
 
 def score(docs: DataFrame, model: Weights, text_col: str = "text", name: str = "score") -> DataFrame:
