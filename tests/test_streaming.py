@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from weftlog.sources import positions
+from weftlog.sources import positions, schema
 from weftlog.store import EventStore
 from weftlog.streaming import projections, trackers
 
@@ -67,3 +71,21 @@ def test_snapshots_fall_due_by_counter(spark, tmp_path):
     assert run() == [("Account-0", 3), ("Account-1", 3)]
     store.append("Account-0", 0, [{"type": "Deposit", "data": {"amount": 1}}, {"type": "Deposit", "data": {"amount": 1}}, {"type": "Deposit", "data": {"amount": 1}}])
     assert run() == [("Account-0", 3), ("Account-0", 6), ("Account-1", 3)]
+
+
+def test_a_large_file_is_read_in_small_batches(tmp_path):
+    n, path = 200_000, str(tmp_path / "part.parquet")
+    kinds = {"stream_version": pa.int32(), "time": pa.timestamp("us"), "created_at": pa.timestamp("us")}
+    row = {"stream_version": 1, "time": datetime(2024, 1, 1), "created_at": datetime(2024, 1, 1)}
+    columns = {c: pa.array([row.get(c, "x" * 40)] * n, kinds.get(c, pa.string())) for c in schema.EVENT_COLUMNS} | {"global_position": pa.array(range(1, n + 1))}
+    pq.write_table(pa.table(columns).select(schema.EVENT_COLUMNS[::-1]), path, row_group_size=n // 2)  # any order of columns
+    whole = pa.table(columns).nbytes
+    del columns
+    reader, before, held, found = positions._Reader({"path": str(tmp_path)}), pa.total_allocated_bytes(), [], []
+    for batch in reader.read(positions._Slice(str(tmp_path), path, 10, n - 10)):
+        held.append(pa.total_allocated_bytes() - before)
+        found += batch.column("global_position").to_pylist()
+        assert batch.schema.names == schema.EVENT_COLUMNS
+    assert found == list(range(11, n - 9)) and max(held) < whole / 5
+    assert positions._groups(pq.read_metadata(path), n // 2, n) == [1] and positions._groups(pq.read_metadata(path), 0, n // 2) == [0]
+    assert list(reader.read(positions._Slice(str(tmp_path), path, n, n + 5))) == []

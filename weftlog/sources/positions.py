@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from weftlog.sources import schema
 
 NAME = "weftlog_positions"
+#: Rows that a reader of a file holds at a time, and bytes of a column's chunk that it fetches at once.
+ROWS, BUFFER = 8192, 1 << 20
 
 
 def _opened(root: str) -> tuple[pafs.FileSystem, str]:
@@ -53,6 +56,17 @@ def last_checkpoint(root: str) -> dict[str, Any]:
     return {"commit_id": 0, "last_position": 0, "folders": {"events": []}, "ranges": {}}
 
 
+def _groups(meta: pq.FileMetaData, low: int, high: int) -> list[int]:
+    """The groups of rows that may hold positions after ``low`` up to ``high``, by their statistics where there are any."""
+    out = []
+    for g in range(meta.num_row_groups):
+        group = meta.row_group(g)
+        found = next(c.statistics for c in map(group.column, range(group.num_columns)) if c.path_in_schema == "global_position")
+        if not (found and found.has_min_max) or found.max > low and found.min <= high:
+            out.append(g)
+    return out
+
+
 class _Slice(InputPartition):
     def __init__(self, folder: str, file: str, low: int, high: int) -> None:
         self.folder, self.file, self.low, self.high = folder, file, low, high
@@ -98,13 +112,17 @@ class _Reader(DataSourceStreamReader):
         return out
 
     def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
+        """A file's rows batch by batch: a commit may leave all of a partition in one file, and in one group of rows."""
         fs, _ = _opened(partition.folder)
-        wanted = [("global_position", ">", partition.low), ("global_position", "<=", partition.high)]
-        table = pq.read_table(partition.file, columns=schema.EVENT_COLUMNS, filters=wanted, filesystem=fs, coerce_int96_timestamp_unit="us")
-        for name in ("time", "created_at"):
-            k = table.schema.get_field_index(name)
-            table = table.set_column(k, name, table[name].cast(pa.timestamp("us", "UTC")))
-        yield from table.to_batches()
+        with fs.open_input_file(partition.file) as source:
+            file = pq.ParquetFile(source, buffer_size=BUFFER, pre_buffer=False, coerce_int96_timestamp_unit="us")
+            groups = _groups(file.metadata, partition.low, partition.high)
+            for batch in file.iter_batches(ROWS, groups, schema.EVENT_COLUMNS, use_threads=False) if groups else ():
+                at = batch["global_position"]
+                rows = batch.filter(pc.and_(pc.greater(at, partition.low), pc.less_equal(at, partition.high)))
+                if rows.num_rows:
+                    columns = (rows[n].cast(pa.timestamp("us", "UTC")) if n in ("time", "created_at") else rows[n] for n in schema.EVENT_COLUMNS)
+                    yield pa.RecordBatch.from_arrays(list(columns), schema.EVENT_COLUMNS)
 
     def commit(self, end: dict[str, int]) -> None:
         pass
