@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftlog.functions import codecs, errors, filters, validation
-from weftlog.operators import appends, folds, metrics, paging, reads, snapshots, upcasts, verify, watermarks
+from weftlog.operators import appends, crypto, folds, metrics, paging, reads, snapshots, upcasts, verify, watermarks
 from weftlog.sources import schema
 
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-5, 5) | st.text("ab", max_size=3), lambda x: st.dictionaries(st.sampled_from("abc"), x, max_size=3) | st.lists(x, max_size=3), max_leaves=8)
@@ -275,3 +275,25 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "TakeOrderedAndProject" in page and "GreaterThanOrEqual(global_position,3)" in page
     fold = plan(folds.algebraic(log.withColumn("value", F.lit(1.0)), {"x": folds.total(F.col("value"), ["d"])}))
     assert fold.count("Exchange") == 1 and "partial_sum" in fold
+
+
+def test_rows_without_a_key_are_spread_over_tasks(spark):
+    n, held = 4000, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = spark.range(n).select(
+        F.concat(F.lit("s/"), "id").alias("id"), F.when(F.col("id") < 10, "sealed").otherwise("open").alias("event_type"), F.lit('{"a":1}').alias("data"),
+        F.when(F.col("id") < 10, "k").when(F.col("id") < 20, "unused").alias("crypto_key_id"),
+    )
+    keys = spark.createDataFrame([(k, bytearray(32), k != "k") for k in ("k", "s/100")], "key_id string, key binary, revoked boolean")  # one has an event's name
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sealed = crypto.encrypt(rows, {"sealed": ["a"]}, keys, 1)
+        for out in (sealed, crypto.decrypt(sealed, keys)):
+            tasks = {r.p: r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+            assert sum(tasks.values()) == n and max(tasks.values()) < n / 2
+        assert {(r.data, r.tombstoned) for r in crypto.decrypt(sealed, keys).collect()} == {('{"a":1}', False)}
+        assert sealed.where("data = '{}' AND crypto_key_id = 'k'").count() == 10 and sealed.where("crypto_key_id IS NULL").count() == n - 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

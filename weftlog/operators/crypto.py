@@ -39,6 +39,17 @@ def opened(raw: Column, key: Column, aad: Column) -> Column:
     return F.aes_decrypt(raw, key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
 
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (id, crypto_key_id, ...) with _key and _r of their key, null where there is none.
+
+    Rows without a key id are mostly the larger part of a log. They meet no key, but under the id that they lack all of them would
+    go to one task: they are spread by their own.
+    """
+    known = keys.select(F.col("key_id").alias("_k"), F.col("key").alias("_key"), F.col("revoked").alias("_r"))
+    keyed = F.col("crypto_key_id").isNotNull()
+    return rows.join(known, (F.coalesce("crypto_key_id", "id") == F.col("_k")) & keyed, "left").drop("_k")
+
+
 def encrypt(rows: DataFrame, fields: Mapping[str, Sequence[str]], keys: DataFrame, version: int) -> DataFrame:
     """``rows`` (id, event_type, data JSON, crypto_key_id, ...) with the fields of their type taken out of data and encrypted.
 
@@ -50,7 +61,7 @@ def encrypt(rows: DataFrame, fields: Mapping[str, Sequence[str]], keys: DataFram
         encrypted_paths(paths)
     own = F.col("event_type").isin([k for k, paths in fields.items() if paths]) if any(fields.values()) else F.lit(False)
     marked = rows.withColumn("crypto_key_id", F.when(own, F.col("crypto_key_id")))
-    met = marked.join(keys.select(F.col("key_id").alias("_k"), F.col("key").alias("_key"), F.col("revoked").alias("_r")), F.col("crypto_key_id") == F.col("_k"), "left")
+    met = _with_keys(marked, keys)
     wrong = (
         F.when(~own, F.lit(None).cast("string"))
         .when(F.col("crypto_key_id").isNull(), F.lit("an event with encrypted fields needs a crypto key id"))
@@ -97,8 +108,7 @@ def decrypt(log: DataFrame, keys: DataFrame | None) -> DataFrame:
     if keys is None:
         met = log.withColumns({"_key": F.lit(None).cast("binary"), "_r": F.lit(None).cast("boolean")})
     else:
-        known = keys.select(F.col("key_id").alias("_k"), F.col("key").alias("_key"), F.col("revoked").alias("_r"))
-        met = log.join(known, F.col("crypto_key_id") == F.col("_k"), "left").drop("_k")
+        met = _with_keys(log, keys)
     encrypted = F.col("encrypted_data").isNotNull() & F.col("crypto_key_id").isNotNull()
     kind = outcome(encrypted, F.col("_r"))
 
