@@ -511,3 +511,16 @@ def test_waiting_readers_are_woken(spark, tmp_path):
     started = time.monotonic()
     other.log.wait(other.log.refresh().commit_id, 0.3)
     assert 0.2 < time.monotonic() - started < 5
+
+
+def test_bulk_appends_are_numbered_in_tasks_of_few_rows(spark, tmp_path, monkeypatch):
+    seen, whole = [], EventStore._with_snapshots
+    monkeypatch.setattr("weftlog.store.TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(EventStore, "_with_snapshots", lambda self, rows, state: seen.append(rows) or whole(self, rows, state))
+    store = EventStore(spark, str(tmp_path))
+    store.setup()
+    batch = spark.range(2000).select(F.concat(F.lit("S-"), F.col("id") % 500).alias("stream_id"), F.lit("E").alias("event_type"), F.lit("1").alias("data"), F.col("id").alias("input_order"))
+    assert store.append_frame(batch) == 2000
+    tasks = [r["count"] for r in seen[0].groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(tasks) == 2000 and max(tasks) < 400
+    assert store.events().groupBy("stream_version").count().orderBy("stream_version").collect() == [(v, 500) for v in range(1, 5)]

@@ -34,6 +34,8 @@ BATCH = 500
 OUTBOX_BATCH = 100
 WEEK_MS = 7 * 24 * 3600 * 1000
 LEASE_S = 60.0
+#: Rows of a bulk append that a task numbers by stream, about, and the most tasks for that.
+TASK_ROWS, MOST_TASKS = 250_000, 10_000
 #: Entries of the outbox that one claim covers.
 CLAIM = 20
 _FOLDER = re.compile(r"(?:keys|outbox|acks)/[0-9a-f]{32}(?:/part_of=\d+)?(?=/[^/]+$)")
@@ -401,11 +403,13 @@ class EventStore:
         )
         keyless = F.col("event_type").isin(list(fields)) & (F.coalesce("crypto_key_id", F.lit("")) == "") if fields else F.lit(False)
         unnamed = F.col("event_type").isNull() | (F.col("event_type") == "") | F.col("stream_id").isNull() | (F.col("stream_id") == "")
-        bad = rows.select("event_type", keyless.alias("keyless")).where(unnamed | F.col("event_type").endswith(validation.SNAPSHOT_SUFFIX) | F.col("keyless"))
-        if hit := bad.first():
+        bad = unnamed | F.col("event_type").endswith(validation.SNAPSHOT_SUFFIX) | keyless
+        seen = rows.agg(F.count("*").alias("n"), F.first(F.when(bad, F.struct("event_type", keyless.alias("keyless"))), ignorenulls=True).alias("bad")).first()
+        if hit := seen.bad:
             if hit.event_type and validation.is_snapshot_type(hit.event_type):
                 raise errors.ReservedSnapshotEventTypeError(hit.event_type)
             raise errors.CryptoKeyIdRequiredError if hit.keyless else errors.InvalidArgumentError("batch", "needs stream_id and event_type in each row")
+        tasks = max(self.spark.sparkContext.defaultParallelism, min(-(-seen.n // TASK_ROWS), MOST_TASKS))
 
         def build(state: Snapshot) -> tuple[Mapping[str, Any], int]:
             heads = self._heads_of(rows.select("stream_id"), state)
@@ -414,7 +418,8 @@ class EventStore:
                 lost = appends.checked(expected, asked).where("conflict").orderBy("stream_id").first()
                 if lost:
                     raise errors.OptimisticConcurrencyError(lost.stream_id, lost.expected_version, lost.actual_version)
-            numbered = appends.numbered(rows, heads).drop("from_version").withColumns({"id": F.concat("stream_id", F.lit("/"), "stream_version"), "snapshot": F.lit(0)})
+            # By number: sizes of shuffle blocks, by which adaptive plans join partitions, tell little of rows that compress well.
+            numbered = appends.numbered(rows.repartition(tasks, "stream_id"), heads).drop("from_version").withColumns({"id": F.concat("stream_id", F.lit("/"), "stream_version"), "snapshot": F.lit(0)})
             if fields:
                 self._used_keys(numbered, fields)
             numbered, snapshot_fields = self._with_snapshots(numbered, state)
